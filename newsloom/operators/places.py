@@ -66,7 +66,7 @@ def geocode(
     if normalise is None and mode == "longest":
         normalise = norm_match
     entries = _entries(gazetteer, mode, normalise)
-    searched = rows.withColumn("__text", normalise(F.col(text)) if normalise else F.col(text))
+    searched = rows.drop("place", "lat", "lng").withColumn("__text", normalise(F.col(text)) if normalise else F.col(text))
     if compile_limit and entries.limit(compile_limit + 1).count() <= compile_limit:
         found = _search_compiled(searched, collect_lookup(entries, compile_limit))
     else:
