@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import localised_date, localised_day_name
 from newsloom.operators.scale import PART_SIZE
-from newsloom.schemas import REPORT, REPORT_ARRAYS
+from newsloom.schemas import REPORT, REPORT_ARRAYS, SHORT_COUNTERS
 
 # Members of a document item ← columns of the item table.
 MEMBERS = {
@@ -47,7 +47,9 @@ def day_documents(
 
     counts = slim.groupBy("date").agg(
         *[F.count(F.when(F.col("category") == c, 1)).cast("int").alias(c) for c in REPORT_ARRAYS]
-    ).select("date", F.struct(*REPORT_ARRAYS).alias("stats"))
+    ).select(
+        "date", F.struct(*REPORT_ARRAYS, *[F.lit(None).cast("int").alias(s) for s in SHORT_COUNTERS.values()]).alias("stats")
+    )
     days = lists.groupBy("date", "part").agg(*[members(c) for c in REPORT_ARRAYS])
     if points is None:
         days = days.withColumn("sirenPoints", F.array().cast(REPORT["sirenPoints"].dataType))
