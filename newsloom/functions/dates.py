@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import ascii_digits, localise_digits, strip
+from newsloom.operators.scale import pin
 
 # ---- fixed values: names used in the archive's headers and phrases ---------
 MONTH_NAMES = (
@@ -168,8 +169,18 @@ def extract_date_range(query: Column, as_of: Column) -> Column:
     not exist are no match.
     """
     text = ascii_digits(strip(query))
-    low = F.lower(text)
+    return _date_range(query, text, F.lower(text), as_of)
 
+
+def with_date_range(rows: DataFrame, query: str, as_of: Column, out: str = "date_range") -> DataFrame:
+    """I7 for a table of texts: the prepared forms are computed once per row."""
+    prepared = pin(rows, __text=ascii_digits(strip(F.col(query))))
+    prepared = pin(prepared, __low=F.lower("__text"))
+    found = _date_range(F.col(query), F.col("__text"), F.col("__low"), as_of)
+    return prepared.withColumn(out, found).drop("__text", "__low")
+
+
+def _date_range(query: Column, text: Column, low: Column, as_of: Column) -> Column:
     def grab(source: Column, pattern: str, group: int = 0) -> Column:
         return F.regexp_extract(source, "(?U)" + pattern, group)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import LUNAR_DATE
@@ -25,6 +25,7 @@ from newsloom.functions.text import (
 )
 from newsloom.lexicon import categories as C
 from newsloom.lexicon import extraction as X
+from newsloom.operators.scale import pin
 from newsloom.rules import Rule, contains_any, contains_rules, first_match, java_regex
 
 NOISE, OTHER = "noise", "other"
@@ -218,14 +219,14 @@ def has_list(text: Column) -> Column:
 
 def _item_fields(rest: Column) -> Column:
     """Split 'place weapon-phrase' at the first weapon preposition."""
-    bare = strip_chars(rest, " .،\n‏")
+    bare = strip_chars(rest, " .،\n\u200f")
     segment = F.regexp_replace(bare, java_regex(r"^في\s+"), "")
 
     def fields(seg: Column) -> Column:
         head = F.split(seg, java_regex(X.ITEM_WEAPON), 2)[0]
         return F.struct(
-            strip_chars(head, " ،-\n‏").alias("loc"),
-            strip_chars(F.substring(seg, F.length(head) + 1, F.length(seg)), " .،\n‏").alias("phrase"),
+            strip_chars(head, " ،-\n\u200f").alias("loc"),
+            strip_chars(F.substring(seg, F.length(head) + 1, F.length(seg)), " .،\n\u200f").alias("phrase"),
         )
 
     def kept(seg: Column) -> Column:
@@ -235,15 +236,12 @@ def _item_fields(rest: Column) -> Column:
     return let(segment, kept)
 
 
-def parse_list_items(text: Column, target: Column, normal: Column) -> Column:
-    """K1: ``array<struct<opTime,target,weapon>>`` of the items after a list
-    marker; three written forms are tried in order. Null without a list."""
+def _raw_items(text: Column) -> Column:
+    """``array<struct<opTime,rest>>`` of the items after the list marker; of the
+    three written forms the first that occurs is taken."""
     parts = F.split(text, java_regex(X.LIST_MARKER), 2)
     head = parts[0]
-    body = strip_chars(F.split(F.get(parts, F.lit(1)), java_regex(X.LIST_STOP), 2)[0], " :\n‏")
-    parent_weapon = F.coalesce(
-        F.nullif(extract_weapon_of(head), F.lit("")), F.nullif(extract_weapon(normal), F.lit("")), F.lit("")
-    )
+    body = strip_chars(F.split(F.get(parts, F.lit(1)), java_regex(X.LIST_STOP), 2)[0], " :\n\u200f")
 
     def timed(block: Column, pattern: str) -> Column:
         rx = F.lit(java_regex(pattern))
@@ -251,28 +249,38 @@ def parse_list_items(text: Column, target: Column, normal: Column) -> Column:
         return F.transform(
             F.arrays_zip(hours.alias("h"), minutes.alias("m"), rests.alias("r")),
             lambda x: F.struct(
-                F.concat(F.lpad(x["h"], 2, "0"), F.lit(":"), x["m"]).alias("opTime"),
-                _item_fields(x["r"]).alias("f"),
+                F.concat(F.lpad(x["h"], 2, "0"), F.lit(":"), x["m"]).alias("opTime"), x["r"].alias("rest")
             ),
         )
 
-    shared_time_h = F.regexp_extract(head, java_regex(X.ITEM_SHARED_TIME), 1)
-    shared_time = F.when(
-        shared_time_h != "",
-        F.concat(F.lpad(shared_time_h, 2, "0"), F.lit(":"), F.regexp_extract(head, java_regex(X.ITEM_SHARED_TIME), 2)),
-    ).otherwise("")
+    hour = F.regexp_extract(head, java_regex(X.ITEM_SHARED_TIME), 1)
+    minute = F.regexp_extract(head, java_regex(X.ITEM_SHARED_TIME), 2)
+    shared_time = F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute)).otherwise("")
 
     def shared(block: Column, time: Column) -> Column:
         found = F.regexp_extract_all(block, F.lit(java_regex(X.ITEM_SHARED_BULLET)), F.lit(1))
-        items = F.transform(found, lambda r: F.struct(time.alias("opTime"), _item_fields(r).alias("f")))
-        return F.filter(items, lambda x: x["f"]["loc"] != "")
+        placed = F.filter(found, lambda r: _item_fields(r)["loc"] != "")
+        return F.transform(placed, lambda r: F.struct(time.alias("opTime"), r.alias("rest")))
 
     def chosen(ctx: Column) -> Column:
-        block = ctx["body"]
-        forms = [timed(block, X.ITEM_TIMED_BULLET), timed(block, X.ITEM_INLINE)]
+        forms = [timed(ctx["body"], X.ITEM_TIMED_BULLET), timed(ctx["body"], X.ITEM_INLINE)]
         tries = [let(form, lambda a: F.when(F.size(a) > 0, a)) for form in forms]
-        raw = F.coalesce(*tries, shared(block, ctx["time"]))
-        named = F.transform(raw, lambda x: F.struct(x["opTime"], x["f"].alias("f"), norm_match(x["f"]["phrase"]).alias("n")))
+        return F.coalesce(*tries, shared(ctx["body"], ctx["time"]))
+
+    return let(F.struct(body.alias("body"), shared_time.alias("time")), chosen)
+
+
+def parse_list_items(text: Column, target: Column, normal: Column) -> Column:
+    """K1: ``array<struct<opTime,target,weapon>>`` of the items after a list
+    marker. Null without a list."""
+    head = F.split(text, java_regex(X.LIST_MARKER), 2)[0]
+    parent_weapon = F.coalesce(
+        F.nullif(extract_weapon_of(head), F.lit("")), F.nullif(extract_weapon(normal), F.lit("")), F.lit("")
+    )
+
+    def cleaned(ctx: Column) -> Column:
+        named = F.transform(ctx["raw"], lambda x: F.struct(x["opTime"], _item_fields(x["rest"]).alias("f")))
+        named = F.transform(named, lambda x: F.struct(x["opTime"], x["f"], norm_match(x["f"]["phrase"]).alias("n")))
         return F.transform(
             named,
             lambda x: F.struct(
@@ -284,10 +292,32 @@ def parse_list_items(text: Column, target: Column, normal: Column) -> Column:
             ),
         )
 
-    context = F.struct(
-        body.alias("body"), parent_weapon.alias("weapon"), target.alias("target"), shared_time.alias("time")
+    context = F.struct(_raw_items(text).alias("raw"), parent_weapon.alias("weapon"), target.alias("target"))
+    return F.when(has_list(text), let(context, cleaned))
+
+
+def list_item_rows(statements: DataFrame, text: str, target: str, normal: str) -> DataFrame:
+    """K1 as a table function: one row per nested item, with the statement's
+    columns and ``item_no, op_time, item_target, item_weapon``.
+
+    Same result as ``parse_list_items`` exploded; the items are cleaned as
+    columns instead of inside an array, which suits large lists."""
+    listed = pin(
+        statements.where(has_list(F.col(text))), __raw=_raw_items(F.col(text)),
+        __parent=F.coalesce(
+            F.nullif(extract_weapon_of(F.split(F.col(text), java_regex(X.LIST_MARKER), 2)[0]), F.lit("")),
+            extract_weapon(F.col(normal)),
+        ),
+    )
+    items = listed.select(*statements.columns, "__parent", F.posexplode("__raw").alias("item_no", "__item"))
+    items = pin(items, __f=_item_fields(F.col("__item.rest")))
+    items = pin(items, __n=norm_match(F.col("__f.phrase")))
+    loc = F.when(F.col("__f.loc") == "", F.col(target)).otherwise(F.col("__f.loc"))
+    return items.select(
+        *statements.columns, "item_no", F.col("__item.opTime").alias("op_time"), clean_location(loc).alias("item_target"),
+        F.coalesce(F.nullif(extract_weapon(F.col("__n")), F.lit("")), F.nullif(F.col("__parent"), F.lit("")), F.col("__f.phrase"))
+        .alias("item_weapon"),
     )
-    return F.when(has_list(text), let(context, chosen))
 
 
 def extract_weapon_of(text: Column) -> Column:

@@ -138,6 +138,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Re-deal a plain file scan that has fewer splits than the session has
+    cores, so that CPU-bound text work uses all of them. A large table already
+    has more splits than cores and is returned as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def pin(df: DataFrame, **computed: Column) -> DataFrame:
     """Add columns behind a generator, so that filters and projections above
     use the computed values instead of re-evaluating the expressions."""

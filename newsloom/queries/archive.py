@@ -18,6 +18,7 @@ from newsloom.plans import facets as P
 from newsloom.plans import ingest as I
 from newsloom.plans import statistics as T
 from newsloom.queries.base import EV, events, query, table
+from newsloom.session import stage_table
 from newsloom.sinks.dumps import day_dumps as to_day_dumps
 from newsloom.sinks.dumps import format_record as record_line
 from newsloom.sinks.dumps import merge_keep_larger as keep_larger
@@ -31,7 +32,7 @@ STATEMENT_HEAD = "بيان صادر عن المقاومة الإسلامية ("
 
 def messages(spark, folder):
     """One message per event; the text form depends on the event type."""
-    rows = events(spark, folder)
+    rows = events(spark, folder, heavy=True)
     place = F.concat(F.lit("نقطة"), F.col("user_id").cast("string"))
     head = F.concat(F.lit(STATEMENT_HEAD), F.col("user_id").cast("string"), F.lit(")\n"))
     at = F.concat(F.lit("عند الساعة "), F.col("time"))
@@ -53,13 +54,15 @@ def messages(spark, folder):
     return rows.select("id", "date", "time", "ts", "user_id", "category", "value", text.alias("text"))
 
 
-def items(spark, folder):
-    """Classified and extracted messages of the event table."""
-    return I.extract_items(I.classify_messages(messages(spark, folder).drop("category")))
+def items(spark, folder, staged: bool = False):
+    """Classified and extracted messages of the event table. Queries that read
+    them more than once take the staged form, as the ingest job does."""
+    rows = I.extract_items(I.classify_messages(messages(spark, folder).drop("category")))
+    return stage_table(rows, "items", partition_by="category") if staged else rows
 
 
-def statements(spark, folder):
-    rows = items(spark, folder).where("category = 'bayanat'")
+def statements(spark, folder, staged: bool = False):
+    rows = items(spark, folder, staged).where("category = 'bayanat'")
     return rows.withColumn("full_text", F.col("text"))
 
 
@@ -194,10 +197,10 @@ def parse_list_items(spark, folder):
     listed = collect_parts(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"], ["l_linenumber"], line, "lines", 20)
     text = F.concat(F.lit(STATEMENT_HEAD + "1)\nاستهدف المجاهدون مواقع العدو على النحو الآتي:\n"), F.array_join("lines", "\n"))
     texts = pin(listed.select("l_orderkey", text.alias("text")), normal=norm_match(F.col("text")))
-    found = texts.select("l_orderkey", F.explode(X.parse_list_items(F.col("text"), F.lit(""), F.col("normal"))).alias("i"))
+    found = X.list_item_rows(texts.withColumn("target", F.lit("")), "text", "target", "normal")
     return found.groupBy(
-        "l_orderkey", F.substring("i.opTime", 1, 2).cast("int").alias("l_linenumber"), F.col("i.opTime").alias("op_time"),
-        F.col("i.target").alias("target"), F.col("i.weapon").alias("weapon"),
+        "l_orderkey", F.substring("op_time", 1, 2).cast("int").alias("l_linenumber"), "op_time",
+        F.col("item_target").alias("target"), F.col("item_weapon").alias("weapon"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -206,11 +209,11 @@ def parse_list_items(spark, folder):
     "SELECT id FROM v WHERE r = 1"
 )
 def dedupe_media(spark, folder):
-    return I.dedupe_media(items(spark, folder)).where("category = 'videos'").select("id")
+    return I.dedupe_media(items(spark, folder, staged=True)).where("category = 'videos'").select("id")
 
 
 def documents(spark, folder):
-    kept = items(spark, folder).where(F.col("category") != X.OTHER)
+    kept = items(spark, folder, staged=True).where(F.col("category") != X.OTHER)
     numbered = I.number_items(kept)
     return to_documents(numbered, I.day_headers(messages(spark, folder)))
 
@@ -238,7 +241,7 @@ def report_rows(spark, folder):
 
 def archive_events(spark, folder):
     """Canonical event rows straight from the classified items."""
-    rows = I.number_items(items(spark, folder).where(F.col("category") != X.OTHER))
+    rows = I.number_items(items(spark, folder, staged=True).where(F.col("category") != X.OTHER))
     return rows.select(
         "id", "date", "category", "time", "op_time", F.coalesce("target", "location", "summary", "description").alias("title"),
         F.col("weapon").alias("subtitle"), "badge", "tags", "location", F.col("text").alias("full_text"), "num",
@@ -342,7 +345,7 @@ def number_sum(spark, folder):
     f"(SELECT count(*) FROM {_STATEMENTS} WHERE form = 1) AS vehicles FROM {_TOTALS}"
 )
 def range_statistics(spark, folder):
-    doc = T.range_statistics(statements(spark, folder), events(spark, folder).select("date"), TOWNS)
+    doc = T.range_statistics(statements(spark, folder, staged=True), events(spark, folder).select("date"), TOWNS)
     return doc.select(
         F.col("period.from").alias("from_date"), F.col("period.active_days").alias("active_days"), F.col("totals.operations").alias("operations"),
         F.col("totals.statements_excluded").alias("statements_excluded"), F.col("weapons")["القذائف_المدفعية"].alias("artillery"),

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.scale import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,10 +36,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are about to get expensive text work."""
+    return spread(table(spark, folder, name))
+
+
+def events(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """``id, date, category, time, title, user_id, value, ts``."""
     ts = F.col("ts").cast("timestamp_ntz")
-    return table(spark, folder, "events").select(
+    read = text_table if heavy else table
+    return read(spark, folder, "events").select(
         F.col("event_id").alias("id"), F.to_date(ts).alias("date"), F.col("event_type").alias("category"),
         F.concat(F.lpad(F.hour(ts).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.minute(ts).cast("string"), 2, "0")).alias("time"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("title"), "user_id", "value", ts.alias("ts"), "props",
@@ -62,7 +70,3 @@ def daily_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REPORTS = f"(SELECT date, {sum_case('category', KINDS)}, count(*) AS total FROM {EV} GROUP BY date)"
-
-
-def text_of(column: Column) -> Column:
-    return F.coalesce(column, F.lit(""))

@@ -10,7 +10,7 @@ from newsloom.operators import index as N
 from newsloom.operators.counts import kpi_counts
 from newsloom.operators.sets import difference, union_by_priority, union_dedupe
 from newsloom.plans import search as P
-from newsloom.queries.base import EV, events, query, table
+from newsloom.queries.base import EV, events, query, table, text_table
 
 # Tokens as the engine makes them, in SQL.
 _TOK = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -23,7 +23,7 @@ def _has(column: str, term: str) -> str:
 def documents(spark, folder):
     """Documents as events: source is the category, the day follows from the id."""
     day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("doc_id") % 60).cast("int"))
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"), day.alias("date"), F.col("lang").alias("category"),
         F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0").alias("time"),
         F.substring("text", 1, 80).alias("title"), F.lit(None).cast("string").alias("location"),
@@ -65,7 +65,7 @@ def like_all_words(spark, folder):
 
 @query("SELECT role AS category, count(*) AS n FROM conversations WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') GROUP BY role")
 def all_words_filter(spark, folder):
-    rows = table(spark, folder, "conversations").withColumnRenamed("role", "category")
+    rows = text_table(spark, folder, "conversations").withColumnRenamed("role", "category")
     found, counts = P.in_page_search(rows, "text", "L'article ND", {"l'article": "the", "nd": "and"}, ("user", "assistant", "system"))
     return counts.select("category", "n").where("n > 0")
 

@@ -13,7 +13,7 @@ from newsloom.functions import text as X
 from newsloom.functions import translit as L
 from newsloom.operators import counts as K
 from newsloom.plans import statistics as T
-from newsloom.queries.base import EV, events, query, table
+from newsloom.queries.base import EV, events, query, table, text_table
 from newsloom.rules import Rule, all_matches, count_mentions, first_match, listed_terms
 
 _LOWER = {k: v for k, v in L.KEYBOARD.items() if k.islower() and len(v) == 1}
@@ -49,7 +49,7 @@ _STRIP = X.MARKS_WIDE + X.SUPERSCRIPT_ALEF
 )
 def normalise_text(spark, folder):
     typed = F.concat(F.lit("أَهـلاً ١٢ "), F.translate(F.lower("text"), _KEYS, _LETTERS))
-    rows = table(spark, folder, "documents").select("doc_id", typed.alias("typed"))
+    rows = text_table(spark, folder, "documents").select("doc_id", typed.alias("typed"))
     return rows.select(
         "doc_id", F.md5(X.norm_match(F.col("typed"))).alias("h_match"), F.md5(X.norm_index(F.col("typed"))).alias("h_index"),
         F.md5(X.norm_place(F.col("typed"))).alias("h_place"),
@@ -83,7 +83,7 @@ def match_spans(spark, folder):
 )
 def classify_first_match(spark, folder):
     rules = [Rule("link", "http"), Rule("number", "[0-9]{4}", "regex"), Rule("english", "the"), Rule("english", "and")]
-    return table(spark, folder, "documents").select("doc_id", first_match(F.lower("text"), rules, F.lit("other")).alias("label"))
+    return text_table(spark, folder, "documents").select("doc_id", first_match(F.lower("text"), rules, F.lit("other")).alias("label"))
 
 
 @query(
@@ -92,7 +92,7 @@ def classify_first_match(spark, folder):
 )
 def classify_all_labels(spark, folder):
     rules = [Rule("en", "the"), Rule("de", "der"), Rule("de", "und"), Rule("fr", "les"), Rule("fr", "que")]
-    return K.multi_label_counts(table(spark, folder, "conversations"), all_matches(F.lower("text"), rules))
+    return K.multi_label_counts(text_table(spark, folder, "conversations"), all_matches(F.lower("text"), rules))
 
 
 @query(
@@ -101,7 +101,7 @@ def classify_all_labels(spark, folder):
     "SELECT 'vowels', CAST(sum(len(regexp_extract_all(text, '[aeiou]{3}'))) AS BIGINT) FROM documents"
 )
 def document_mentions(spark, folder):
-    return T.mention_counts(table(spark, folder, "documents"), [("number", "[0-9]+"), ("the", "the"), ("vowels", "[aeiou]{3}")], "text")
+    return T.mention_counts(text_table(spark, folder, "documents"), [("number", "[0-9]+"), ("the", "the"), ("vowels", "[aeiou]{3}")], "text")
 
 
 @query("SELECT CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events")
@@ -114,7 +114,7 @@ def captured_number_sum(spark, folder):
 )
 def listed_terms_present(spark, folder):
     found = listed_terms(F.lower("text"), ["the", "der", "les", "http"])
-    return table(spark, folder, "documents").select("doc_id", F.array_join(found, ",").alias("terms"))
+    return text_table(spark, folder, "documents").select("doc_id", F.array_join(found, ",").alias("terms"))
 
 
 @query(
@@ -122,7 +122,7 @@ def listed_terms_present(spark, folder):
 )
 def display_titles(spark, folder):
     none = F.lit("")
-    return table(spark, folder, "documents").select(
+    return text_table(spark, folder, "documents").select(
         "doc_id", X.display_title(none, F.col("text")).alias("title"), X.truncate(F.col("text"), 200).alias("summary")
     )
 
@@ -159,8 +159,8 @@ def extract_date_range(spark, folder):
         .when(form == 2, F.concat(month, F.date_format(day, " d, yyyy"))).when(form == 3, D.localised_date(day))
         .otherwise(F.concat(month, F.date_format(day, " yyyy")))
     )
-    rows = table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("order "), written).alias("q"))
-    found = rows.select("o_orderkey", D.extract_date_range(F.col("q"), F.lit(dt.date(2024, 10, 10))).alias("d"))
+    rows = text_table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("order "), written).alias("q"))
+    found = D.with_date_range(rows, "q", F.lit(dt.date(2024, 10, 10)), "d")
     return found.select("o_orderkey", "d.type", F.col("d.start").alias("range_start"), F.col("d.end").alias("range_end"), "d.remaining")
 
 
@@ -172,14 +172,14 @@ def extract_date_range(spark, folder):
 def relative_date_range(spark, folder):
     day, form = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
     written = F.when(form == 0, F.lit("raids yesterday")).when(form == 1, F.lit("قبل ٩ أيام")).otherwise("2 weeks ago")
-    rows = table(spark, folder, "orders").select("o_orderkey", D.extract_date_range(written, day).alias("d"))
+    rows = text_table(spark, folder, "orders").select("o_orderkey", D.extract_date_range(written, day).alias("d"))
     return rows.select("o_orderkey", "d.type", F.col("d.start").alias("range_start"), F.col("d.end").alias("range_end"))
 
 
 @query("SELECT o_orderkey, translate(CAST(day(o_orderdate) AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' رمضان ' || translate(CAST(year(o_orderdate) AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' هـ.' AS phrase FROM orders")
 def lunar_dates(spark, folder):
     text = F.concat(F.lit("نص "), F.dayofmonth("o_orderdate").cast("string"), F.lit(" رمضان "), F.year("o_orderdate").cast("string"), F.lit(" هـ والسلام"))
-    return table(spark, folder, "orders").select("o_orderkey", D.lunar_date(text).alias("phrase"))
+    return text_table(spark, folder, "orders").select("o_orderkey", D.lunar_date(text).alias("phrase"))
 
 
 @query(
@@ -220,7 +220,7 @@ def place_in_list(spark, folder):
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '\\bthe\\b')) AS INTEGER) AS n FROM documents")
 def word_mentions(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", count_mentions(F.col("text"), r"\bthe\b").alias("n"))
+    return text_table(spark, folder, "documents").select("doc_id", count_mentions(F.col("text"), r"\bthe\b").alias("n"))
 
 
 @query(f"SELECT id FROM {EV} WHERE contains(props, '7') AND category IN ('error', 'view')")

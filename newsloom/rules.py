@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -54,12 +55,18 @@ def matches(text: Column, rule: Rule) -> Column:
 
 
 def contains_any(text: Column, markers: Sequence[str]) -> Column:
-    """Any of the markers is a substring."""
-    return reduce(lambda a, b: a | b, [text.contains(m) for m in markers])
+    """Any of the markers is a substring. Several markers become one
+    alternation, which keeps the generated code small enough to be compiled."""
+    if len(markers) < 3:
+        return reduce(lambda a, b: a | b, [text.contains(m) for m in markers])
+    return text.rlike("|".join(re.escape(m) for m in markers))
 
 
 def matches_any(text: Column, rules: Sequence[Rule]) -> Column:
-    return reduce(lambda a, b: a | b, [matches(text, r) for r in rules])
+    plain = [r.pattern for r in rules if r.kind == "contains"]
+    tests = [contains_any(text, plain)] if plain else []
+    tests += [matches(text, r) for r in rules if r.kind != "contains"]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def first_match(text: Column, rules: Sequence[Rule], default: Column | None = None) -> Column:
