@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from newsloom.functions.text import null_to_empty
 from newsloom.operators.places import geocode
 from newsloom.operators.sequence import per_group_cap, sequence_carry_back, sequence_restart
 from newsloom.operators.sets import missing_days
-from newsloom.schemas import CATEGORIES, REPORT
+from newsloom.schemas import CATEGORIES, REPORT, SHORT_COUNTERS
 from newsloom.sources.reports import array_length, report_day, stored_counter
 
 PREPENDED = 1 << 40  # positions of rows moved in front of a day
@@ -124,6 +124,21 @@ def report_issues(reports: DataFrame, geocodable: Callable[[Column], Column] | N
     return reports.select(F.col("file_date").alias("date"), F.inline(F.when(bad, unreadable).otherwise(found)))
 
 
+def known_places(names: Sequence[str]) -> Callable[[Column], Column]:
+    """For V8: counts the distinct places among a document's alerts; in each
+    alert the first listed name counts (C3)."""
+    listed = F.array(*[F.lit(n) for n in names])
+
+    def count(alerts: Column) -> Column:
+        first = F.transform(
+            F.coalesce(alerts, F.array()),
+            lambda a: F.try_element_at(F.filter(listed, lambda n: F.coalesce(a["location"], F.lit("")).contains(n)), F.lit(1)),
+        )
+        return F.size(F.array_distinct(F.array_compact(first)))
+
+    return count
+
+
 def index_issues(data_days: DataFrame, index_days: DataFrame) -> DataFrame:
     """V12 (and C6): the day index and the data disagree."""
     message = F.when(F.col("side") == "not in index", "Data file exists but NOT in the day index").otherwise(
@@ -202,8 +217,6 @@ def repair_documents(reports: DataFrame) -> DataFrame:
     known = day.isNotNull()
     counters = [array_length(c).cast("int").alias(c) for c in CATEGORIES]
     # Older documents also carry the short keys: those present are corrected too.
-    from newsloom.schemas import SHORT_COUNTERS
-
     short = [
         F.when(F.col(f"stats.{s}").isNotNull(), array_length(c)).cast("int").alias(s) for c, s in SHORT_COUNTERS.items()
     ]
