@@ -109,9 +109,12 @@ def alert_points(
     Input: geocoded alerts with ``place, lat, lng, time`` and a position. Times
     beyond ``part_size`` continue in further parts of the same place."""
     group = [*keys, "place", "lat", "lng"]
-    counts = alerts.groupBy(*group).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("first_position"))
-    lists = collect_parts(alerts, group, [order], [id_bucket(order, width)], F.col("time"), "times", part_size)
-    return lists.join(counts, group).withColumnRenamed("place", "loc")
+    entry = F.struct(F.col(order).alias("at"), F.col("time"))
+    lists = collect_parts(alerts, group, [order], [id_bucket(order, width)], entry, "entries", part_size)
+    return lists.select(
+        *keys, F.col("place").alias("loc"), "lat", "lng", "part", F.transform("entries", lambda e: e["time"]).alias("times"),
+        F.col("group_size").alias("count"), F.col("entries")[0]["at"].alias("first_position"),
+    )
 
 
 def place_type_sets(rows: DataFrame, type_column: str, place: str = "place") -> DataFrame:

@@ -21,26 +21,21 @@ PART_SIZE = 50_000
 
 
 def id_bucket(column: str | Column, width: int = BUCKET_WIDTH) -> Column:
-    """Order-preserving bucket of an integer key."""
-    col = F.col(column) if isinstance(column, str) else column
-    return F.floor(col / F.lit(width)).cast("long")
+    """Order-preserving bucket of an integer key: its value rounded down."""
+    col = (F.col(column) if isinstance(column, str) else column).cast("long")
+    return col - F.pmod(col, F.lit(width).cast("long"))
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
-def _join_on_bucket(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe equi join of rows with the per-bucket table."""
-    renamed = small.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        *[F.col(c) for c in small.columns if c not in keys],
-    )
-    condition = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    merged = condition[0]
-    for extra in condition[1:]:
-        merged = merged & extra
-    return df.join(renamed, merged, "inner").drop(*[f"__k_{k}" for k in keys])
+def _with_heads(tagged: DataFrame, heads: DataFrame) -> DataFrame:
+    """Put one head row in front of every bucket. Rows and heads meet in the
+    one shuffle that the window over the bucket needs anyway; a join would add
+    its own, and would need care with null keys."""
+    body = tagged.withColumn("__head", F.lit(0))
+    return body.unionByName(heads.withColumn("__head", F.lit(1)), allowMissingColumns=True)
 
 
 def number_rows(
@@ -49,22 +44,32 @@ def number_rows(
     order: Sequence[str | Column],
     bucket: Sequence[str | Column],
     out: str = "position",
+    group_size: str | None = None,
 ) -> DataFrame:
-    """0-based position of every row inside its group, in ``order``.
+    """0-based position of every row inside its group, in ``order``, and on
+    request the size of the group.
 
     Equal to ``row_number() - 1`` over the whole group, but no task ever sorts
-    more than one bucket.
+    more than one bucket. A narrow pre-pass counts the rows per bucket; the rows
+    themselves are shuffled once.
     """
     tagged = df.withColumn("__bucket", F.struct(*_columns(bucket)))
     bucket_keys = [*keys, "__bucket"]
     sizes = tagged.groupBy(*bucket_keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*bucket_keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*bucket_keys).orderBy(*_columns(order))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *bucket_keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
+        *([F.sum("__n").over(group).alias("__size")] if group_size else []),
+    )
+    inside = Window.partitionBy(*bucket_keys).orderBy(F.desc("__head"), *_columns(order))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = {out: F.first("__start").over(so_far) + F.row_number().over(inside) - 2}
+    if group_size:
+        added[group_size] = F.first("__size").over(so_far)
     return (
-        _join_on_bucket(tagged, starts, bucket_keys)
-        .withColumn(out, F.col("__start") + F.row_number().over(inside) - 1)
-        .drop("__bucket", "__start")
+        _with_heads(tagged, starts).withColumns(added).where(F.col("__head") == 0)
+        .drop("__bucket", "__start", "__size", "__head")
     )
 
 
@@ -76,21 +81,22 @@ def carry_last(
     value: Column,
     out: str,
 ) -> DataFrame:
-    """Last non-null ``value`` among the rows strictly before this one."""
+    """Last non-null ``value`` among the rows strictly before this one.
+
+    The head row of a bucket holds the value carried in from earlier buckets."""
     tagged = df.withColumn("__bucket", F.struct(*_columns(bucket))).withColumn("__v", value)
     bucket_keys = [*keys, "__bucket"]
-    tails = tagged.groupBy(*bucket_keys).agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*_columns(order)))).alias("__tail")
-    )
+    columns = _columns(order)
+    latest = columns[0] if len(columns) == 1 else F.struct(*columns)
+    tails = tagged.groupBy(*bucket_keys).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), latest)).alias("__tail"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(*bucket_keys, F.last("__tail", ignorenulls=True).over(before).alias("__carry"))
-    inside = (
-        Window.partitionBy(*bucket_keys).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    carried = tails.select(*bucket_keys, F.last("__tail", ignorenulls=True).over(before).alias("__v"))
+    inside = Window.partitionBy(*bucket_keys).orderBy(F.desc("__head"), *_columns(order))
     return (
-        _join_on_bucket(tagged, carried, bucket_keys)
-        .withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col("__carry")))
-        .drop("__bucket", "__v", "__carry")
+        _with_heads(tagged, carried)
+        .withColumn(out, F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+        .where(F.col("__head") == 0)
+        .drop("__bucket", "__v", "__head")
     )
 
 
@@ -103,17 +109,18 @@ def collect_parts(
     out: str = "items",
     part_size: int = PART_SIZE,
 ) -> DataFrame:
-    """Ordered list per group, split into parts of at most ``part_size`` items.
+    """Ordered list per group, split into parts of at most ``part_size`` items,
+    each with the size of the whole group.
 
     An ordinary group has exactly one part (``part`` = 0). A huge one becomes
     several rows, so nothing is dropped and no row grows without bound.
     """
-    numbered = number_rows(df.withColumn("__item", item), keys, order, bucket, "__pos")
+    numbered = number_rows(df.withColumn("__item", item), keys, order, bucket, "__pos", "group_size")
     return (
         numbered.withColumn("part", F.floor(F.col("__pos") / F.lit(part_size)).cast("int"))
         .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("__pos", "__item"))).alias("__list"))
-        .select(*keys, "part", F.transform("__list", lambda x: x["__item"]).alias(out))
+        .agg(F.array_sort(F.collect_list(F.struct("__pos", "__item"))).alias("__list"), F.first("group_size").alias("group_size"))
+        .select(*keys, "part", F.transform("__list", lambda x: x["__item"]).alias(out), "group_size")
     )
 
 

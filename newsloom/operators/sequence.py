@@ -31,7 +31,7 @@ def related_events(events: DataFrame, k: int = 3) -> DataFrame:
     lists = latest.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("__r", "id", "time"))).alias("__l"))
     others = F.slice(F.filter("__l", lambda x: x["id"] != F.col("id")), 1, k)
     return (
-        events.select("date", "id").join(lists, "date")
+        events.select("date", "id").join(F.broadcast(lists), "date")
         .select("id", F.posexplode(others).alias("rank", "__o"))
         .select("id", (F.col("rank") + 1).alias("rank"), F.col("__o.id").alias("related_id"))
     )
@@ -105,6 +105,8 @@ def out_of_range(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame
 
 
 # -- day boundaries (E2, E3, C8) -------------------------------------------------
+# The decisions below are one row per calendar day; that bound is why they are
+# broadcast to the rows, which then move without a shuffle.
 
 
 def _numbered() -> Column:
@@ -150,7 +152,7 @@ def sequence_restart(rows: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     )
     decided = _walk_restarts(summary)
     return (
-        rows.join(decided, "date", "left")
+        rows.join(F.broadcast(decided), "date", "left")
         .withColumn("moved", F.coalesce(F.col("position") >= F.col("cut"), F.lit(False)))
         .withColumn("new_date", F.when(F.col("moved"), F.date_add("date", 1)).otherwise(F.col("date")))
         .drop("cut")
@@ -220,7 +222,7 @@ def sequence_carry_back(rows: DataFrame) -> DataFrame:
 
     decided = listed.select(F.inline(F.aggregate("days", start, step)["heads"]))
     return (
-        rows.join(decided, "date", "left")
+        rows.join(F.broadcast(decided), "date", "left")
         .withColumn("moved", F.coalesce(F.col("position") == F.col("head"), F.lit(False)))
         .withColumn("new_date", F.when(F.col("moved"), F.date_sub("date", 1)).otherwise(F.col("date")))
         .drop("head")

@@ -9,7 +9,7 @@ from newsloom.functions import classify as K
 from newsloom.functions.arrays import omit_empty_array
 from newsloom.lexicon import statistics as V
 from newsloom.operators.places import coords_by_day
-from newsloom.operators.scale import collect_parts
+from newsloom.operators.scale import collect_parts, top_per_group
 from newsloom.rules import listed_terms
 
 CAPPED = {"targets": V.FACET_CAP, "locations": V.FACET_CAP}
@@ -50,11 +50,15 @@ def facet_counts(items: DataFrame, caps: dict[str, int] = CAPPED) -> DataFrame:
     labelled = counted.withColumn(
         "label", F.when(F.col("facet") == "badges", K.badge_label(F.col("value"))).otherwise(F.col("value"))
     )
-    free = labelled.where(~F.col("facet").isin(*caps))
-    for facet, cap in caps.items():
-        top = labelled.where(F.col("facet") == facet).orderBy(F.desc("n"), "first_id").limit(cap)
-        free = free.unionByName(top)
-    return free
+    # An uncapped value is ranked alone, so one rank filter serves all facets and
+    # every task keeps at most the cap before the shuffle.
+    cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("facet")), F.lit(1))
+    alone = F.when(~F.col("facet").isin(*caps), F.col("value"))
+    ranked = top_per_group(
+        labelled.withColumn("__alone", alone).withColumn("__cap", cap), ["facet", "__alone"],
+        [F.desc("n"), F.asc("first_id")], max(caps.values()), "__rank",
+    )
+    return ranked.where(F.col("__rank") <= F.col("__cap")).drop("__alone", "__cap", "__rank")
 
 
 def facets(events: DataFrame, points: DataFrame) -> dict[str, DataFrame]:

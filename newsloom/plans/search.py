@@ -45,14 +45,13 @@ def query_events(events: DataFrame, words: Sequence[str], postings: DataFrame |
     The second search is added under an uncorrelated existence test of the
     first, so it runs only if needed and no result is fetched to decide."""
     newest = [F.desc("date"), F.desc_nulls_last("time"), F.asc("id")]
-    like = like_all_words(events, words)
     if any(len(w) < 2 for w in words):
-        return like.orderBy(*newest).limit(limit)
+        return like_all_words(events, words).orderBy(*newest).limit(limit)
     terms = search_terms(words)
     if not terms:
         return events.limit(0)
     hits = match_terms(events, terms) if postings is None else match_terms_indexed(events, postings, terms)
-    fallback = like.where(~hits.select("id").limit(1).exists())
+    fallback = like_all_words(events.where(~hits.select("id").limit(1).exists()), words)
     return hits.unionByName(fallback).orderBy(*newest).limit(limit)
 
 
