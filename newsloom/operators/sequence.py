@@ -123,16 +123,16 @@ def day_restarts(rows: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     )
 
 
-def sequence_restart(rows: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
-    """Every row with ``moved`` = whether it belongs to the next day.
+def restart_cuts(rows: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+    """E2 decisions: ``date, cut``, the position from which a day's rows belong
+    to the next day. Only days that are cut are listed.
 
     Days are reduced to one summary row each. A day that takes over the tail of
     the day before may get its own restart from that; the chain is followed
     through the day summaries (one row per calendar day) in date order, exactly
-    as a day-by-day walk would. Output adds ``moved`` and ``new_date``.
+    as a day-by-day walk would.
     """
     base = rows.select("date", "position", "num", "time", "badge")
-    restarts = day_restarts(base, width)
     late = (F.coalesce("time", F.lit("00:00")) >= LATE_FROM) | (F.coalesce("num", F.lit(0)) <= 0)
     numbered = _numbered()
     firsts = base.groupBy("date").agg(
@@ -141,32 +141,36 @@ def sequence_restart(rows: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
         F.max(F.when(~late, F.col("position"))).alias("last_early"),
         F.max_by("num", F.when(numbered.isNotNull(), F.col("position"))).alias("last_num"),
     )
-    days = firsts.join(restarts, "date")
+    days = firsts.join(day_restarts(base, width), "date")
     # Own restart: the tail moves if no early numbered row is in it. Otherwise
     # a tail received from the day before can create one at the first number.
-    own = F.col("restart").isNotNull()
+    last_early = F.coalesce("last_early", F.lit(-1))
     summary = days.select(
         "date", "restart", "first_pos", "first_num", "last_num",
-        (own & (F.coalesce("last_early", F.lit(-1)) < F.col("restart"))).alias("own_move"),
-        (F.coalesce("last_early", F.lit(-1)) < F.col("first_pos")).alias("first_late"),
+        (F.col("restart").isNotNull() & (last_early < F.col("restart"))).alias("own_move"),
+        (last_early < F.col("first_pos")).alias("first_late"),
     )
-    decided = _walk_restarts(summary)
+    return _walk_restarts(summary)
+
+
+def apply_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with ``moved`` and ``new_date`` from the cuts of ``restart_cuts``."""
     return (
-        rows.join(F.broadcast(decided), "date", "left")
+        rows.join(F.broadcast(cuts), "date", "left")
         .withColumn("moved", F.coalesce(F.col("position") >= F.col("cut"), F.lit(False)))
         .withColumn("new_date", F.when(F.col("moved"), F.date_add("date", 1)).otherwise(F.col("date")))
         .drop("cut")
     )
 
 
+def sequence_restart(rows: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
+    """Every row with ``moved`` = whether it belongs to the next day."""
+    return apply_cuts(rows, restart_cuts(rows, width))
+
+
 def _walk_restarts(summary: DataFrame) -> DataFrame:
-    """``date, cut``: where each day is cut, folding over the day summaries of
-    each run of consecutive days. A run has one small struct per calendar day."""
-    window = Window.partitionBy(F.lit(1)).orderBy("date")
-    broken = F.coalesce(F.datediff("date", F.lag("date").over(window)) != 1, F.lit(True))
-    runs = summary.withColumn("__b", broken.cast("int")).withColumn("run", F.sum("__b").over(window))
+    """Fold over the day summaries of each run of consecutive days."""
     entry = F.struct("date", "restart", "first_pos", "first_num", "last_num", "own_move", "first_late")
-    listed = runs.groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("days"))
     start = F.struct(
         F.lit(None).cast("int").alias("carried"),
         F.array().cast("array<struct<date:date,cut:bigint>>").alias("cuts"),
@@ -180,31 +184,27 @@ def _walk_restarts(summary: DataFrame) -> DataFrame:
             F.concat(acc["cuts"], F.array(F.struct(day["date"].alias("date"), cut.cast("bigint").alias("cut")))).alias("cuts"),
         )
 
-    return listed.select(F.inline(F.aggregate("days", start, step)["cuts"])).where(F.col("cut").isNotNull())
+    return _day_runs(summary, entry).select(F.inline(F.aggregate("days", start, step)["cuts"])).where(F.col("cut").isNotNull())
 
 
-def sequence_carry_back(rows: DataFrame) -> DataFrame:
-    """The first row of a day moves to the previous calendar day if it
-    is early, has a number above ``CARRY_ABOVE`` and continues the number of the
-    previous day's last row. Output adds ``moved`` and ``new_date``.
-
-    Input order inside a day is ``position``. Only the first and last row of
-    each day take part, so the days are joined, not the rows. A day whose only
-    row moved away gives no last row to the day after it; such chains are
-    followed over the day summaries.
+def carry_heads(rows: DataFrame) -> DataFrame:
+    """E3, C8 decisions: ``date, head``, the first row of a day that belongs to
+    the previous calendar day: it is early, has a number above ``CARRY_ABOVE``
+    and continues the number of the previous day's last row.
+
+    Only the first and last row of each day take part, so the days are compared,
+    not the rows. A day whose only row moved away gives no last row to the day
+    after it; such chains are followed over the day summaries.
     """
     ends = rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"), F.min("position").alias("first_pos"),
-        F.min_by(F.struct("num", "time"), "position").alias("first"), F.max_by("num", "position").alias("last_num"),
+        F.min_by("num", "position").alias("first_num"), F.min_by("time", "position").alias("first_time"),
+        F.max_by("num", "position").alias("last_num"),
     )
-    window = Window.partitionBy(F.lit(1)).orderBy("date")
-    broken = F.coalesce(F.datediff("date", F.lag("date").over(window)) != 1, F.lit(True))
-    runs = ends.withColumn("__b", broken.cast("int")).withColumn("run", F.sum("__b").over(window))
     entry = F.struct(
-        "date", "n", "first_pos", F.coalesce("first.num", F.lit(0)).alias("num"),
-        F.coalesce("first.time", F.lit("23:59")).alias("time"), F.coalesce("last_num", F.lit(0)).alias("last_num"),
+        "date", "n", "first_pos", F.coalesce("first_num", F.lit(0)).alias("num"),
+        F.coalesce("first_time", F.lit("23:59")).alias("time"), F.coalesce("last_num", F.lit(0)).alias("last_num"),
     )
-    listed = runs.groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("days"))
     start = F.struct(
         F.lit(None).cast("int").alias("last"), F.array().cast("array<struct<date:date,head:bigint>>").alias("heads")
     )
@@ -212,18 +212,34 @@ def sequence_carry_back(rows: DataFrame) -> DataFrame:
     def step(acc: Column, day: Column) -> Column:
         follows = (day["num"] - acc["last"]).isin(*CARRY_STEPS)
         moves = F.coalesce((day["time"] < EARLY_BEFORE) & (day["num"] > CARRY_ABOVE) & follows, F.lit(False))
+        head = F.array(F.struct(day["date"].alias("date"), day["first_pos"].cast("bigint").alias("head")))
         return F.struct(
             F.when(~(moves & (day["n"] == 1)), day["last_num"]).cast("int").alias("last"),
-            F.when(
-                moves,
-                F.concat(acc["heads"], F.array(F.struct(day["date"].alias("date"), day["first_pos"].cast("bigint").alias("head")))),
-            ).otherwise(acc["heads"]).alias("heads"),
+            F.when(moves, F.concat(acc["heads"], head)).otherwise(acc["heads"]).alias("heads"),
         )
 
-    decided = listed.select(F.inline(F.aggregate("days", start, step)["heads"]))
+    return _day_runs(ends, entry).select(F.inline(F.aggregate("days", start, step)["heads"]))
+
+
+def apply_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows with ``moved`` and ``new_date`` from the heads of ``carry_heads``."""
     return (
-        rows.join(F.broadcast(decided), "date", "left")
+        rows.join(F.broadcast(heads), "date", "left")
         .withColumn("moved", F.coalesce(F.col("position") == F.col("head"), F.lit(False)))
         .withColumn("new_date", F.when(F.col("moved"), F.date_sub("date", 1)).otherwise(F.col("date")))
         .drop("head")
     )
+
+
+def sequence_carry_back(rows: DataFrame) -> DataFrame:
+    """Every row with ``moved`` = whether it belongs to the day before."""
+    return apply_heads(rows, carry_heads(rows))
+
+
+def _day_runs(days: DataFrame, entry: Column) -> DataFrame:
+    """One row per run of consecutive days with its day summaries in order. A
+    run holds one small struct per calendar day."""
+    window = Window.partitionBy(F.lit(1)).orderBy("date")
+    broken = F.coalesce(F.datediff("date", F.lag("date").over(window)) != 1, F.lit(True))
+    runs = days.withColumn("__b", broken.cast("int")).withColumn("run", F.sum("__b").over(window))
+    return runs.groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("days"))

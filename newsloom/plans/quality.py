@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import localised_date, localised_day_name
 from newsloom.functions.text import null_to_empty
-from newsloom.operators.places import geocode
-from newsloom.operators.sequence import per_group_cap, sequence_carry_back, sequence_restart
+from newsloom.operators.places import alert_points, geocode
+from newsloom.operators.scale import collect_parts, id_bucket
+from newsloom.operators.sequence import apply_cuts, apply_heads, carry_heads, per_group_cap, restart_cuts
 from newsloom.operators.sets import missing_days
-from newsloom.schemas import CATEGORIES, REPORT, SHORT_COUNTERS
-from newsloom.sources.reports import array_length, report_day, stored_counter
+from newsloom.schemas import CATEGORIES, REPORT, REPORT_ARRAYS, SHORT_COUNTERS
+from newsloom.session import stage_table
+from newsloom.sinks.dumps import pull_threshold
+from newsloom.sinks.reports import point_lists
+from newsloom.sources.reports import array_length, event_id, readable, report_day, stored_counter
 
 PREPENDED = 1 << 40  # positions of rows moved in front of a day
 
@@ -192,22 +196,34 @@ def issue_report(issues: DataFrame, cap: int = 50) -> dict[str, DataFrame]:
 # -- repair --------------------------------------------------------------------------
 
 
-def repair_boundaries(statements: DataFrame) -> DataFrame:
+def repair_boundaries(statements: DataFrame, stage: bool = True) -> DataFrame:
     """E2 then E3: statements with the day they belong to. Rows moved forward
-    stand in front of their new day, rows moved back at its end."""
-    forward = sequence_restart(statements)
-    shifted = forward.select(
-        *[c for c in statements.columns if c not in ("date", "position")],
-        F.col("new_date").alias("date"),
-        F.when(F.col("moved"), F.col("position") - PREPENDED).otherwise(F.col("position")).alias("position"),
-        F.col("moved").alias("moved_forward"),
-    )
-    back = sequence_carry_back(shifted)
-    return back.select(
-        *[c for c in shifted.columns if c not in ("date", "position")],
-        F.col("new_date").alias("date"),
-        F.when(F.col("moved"), F.col("position") + 2 * PREPENDED).otherwise(F.col("position")).alias("position"),
-        F.col("moved").alias("moved_back"),
+    stand in front of their new day, rows moved back at its end.
+
+    The decisions need several passes over the narrow columns only; these and
+    the day decisions are staged, so the statements themselves are read once.
+    """
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        return stage_table(table, name) if stage else table
+
+    def forward(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+        moved = F.col("moved")
+        return apply_cuts(rows, cuts).select(
+            *[c for c in rows.columns if c not in ("date", "position")], F.col("new_date").alias("date"),
+            F.when(moved, F.col("position") - PREPENDED).otherwise(F.col("position")).alias("position"),
+            moved.alias("moved_forward"),
+        )
+
+    narrow = kept(statements.select("date", "position", "num", "time", "badge"), "boundaries")
+    cuts = kept(restart_cuts(narrow), "cuts")
+    heads = kept(carry_heads(forward(narrow, cuts)), "heads")
+    shifted = forward(statements, cuts)
+    moved = F.col("moved")
+    return apply_heads(shifted, heads).select(
+        *[c for c in shifted.columns if c not in ("date", "position")], F.col("new_date").alias("date"),
+        F.when(moved, F.col("position") + 2 * PREPENDED).otherwise(F.col("position")).alias("position"),
+        moved.alias("moved_back"),
     )
 
 
@@ -238,6 +254,54 @@ def missing_points(alerts: DataFrame, points: DataFrame, gazetteer: DataFrame) -
     return geocode(without, "location", gazetteer, "first", None, row_key=("id",))
 
 
+def repair_archive(reports: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Q9: statements moved to their day (E2, E3), counters and names set (R1,
+    R2), missing points added (R3). A next day without a document gets one.
+
+    Only the statement rows are regrouped; the other arrays stay in their
+    document. Output: ``schemas.REPORT`` columns and ``part`` (above 0 only for
+    days with more statements than one document holds)."""
+    docs = readable(reports).withColumn("__day", report_day()).where(F.col("__day").isNotNull())
+    flat = docs.select(F.col("__day").alias("date"), F.posexplode("bayanat").alias("position", "item"))
+    statements = flat.select(
+        "date", F.col("position").cast("long").alias("position"), "item", F.coalesce("item.num", F.lit(0)).alias("num"),
+        F.coalesce("item.postTime", F.lit("00:00")).alias("time"), F.col("item.badge").alias("badge"),
+    )
+    moved = repair_boundaries(statements)
+    lists = collect_parts(moved, ["date"], ["position"], [id_bucket("position")], F.col("item"), "bayanat")
+    grouped = lists.select(F.col("date").alias("__day"), "part", "bayanat")
+    rest = [c for c in docs.columns if c not in ("bayanat", "__day")]
+    joined = docs.select("__day", *rest).join(grouped, "__day", "full_outer")
+    first = F.coalesce("part", F.lit(0)) == 0
+    empty = {f.name: F.array().cast(f.dataType) for f in REPORT.fields if f.name in REPORT_ARRAYS or f.name == "sirenPoints"}
+    arrays = [F.when(first, F.coalesce(F.col(c), e)).otherwise(e).alias(c) if c != "bayanat" else F.coalesce(F.col(c), e).alias(c) for c, e in empty.items()]
+    days = joined.select(
+        F.date_format("__day", "yyyy-MM-dd").alias("file_date"), F.coalesce("part", F.lit(0)).alias("part"),
+        "date", "dayAr", "dateAr", F.coalesce("hijri", F.lit("")).alias("hijri"), "stats", *arrays,
+    )
+    fixed = repair_documents(days)
+    if gazetteer is None:
+        return fixed.drop("file_date")
+    alerts = fixed.where((F.size("sirens") > 0) & (F.size("sirenPoints") == 0)).select(
+        F.to_date("date").alias("date"), F.posexplode("sirens").alias("position", "s")
+    ).select("date", "position", event_id(F.col("date"), F.lit(1), F.col("position")).alias("id"), "s.time", "s.location")
+    found = point_lists(alert_points(geocode(alerts, "location", gazetteer, "first", None)))
+    added = found.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "part", F.col("sirenPoints").alias("__added"))
+    return (
+        fixed.drop("file_date").join(added, ["date", "part"], "left")
+        .withColumn("sirenPoints", F.coalesce("__added", "sirenPoints")).drop("__added")
+    )
+
+
+def pull_audit(dumps: DataFrame, averages: DataFrame) -> DataFrame:
+    """Q11: per dumped day the record count, its threshold and whether it is
+    adequate. ``dumps``: ``date, records``; ``averages``: ``month, average``."""
+    months = averages.select(F.col("month").alias("__m"), "average")
+    joined = dumps.withColumn("__m", F.trunc("date", "MM")).join(months, "__m", "left")
+    limit = pull_threshold(F.col("average"))
+    return joined.select("date", "records", limit.alias("threshold"), (F.col("records") >= limit).alias("adequate"))
+
+
 # -- coverage and comparison ------------------------------------------------------------
 
 

@@ -159,3 +159,8 @@ def range_statistics(
         ).alias("totals"),
         "targets", "weapons", "losses",
     )
+
+
+def statistics_json(document: DataFrame) -> DataFrame:
+    """The statistics document as one JSON text."""
+    return document.select(F.to_json(F.struct(*document.columns)).alias("json"))

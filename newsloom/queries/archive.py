@@ -424,3 +424,92 @@ def quality_rates(spark, folder):
         rows, other=F.col("category") == X.OTHER,
         empty_weapon=(F.col("category") == "bayanat") & (F.coalesce("weapon", F.lit("")) == ""),
     )
+
+
+# -- whole pages and months ---------------------------------------------------------------
+
+
+@query(
+    f"SELECT date, count(*) FILTER (WHERE category = 'purchase') AS statements, count(*) FILTER (WHERE category = 'purchase' AND {_FORM} = 1) AS hits, "
+    f"count(*) FILTER (WHERE category = 'purchase' AND {_FORM} = 1) AS tanks, CAST(0 AS BIGINT) AS aircraft, count(*) FILTER (WHERE category = 'purchase' AND {_FORM} = 2) AS settlements, "
+    f"CAST(0 AS BIGINT) AS bases, count(*) FILTER (WHERE category = 'error') AS alerts FROM {EV} WHERE category <> 'signup' GROUP BY date"
+)
+def day_headlines(spark, folder):
+    from newsloom.plans.pages import day_headlines as headlines
+
+    return headlines(archive_events(spark, folder))
+
+
+@query(
+    f"SELECT 'classes' AS panel, CASE form WHEN 1 THEN 'tank' WHEN 2 THEN 'settlement' ELSE 'troops' END AS label, count(*) AS n FROM {_STATEMENTS} GROUP BY 2 "
+    f"UNION ALL (SELECT 'places', regexp_extract(target, 'نقطة[12]', 0) AS label, count(*) AS n FROM {_STATEMENTS} WHERE regexp_matches(target, 'نقطة[12]') GROUP BY 2) "
+    f"UNION ALL SELECT 'hits', 'hits', count(*) FILTER (WHERE form = 1) FROM {_STATEMENTS}"
+)
+def statement_page(spark, folder):
+    from newsloom.plans.pages import statement_page as page
+
+    sets = page(archive_events(spark, folder), ["نقطة1", "نقطة2"])
+    hits = sets["hits"].select(F.lit("hits").alias("panel"), F.lit("hits").alias("label"), F.col("hits").alias("n"))
+    named = [sets[p].select(F.lit(p).alias("panel"), "label", "n") for p in ("classes", "places")]
+    return named[0].unionByName(named[1]).unionByName(hits)
+
+
+_MONTHLY = (
+    f"(SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) FILTER (WHERE category = 'purchase') AS bayanat, count(*) FILTER (WHERE category = 'error') AS sirens, "
+    f"count(*) FILTER (WHERE category = 'view') AS enemy, count(*) FILTER (WHERE category = 'click') AS videos, count(DISTINCT date) AS days FROM {EV} WHERE category <> 'signup' GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH t AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, target, count(*) AS n FROM {_STATEMENTS} GROUP BY 1, 2), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY n DESC, target) AS k FROM t), "
+    "j AS (SELECT month, string_agg(target, ' و' ORDER BY k) AS targets FROM r WHERE k <= 3 GROUP BY month), "
+    f"w AS (SELECT month, weapon FROM (SELECT CAST(date_trunc('month', date) AS DATE) AS month, weapon, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY count(*) DESC, weapon) AS k FROM {_STATEMENTS} WHERE weapon <> '' GROUP BY 1, date_trunc('month', date), 2) WHERE k = 1), "
+    f"p AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, max(n) AS peak FROM (SELECT date, count(*) AS n FROM {EV} WHERE category = 'error' GROUP BY date) GROUP BY 1) "
+    "SELECT m.month, bayanat + sirens + enemy + videos AS total, days, peak, "
+    "'ركّزت المقاومة عملياتها على ' || targets || '،' || ' باستخدام ' || weapon || ' بشكل رئيسي.' || "
+    "CASE WHEN peak >= 15 THEN ' صفارات الإنذار لم تتوقف في مستوطنات الشمال، وبلغت ذروتها بـ' || peak || ' صفارة في يوم واحد.' ELSE ' صفارات الإنذار دوّت في مستوطنات الشمال بشكل متواصل.' END || "
+    f"' إعلام العدو رصد تداعيات العمليات على مدى الشهر.' AS brief FROM {_MONTHLY} m JOIN j USING (month) JOIN w USING (month) JOIN p USING (month)"
+)
+def month_summary(spark, folder):
+    from newsloom.plans.months import month_summary as summary
+
+    rows = archive_events(spark, folder)
+    months, _ = summary(K.daily_pivot(rows), rows)
+    return months.select("month", "total", "days", "peak", "brief")
+
+
+@query(
+    f"WITH d AS (SELECT date, CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS total, count(*) FILTER (WHERE category = 'error') AS sirens FROM {EV} WHERE category <> 'signup' GROUP BY date), "
+    "t AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY total DESC, date) AS k FROM d), "
+    f"f AS (SELECT date, target, min(id) AS first_id FROM {_STATEMENTS} GROUP BY 1, 2), g AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY first_id) AS k FROM f), "
+    "h AS (SELECT date, string_agg(target, ' و' ORDER BY k) AS targets FROM g WHERE k <= 3 GROUP BY date) "
+    "SELECT t.date, total, CAST(row_number() OVER (PARTITION BY month ORDER BY t.date) AS INTEGER) AS number, 'استهداف ' || targets AS headline FROM t JOIN h ON t.date = h.date WHERE k <= 4"
+)
+def month_top_days(spark, folder):
+    from newsloom.plans.months import month_summary as summary
+
+    rows = archive_events(spark, folder)
+    return summary(K.daily_pivot(rows), rows)[1].select("date", "total", "number", "headline")
+
+
+@query(
+    f"SELECT 'kpis' AS part, category AS key, count(*) AS n FROM {EV} GROUP BY 2 UNION ALL SELECT 'hours', substr(time, 1, 2), count(*) FROM {EV} GROUP BY 2 "
+    f"UNION ALL SELECT 'days', CAST(date AS VARCHAR), n FROM (SELECT date, count(*) AS n FROM {EV} GROUP BY date ORDER BY n DESC, date LIMIT 20)"
+)
+def export_tables(spark, folder):
+    from newsloom.plans.dashboard import export_tables as export
+
+    sets = export(events(spark, folder).withColumns({c: F.lit(None).cast("string") for c in ("subtitle", "location", "full_text")}))
+    return (
+        sets["kpis"].select(F.lit("kpis").alias("part"), F.col("category").alias("key"), "n")
+        .unionByName(sets["hourly_density"].select(F.lit("hours").alias("part"), F.lpad(F.col("hour").cast("string"), 2, "0").alias("key"), F.col("count").alias("n")))
+        .unionByName(sets["most_active_days"].select(F.lit("days").alias("part"), F.col("date").cast("string").alias("key"), F.col("total").alias("n")))
+    )
+
+
+@query(f"SELECT date, count(*) FILTER (WHERE category = 'error') AS sirens, count(*) FILTER (WHERE category <> 'signup') AS total FROM {EV} GROUP BY date")
+def day_index(spark, folder):
+    rows = archive_events(spark, folder)
+    index = P.day_index(K.daily_pivot(rows), P.keyword_rows(rows))
+    return index.where("part = 0").select("date", "sirens", "total")

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import counts as K
 from newsloom.operators import sequence as S
-from newsloom.operators.scale import number_rows
+from newsloom.operators.scale import collect_parts, id_bucket, number_rows
 from newsloom.operators.sets import missing_days as day_differences
 from newsloom.plans import quality as Q
 from newsloom.queries.archive import documents
 from newsloom.queries.base import EV, events, query, table
-from newsloom.sinks.dumps import pull_threshold
+from newsloom.schemas import REPORT
+from newsloom.session import stage_table
 
 _DAILY = f"(SELECT date, count(*) AS n FROM {EV} WHERE category = 'error' AND dayofmonth(date) NOT IN (5, 17) AND (dayofmonth(date) % 6 > 0 OR hour(ts) < 6) GROUP BY date)"
 
@@ -65,11 +66,14 @@ def missing_estimate(spark, folder):
     return Q.missing_estimate(_coverage(spark, folder))
 
 
-@query(f"SELECT date, raw, raw >= greatest(5, CAST(floor(floor(month_avg) / 2) AS INTEGER)) AS adequate FROM {_COVER}")
+@query(
+    f"WITH a AS (SELECT date_trunc('month', date) AS m, CAST(floor(avg(n)) AS BIGINT) AS a FROM {_DAILY} GROUP BY 1) "
+    f"SELECT date, n AS records, CAST(greatest(5, a // 2) AS INTEGER) AS threshold, n >= greatest(5, a // 2) AS adequate FROM {_DAILY} JOIN a ON date_trunc('month', date) = m"
+)
 def pull_audit(spark, folder):
-    return _coverage(spark, folder).select(
-        "date", "raw", (F.col("raw") >= pull_threshold(F.floor("month_avg"))).alias("adequate")
-    )
+    days = _daily(spark, folder)
+    averages = days.groupBy(F.trunc("date", "MM").alias("month")).agg(F.floor(F.avg("n")).alias("average"))
+    return Q.pull_audit(days.withColumnRenamed("n", "records"), averages)
 
 
 @query("SELECT conv_id, turn, count(*) AS n FROM conversations GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT l_orderkey, l_linenumber, count(*) FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -243,3 +247,33 @@ def clean_days(spark, folder):
 def repair_documents(spark, folder):
     fixed = Q.repair_documents(_spoiled(spark, folder))
     return fixed.select(F.to_date("date").alias("date"), F.col("stats.videos").cast("long").alias("videos"), F.col("dayAr").alias("day_name"))
+
+
+_REPAIRED = f"(SELECT CAST(CASE WHEN moved THEN date + 1 ELSE date END AS DATE) AS date, num, time, moved, position FROM {_MOVED})"
+
+
+@query(
+    f"WITH r AS {_REPAIRED}, o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY moved DESC, position) AS k, count(*) OVER (PARTITION BY date) AS n FROM r), "
+    "l AS (SELECT date, arg_max(num, k) AS last FROM o GROUP BY date), "
+    "b AS (SELECT o.date, o.k FROM o JOIN l ON l.date = o.date - 1 WHERE o.k = 1 AND o.time < '02:00' AND o.num > 3 AND o.num - l.last IN (1, 2)), "
+    "f AS (SELECT CAST(CASE WHEN b.k IS NOT NULL THEN o.date - 1 ELSE o.date END AS DATE) AS date, o.num FROM o LEFT JOIN b ON o.date = b.date AND o.k = b.k) "
+    "SELECT date, CAST(count(*) AS INTEGER) AS statements, CAST(sum(num) AS BIGINT) AS numbers FROM f GROUP BY date"
+)
+def repair_archive(spark, folder):
+    """Numbered statements as day documents, repaired as a whole."""
+    item = F.struct(
+        "num", F.col("time").alias("postTime"), *[F.lit("").alias(n) for n in ("opTime", "target", "weapon")], "badge",
+        F.array().cast("array<string>").alias("tags"), *[F.lit("x").alias(n) for n in ("bayan_type", "fullText")],
+        F.lit(None).cast(REPORT["bayanat"].dataType.elementType["strikes"].dataType).alias("strikes"),
+    )
+    numbered = stage_table(_numbered(spark, folder), "numbered")
+    lists = collect_parts(numbered, ["date"], ["position"], [id_bucket("position", 64)], item, "bayanat")
+    docs = lists.select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), F.date_format("date", "yyyy-MM-dd").alias("file_date"), "bayanat",
+        *[F.lit(None).cast(REPORT[c].dataType).alias(c) for c in REPORT.fieldNames() if c not in ("date", "bayanat")],
+    )
+    fixed = Q.repair_archive(docs).where(F.size("bayanat") > 0)
+    return fixed.select(
+        F.to_date("date").alias("date"), F.col("stats.bayanat").alias("statements"),
+        F.aggregate("bayanat", F.lit(0).cast("long"), lambda acc, b: acc + b["num"]).alias("numbers"),
+    )

@@ -172,7 +172,8 @@ def extract_date_range(spark, folder):
 def relative_date_range(spark, folder):
     day, form = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
     written = F.when(form == 0, F.lit("raids yesterday")).when(form == 1, F.lit("قبل ٩ أيام")).otherwise("2 weeks ago")
-    rows = text_table(spark, folder, "orders").select("o_orderkey", D.extract_date_range(written, day).alias("d"))
+    rows = text_table(spark, folder, "orders").select("o_orderkey", day.alias("day"), written.alias("q"))
+    rows = D.with_date_range(rows, "q", F.col("day"), "d")
     return rows.select("o_orderkey", "d.type", F.col("d.start").alias("range_start"), F.col("d.end").alias("range_end"))
 
 
