@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import norm_index
+from newsloom.functions.text import let, norm_index
 
 FIELDS = ("title", "full_text", "location", "subtitle")  # fixed: the indexed columns
 RESERVED = re.compile(r"\b(AND|OR|NOT|NEAR)\b", re.IGNORECASE)
@@ -42,10 +42,17 @@ def match_terms(rows: DataFrame, terms: Sequence[str], fields: Sequence[str] = F
     tokens) in some field. A plain filter: no shuffle, and column and partition
     pruning stay in force."""
 
-    def one(term: str) -> Column:
-        return reduce(lambda a, b: a | b, [token_text(F.col(f)).contains(_term_key(term)) for f in fields])
+    return rows.where(_all_in_some([token_text(F.col(f)) for f in fields], [_term_key(t) for t in terms]))
 
-    return rows.where(reduce(lambda a, b: a & b, [one(t) for t in terms]))
+
+def _all_in_some(texts: Sequence[Column], needles: Sequence[Column]) -> Column:
+    """Every needle is a substring of some text. The prepared texts are bound
+    once per row, whatever the number of needles."""
+
+    def some(bound: Column, needle: Column) -> Column:
+        return F.exists(bound, lambda text: text.contains(needle))
+
+    return let(F.array(*texts), lambda bound: reduce(lambda a, b: a & b, [some(bound, n) for n in needles]))
 
 
 def build_postings(rows: DataFrame, fields: Sequence[str] = FIELDS, key: str = "id") -> DataFrame:
@@ -112,13 +119,10 @@ def match_terms_indexed(rows: DataFrame, postings: DataFrame, terms: Sequence[st
 def like_all_words(rows: DataFrame, words: Sequence[str], fields: Sequence[str] = FIELDS) -> DataFrame:
     """Every word is a substring of some field, ASCII case ignored."""
 
-    def one(word: str) -> Column:
-        return reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(f), F.lit(""))).contains(word.lower()) for f in fields])
-
-    return rows.where(reduce(lambda a, b: a & b, [one(w) for w in words]))
+    texts = [F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    return rows.where(_all_in_some(texts, [F.lit(w.lower()) for w in words]))
 
 
 def all_words_filter(text: Column, words: Sequence[str]) -> Column:
     """Every normalised word is a substring of the normalised text."""
-    normal = norm_index(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a & b, [normal.contains(norm_index(F.lit(w))) for w in words])
+    return _all_in_some([norm_index(F.coalesce(text, F.lit("")))], [norm_index(F.lit(w)) for w in words])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_WIDTH = 65_536
-PART_SIZE = 50_000
+PART_SIZE = 10_000
 
 
 def id_bucket(column: str | Column, width: int = BUCKET_WIDTH) -> Column:

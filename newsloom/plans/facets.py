@@ -93,9 +93,9 @@ def keyword_rows(events: DataFrame, points: DataFrame | None = None) -> DataFram
 
 def day_keywords(keywords: DataFrame, part_size: int = 100_000) -> DataFrame:
     """The sorted keywords of a day as one text (in parts if a day has
-    more than ``part_size``). Sorting is split by the first two characters."""
+    more than ``part_size``). Sorting is split by the first four characters."""
     parts = collect_parts(
-        keywords, ["date"], ["keyword"], [F.substring("keyword", 1, 2)], F.col("keyword"), "list", part_size
+        keywords, ["date"], ["keyword"], [F.substring("keyword", 1, 4)], F.col("keyword"), "list", part_size
     )
     return parts.select("date", "part", F.array_join("list", " ").alias("keywords"))
 

@@ -88,8 +88,9 @@ def write_day_documents(documents: DataFrame, path: str) -> None:
 
 def write_event_tables(events: DataFrame, reports: DataFrame, path: str) -> None:
     """Full rebuild of both tables; events are clustered by day, so date
-    filters read only the folders of the range."""
-    events.repartition("date", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("date").parquet(f"{path}/events")
+    filters read only the folders of the range. The rebalance hint lets a day
+    with very many events be written by many tasks."""
+    events.hint("rebalance", F.col("date")).write.mode("overwrite").partitionBy("date").parquet(f"{path}/events")
     reports.write.mode("overwrite").parquet(f"{path}/reports")
 
 
