@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import ascii_digits, localise_digits, strip
-from newsloom.operators.scale import pin
+from newsloom.functions.text import ascii_digits, let, localise_digits, strip
 
 # ---- fixed values: names used in the archive's headers and phrases ---------
 MONTH_NAMES = (
@@ -168,16 +167,12 @@ def extract_date_range(query: Column, as_of: Column) -> Column:
     text without a date gives type null and comes back unchanged. Days that do
     not exist are no match.
     """
-    text = ascii_digits(strip(query))
-    return _date_range(query, text, F.lower(text), as_of)
+    return let(F.struct(query.alias("q"), as_of.alias("d"), ascii_digits(strip(query)).alias("t")), _with_lower)
 
 
-def with_date_range(rows: DataFrame, query: str, as_of: Column, out: str = "date_range") -> DataFrame:
-    """I7 for a table of texts: the prepared forms are computed once per row."""
-    prepared = pin(rows, __text=ascii_digits(strip(F.col(query))))
-    prepared = pin(prepared, __low=F.lower("__text"))
-    found = _date_range(F.col(query), F.col("__text"), F.col("__low"), as_of)
-    return prepared.withColumn(out, found).drop("__text", "__low")
+def _with_lower(ctx: Column) -> Column:
+    bound = F.struct(ctx["q"].alias("q"), ctx["d"].alias("d"), ctx["t"].alias("t"), F.lower(ctx["t"]).alias("l"))
+    return let(bound, lambda c: _date_range(c["q"], c["t"], c["l"], c["d"]))
 
 
 def _date_range(query: Column, text: Column, low: Column, as_of: Column) -> Column:

@@ -111,14 +111,28 @@ def op_time(normal: Column) -> Column:
     return F.when(F.length(found) == 4, F.concat(F.lit("0"), found)).otherwise(found)
 
 
+def before(text: Column, pattern: str) -> Column:
+    """The text in front of the first match (all of it without a match). Unlike
+    a split, the replacement compiles its pattern once, not once per row."""
+    return F.regexp_replace(text, java_regex(f"(?s)(?:{pattern}).*$"), "")
+
+
+def after(text: Column, pattern: str) -> Column:
+    """The text behind the first match; for texts known to have one."""
+    return F.regexp_replace(text, java_regex(f"(?s)^.*?(?:{pattern})"), "")
+
+
 def clean_body(text: Column) -> Column:
     """The text in front of a list, without verses, dates, times, preamble
     and day words."""
-    body = F.translate(null_to_empty(text), INVISIBLE + MARKS_CORE + SUPERSCRIPT_ALEF + TATWEEL, "")
-    body = F.split(body, java_regex(X.LIST_TAIL), 2)[0]
-    for pattern in X.BODY_REMOVALS:
-        body = F.regexp_replace(body, java_regex(pattern.replace("{LUNAR}", LUNAR_DATE)), " ")
-    return squeeze(body)
+
+    def removed(body: Column) -> Column:
+        body = before(body, X.LIST_TAIL)
+        for pattern in X.BODY_REMOVALS:
+            body = F.regexp_replace(body, java_regex(pattern.replace("{LUNAR}", LUNAR_DATE)), " ")
+        return squeeze(body)
+
+    return let(F.translate(text, INVISIBLE + MARKS_CORE + SUPERSCRIPT_ALEF + TATWEEL, ""), removed)
 
 
 def clean_location(place: Column) -> Column:
@@ -223,7 +237,9 @@ def _item_fields(rest: Column) -> Column:
     segment = F.regexp_replace(bare, java_regex(r"^في\s+"), "")
 
     def fields(seg: Column) -> Column:
-        head = F.split(seg, java_regex(X.ITEM_WEAPON), 2)[0]
+        return let(before(seg, X.ITEM_WEAPON), lambda head: parts(seg, head))
+
+    def parts(seg: Column, head: Column) -> Column:
         return F.struct(
             strip_chars(head, " ،-\n\u200f").alias("loc"),
             strip_chars(F.substring(seg, F.length(head) + 1, F.length(seg)), " .،\n\u200f").alias("phrase"),
@@ -239,9 +255,8 @@ def _item_fields(rest: Column) -> Column:
 def _raw_items(text: Column) -> Column:
     """``array<struct<opTime,rest>>`` of the items after the list marker; of the
     three written forms the first that occurs is taken."""
-    parts = F.split(text, java_regex(X.LIST_MARKER), 2)
-    head = parts[0]
-    body = strip_chars(F.split(F.get(parts, F.lit(1)), java_regex(X.LIST_STOP), 2)[0], " :\n\u200f")
+    head = before(text, X.LIST_MARKER)
+    body = strip_chars(before(after(text, X.LIST_MARKER), X.LIST_STOP), " :\n\u200f")
 
     def timed(block: Column, pattern: str) -> Column:
         rx = F.lit(java_regex(pattern))
@@ -273,7 +288,7 @@ def _raw_items(text: Column) -> Column:
 def parse_list_items(text: Column, target: Column, normal: Column) -> Column:
     """K1: ``array<struct<opTime,target,weapon>>`` of the items after a list
     marker. Null without a list."""
-    head = F.split(text, java_regex(X.LIST_MARKER), 2)[0]
+    head = before(text, X.LIST_MARKER)
     parent_weapon = F.coalesce(
         F.nullif(extract_weapon_of(head), F.lit("")), F.nullif(extract_weapon(normal), F.lit("")), F.lit("")
     )
@@ -305,7 +320,7 @@ def list_item_rows(statements: DataFrame, text: str, target: str, normal: str) -
     listed = pin(
         statements.where(has_list(F.col(text))), __raw=_raw_items(F.col(text)),
         __parent=F.coalesce(
-            F.nullif(extract_weapon_of(F.split(F.col(text), java_regex(X.LIST_MARKER), 2)[0]), F.lit("")),
+            F.nullif(extract_weapon_of(before(F.col(text), X.LIST_MARKER)), F.lit("")),
             extract_weapon(F.col(normal)),
         ),
     )

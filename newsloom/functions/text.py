@@ -113,6 +113,12 @@ def has_latin(text: Column) -> Column:
     return text.rlike("[a-zA-Z]")
 
 
+def split_at(text: Column, pattern: str) -> Column:
+    """Pieces between the matches. The matches become one control character
+    first: that pattern is compiled once, and a one-character split needs none."""
+    return F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001", -1)
+
+
 def match_spans(text: Column, terms: list[str]) -> Column:
     """``[start, end)`` of every normalised match in the original text.
 
@@ -126,7 +132,7 @@ def match_spans(text: Column, terms: list[str]) -> Column:
     if pattern is None:
         return empty
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    gaps = split_at(text, pattern)
     steps = F.zip_with(
         F.slice(gaps, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("g"), F.length(hit).alias("m"))
     )

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import split_at
 from newsloom.operators.scale import collect_lookup
 
 # ---- fixed values: keyboard layout and letter sounds -----------------------
@@ -75,7 +76,7 @@ def resolve_aliases(text: Column, aliases: dict[str, str], whole_words: bool = F
     pattern = rf"(?U)\b(?:{body})\b" if whole_words else f"(?:{body})"
     table = F.create_map(*[F.lit(x) for k in keys for x in (k, aliases[k])])
     hits = F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
-    gaps = F.split(lowered, pattern, -1)
+    gaps = split_at(lowered, pattern)
     pieces = F.zip_with(
         gaps, hits, lambda gap, hit: F.concat(gap, F.when(hit.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(table, hit), hit)))
     )

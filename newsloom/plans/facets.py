@@ -75,7 +75,7 @@ def keyword_rows(events: DataFrame, points: DataFrame | None = None) -> DataFram
     def one(column: str) -> Column:
         return F.array(F.col(column))
 
-    words = F.filter(F.split("location", r"(?U)\s+"), lambda w: F.length(w) >= 3)
+    words = F.filter(F.split(F.regexp_replace("location", r"(?U)\s+", " "), " "), lambda w: F.length(w) >= 3)
     found = (
         F.when(category == "bayanat", F.concat(one("title"), one("subtitle"), F.coalesce("tags", none),
                                                F.coalesce(listed_terms(F.col("full_text"), V.STATEMENT_TERMS), none)))

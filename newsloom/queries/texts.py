@@ -160,7 +160,7 @@ def extract_date_range(spark, folder):
         .otherwise(F.concat(month, F.date_format(day, " yyyy")))
     )
     rows = text_table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("order "), written).alias("q"))
-    found = D.with_date_range(rows, "q", F.lit(dt.date(2024, 10, 10)), "d")
+    found = rows.select("o_orderkey", D.extract_date_range(F.col("q"), F.lit(dt.date(2024, 10, 10))).alias("d"))
     return found.select("o_orderkey", "d.type", F.col("d.start").alias("range_start"), F.col("d.end").alias("range_end"), "d.remaining")
 
 
@@ -173,7 +173,7 @@ def relative_date_range(spark, folder):
     day, form = F.to_date("o_orderdate"), F.col("o_orderkey") % 3
     written = F.when(form == 0, F.lit("raids yesterday")).when(form == 1, F.lit("قبل ٩ أيام")).otherwise("2 weeks ago")
     rows = text_table(spark, folder, "orders").select("o_orderkey", day.alias("day"), written.alias("q"))
-    rows = D.with_date_range(rows, "q", F.col("day"), "d")
+    rows = rows.select("o_orderkey", D.extract_date_range(F.col("q"), F.col("day")).alias("d"))
     return rows.select("o_orderkey", "d.type", F.col("d.start").alias("range_start"), F.col("d.end").alias("range_end"))
 
 

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import let
 from newsloom.operators.scale import collect_lookup
 
 
@@ -69,19 +70,30 @@ def matches_any(text: Column, rules: Sequence[Rule]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+LONG_CHAIN = 8
+
+
 def first_match(text: Column, rules: Sequence[Rule], default: Column | None = None) -> Column:
-    """Label of the first rule that matches; later branches are not evaluated."""
+    """Label of the first rule that matches; later branches are not evaluated.
+
+    A long chain is bound to its text in a lambda: as generated code it would
+    be one method too large for the JVM to compile."""
     groups: list[tuple[str, list[Rule]]] = []
     for rule in rules:
         if groups and groups[-1][0] == rule.label:
             groups[-1][1].append(rule)
         else:
             groups.append((rule.label, [rule]))
-    chain = None
-    for label, members in groups:
-        condition = matches_any(text, members)
-        chain = F.when(condition, F.lit(label)) if chain is None else chain.when(condition, F.lit(label))
-    return chain.otherwise(default if default is not None else F.lit(None).cast("string"))
+    last = default if default is not None else F.lit(None).cast("string")
+
+    def chain(bound: Column) -> Column:
+        out = None
+        for label, members in groups:
+            condition = matches_any(bound, members)
+            out = F.when(condition, F.lit(label)) if out is None else out.when(condition, F.lit(label))
+        return out.otherwise(last)
+
+    return let(text, chain) if len(groups) > LONG_CHAIN else chain(text)
 
 
 def all_matches(text: Column, rules: Sequence[Rule]) -> Column:

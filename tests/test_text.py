@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import classify as C
@@ -73,11 +72,10 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("form", ["column", "table"])
-def test_date_phrases(spark, form):
+def test_date_phrases(spark):
     frame = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(CASES)], "i int, t string")
     as_of = F.lit(dt.date(2024, 10, 10))
-    rows = frame.withColumn("d", D.extract_date_range(t, as_of)) if form == "column" else D.with_date_range(frame, "t", as_of, "d")
+    rows = frame.withColumn("d", D.extract_date_range(t, as_of))
     for r in rows.collect():
         d = r["d"]
         got = (d["type"], d["start"] and str(d["start"]), d["end"] and str(d["end"]), d["remaining"], d["label"])
