@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import ascii_digits, let, localise_digits, strip
+from newsloom.functions.text import as_number, ascii_digits, let, localise_digits, strip
 
 # ---- fixed values: names used in the archive's headers and phrases ---------
 MONTH_NAMES = (
@@ -117,8 +117,7 @@ def clamp_date(day: Column, low: Column, high: Column) -> Column:
 
 def valid_date(year: Column, month: Column, day: Column) -> Column:
     """A calendar day, or null where there is none."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+    return F.when(year != "", F.concat_ws("-", year, month, day).try_cast("date"))
 
 
 def default_range(today: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -198,7 +197,7 @@ def _date_range(query: Column, text: Column, low: Column, as_of: Column) -> Colu
     local_ago = rf"(?:{'|'.join(AGO_WORDS)})\s+([0-9]+)\s+({units})"
     for source, pattern in ((low, english_ago), (text, local_ago)):
         whole, unit = grab(source, pattern), grab(source, pattern, 2)
-        n = grab(source, pattern, 1).try_cast("int")
+        n = as_number(grab(source, pattern, 1))
         rest, ok = _without(text, whole), (whole != "") & n.isNotNull() & (n < 1_000_000)
         safe = F.when(ok, n).otherwise(F.lit(0))
         found.append(

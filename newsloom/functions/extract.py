@@ -13,6 +13,7 @@ from newsloom.functions.text import (
     MARKS_CORE,
     SUPERSCRIPT_ALEF,
     TATWEEL,
+    as_number,
     is_noise,
     let,
     norm_match,
@@ -92,7 +93,7 @@ def media_key(text: Column) -> Column:
 
 def statement_number(normal: Column) -> Column:
     """H8: 0 when the header has no number."""
-    return F.coalesce(F.regexp_extract(normal, java_regex(C.STATEMENT_NUMBER), 1).try_cast("int"), F.lit(0))
+    return F.coalesce(as_number(F.regexp_extract(normal, java_regex(C.STATEMENT_NUMBER), 1)), F.lit(0))
 
 
 def is_general_statement(normal: Column) -> Column:

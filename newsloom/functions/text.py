@@ -104,6 +104,12 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def as_number(text: Column, dtype: str = "int") -> Column:
+    """Number of a digit string, null for ''. The empty string is tested first:
+    a failed cast costs an exception per row."""
+    return F.nullif(text, F.lit("")).try_cast(dtype)
+
+
 def null_to_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
