@@ -237,18 +237,16 @@ def _item_fields(rest: Column) -> Column:
     bare = strip_chars(rest, " .،\n\u200f")
     segment = F.regexp_replace(bare, java_regex(r"^في\s+"), "")
 
-    def fields(seg: Column) -> Column:
-        return let(before(seg, X.ITEM_WEAPON), lambda head: parts(seg, head))
-
     def parts(seg: Column, head: Column) -> Column:
-        return F.struct(
+        found = F.struct(
             strip_chars(head, " ،-\n\u200f").alias("loc"),
             strip_chars(F.substring(seg, F.length(head) + 1, F.length(seg)), " .،\n\u200f").alias("phrase"),
         )
+        whole = F.struct(seg.alias("loc"), F.lit("").alias("phrase"))
+        return F.when(F.length(head) < F.length(seg), found).otherwise(whole)
 
     def kept(seg: Column) -> Column:
-        whole = F.struct(seg.alias("loc"), F.lit("").alias("phrase"))
-        return F.when(seg.rlike(java_regex(X.ITEM_WEAPON)), fields(seg)).otherwise(whole)
+        return let(before(seg, X.ITEM_WEAPON), lambda head: parts(seg, head))
 
     return let(segment, kept)
 
