@@ -101,7 +101,8 @@ def day_dumps(spark, folder):
 )
 def parse_record_header(spark, folder):
     parsed = source.parse_record_header(source.split_records(to_day_dumps(lines(spark, folder))))
-    return parsed.select("id", "date", "time", F.col("ts").cast("timestamp_ntz").alias("ts"), "sender", "views", "forwards", "text")
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz"))
+    return parsed.select("id", "date", "time", utc.alias("ts"), "sender", "views", "forwards", "text")
 
 
 @query(f"SELECT date, count(*) AS n, CAST(sum(length({LINE})) AS BIGINT) AS chars FROM {EV} GROUP BY date")
