@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import classifier, minhash, mixing, packing, quality_rules
+from newsloom.llm import classifier, minhash, mixing, packing, pii, quality_rules
 from newsloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+def _joined(spans: Column) -> Column:
+    """Spans as kind:start:end, comma-joined in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _digest(found: DataFrame, kinds) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    base = F.sha2(_joined(F.filter("spans", lambda s: s["base"])).cast("binary"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query()
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(pii.find(documents(spark, sf_dir)), pii.BASE)
+
+
 @query()
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
