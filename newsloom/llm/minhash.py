@@ -102,6 +102,11 @@ def facts(docs: DataFrame) -> DataFrame:
     return stage(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), compute, "doc_id bigint, n bigint, fp binary, keys array<bigint>"), "minhash-facts")
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Broadcast a list of ids if it is short enough; else join by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Staged ``fp, grams`` of the documents in ``wanted`` (``doc_id``)."""
 
@@ -110,8 +115,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_fingerprint(s) for s in sets], pa.binary()), _lists(sets, pa.int64())], names=["fp", "grams"])
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_bounded(wanted), "doc_id", "left_semi")
     return stage(map_rows(chosen, compute, "fp binary, grams array<bigint>"), "minhash-sets")
 
 
@@ -212,7 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, counters: int = COUNTERS
 def unique_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that remain: one document of each component, and of
     repeated rows with its id the first; rows without an id stay."""
-    rest = near_duplicates(docs, **settings).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(rest, docs["doc_id"] == F.col("__gone"), "left_anti")
-    with_id = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id IS NULL"))
+    found = near_duplicates(docs, **settings)
+    counts = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"), F.min("kept").alias("__kept"))
+    odd = stage(counts.where("__rows > 1 OR NOT __kept").select(F.col("doc_id").alias("__id"), "__kept"), "minhash-odd")
+    gone, repeated = _bounded(odd.where("NOT __kept")), _bounded(odd.where("__kept"))
+    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    once = kept.join(repeated, kept["doc_id"] == F.col("__id"), "left_anti")
+    more = kept.join(repeated, kept["doc_id"] == F.col("__id"), "left_semi")
+    return once.unionByName(more.dropDuplicates(["doc_id"]))

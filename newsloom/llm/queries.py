@@ -69,5 +69,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def catalogue() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     return dict(QUERIES), dict(ORACLES)
