@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import classifier, minhash, mixing, packing, pii, quality_rules, suffix_tree, vectors
+from newsloom.llm import classifier, minhash, mixing, packing, pii, quality_rules, secrets, suffix_tree, vectors
 from newsloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query()
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(secrets.find(documents(spark, sf_dir)), secrets.BASE)
+
+
 @query()
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
