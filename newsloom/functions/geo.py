@@ -42,6 +42,28 @@ def intensity_opacity(count: Column) -> Column:
     return F.lit(0.35) + F.least(count, F.lit(10)) * 0.04
 
 
+def round_exact(value: Column, digits: int = 1, ties: str = "even") -> Column:
+    """Rounding of the exact binary value of a double (``bround`` rounds its
+    shortest decimal text: 0.15 is less than 15/100). ``ties``: ``even``, or
+    ``up`` for the rule of the pages.
+
+    The product with the power of ten is split into the rounded product and its
+    exact error, so the comparison with the half is exact."""
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        split = 134217729.0 * x
+        high = split - (split - x)
+        product = x * scale
+        error = (high * scale - product) + (x - high) * scale
+        below = F.floor(product).cast("double")
+        over = (product - below - 0.5) + error
+        tie = F.lit(True) if ties == "up" else below % 2 != 0
+        return (below + F.when((over > 0) | ((over == 0) & tie), 1.0).otherwise(0.0)) / scale
+
+    return F.get(F.transform(F.array(value.cast("double")), rounded), F.lit(0))
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    """Share in percent, half-even rounding, 0 for an empty whole."""
-    return F.when(whole > 0, F.bround(100.0 * part / whole, digits)).otherwise(F.lit(0.0))
+    """Share in percent as the pages show it, 0 for an empty whole."""
+    return F.when(whole > 0, round_exact(part / whole * 100.0, digits, "up")).otherwise(F.lit(0.0))

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import localised_date, localised_day_name
+from newsloom.functions.geo import round_exact
 from newsloom.functions.text import null_to_empty
 from newsloom.operators.places import alert_points, geocode
-from newsloom.operators.scale import collect_parts, id_bucket
+from newsloom.operators.scale import PART_SIZE, collect_parts, id_bucket
 from newsloom.operators.sequence import apply_cuts, apply_heads, carry_heads, per_group_cap, restart_cuts
 from newsloom.operators.sets import missing_days
 from newsloom.schemas import CATEGORIES, REPORT, REPORT_ARRAYS, SHORT_COUNTERS
 from newsloom.session import stage_table
 from newsloom.sinks.dumps import pull_threshold
 from newsloom.sinks.reports import point_lists
-from newsloom.sources.reports import array_length, event_id, readable, report_day, stored_counter
+from newsloom.sources.reports import array_length, event_id, first_position, part_number, readable, report_day, stored_counter, with_day_lengths
 
-PREPENDED = 1 << 40  # positions of rows moved in front of a day
+PREPENDED = 1 << 50  # positions of rows moved in front of a day
+LONGEST_RUN = 1000  # missing numbers listed one by one
 
 
 # -- validation ---------------------------------------------------------------------
@@ -49,14 +51,15 @@ def _missing(item: Column, *fields: str) -> Column:
     return out
 
 
-def _per_item(array: str, rules: Callable[[Column, Column], list[Column]]) -> Column:
-    listed = F.transform(F.col(array), lambda item, i: F.array(*rules(item, i)))
+def _per_item(array: str, offset: Column, rules: Callable[[Column, Column], list[Column]]) -> Column:
+    listed = F.transform(F.col(array), lambda item, i: F.array(*rules(item, i + offset)))
     return F.coalesce(F.flatten(listed), F.array())
 
 
 def report_issues(reports: DataFrame, geocodable: Callable[[Column], Column] | None = None) -> DataFrame:
-    """V1-V11 as issue rows. All rules of a document are expressions over its
-    own row, so validation needs no shuffle.
+    """V1-V11 as issue rows. The rules of a document are expressions over its
+    own row. Those on counters compare with the lengths of the whole day, whose
+    header rules count once; those on statement numbers (V6) are counted flat.
 
     ``geocodable`` counts the distinct known places among a document's alerts
     (V8); without it alerts that lack points are only a warning.
@@ -64,14 +67,11 @@ def report_issues(reports: DataFrame, geocodable: Callable[[Column], Column] | N
     day = report_day()
     expected_day, expected_date = localised_day_name(day), localised_date(day)
     bad = F.col("_corrupt_record").isNotNull()
-    nums = F.filter(F.transform(F.filter("bayanat", lambda b: ~b["badge"].eqNullSafe("communique")), lambda b: b["num"]), lambda n: n.isNotNull() & (n != 0))
-    distinct = F.array_distinct(nums)
-    repeated = F.filter(distinct, lambda n: F.size(F.filter(nums, lambda m: m == n)) > 1)
-    top = F.array_max(nums)
-    expected = F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
-    gaps, extra = F.array_except(expected, distinct), F.array_except(distinct, expected)
-    alerts, points = array_length("sirens"), array_length("sirenPoints")
+    alerts, points = F.col("__n_sirens"), F.col("__n_sirenPoints")
     known = geocodable(F.col("sirens")) if geocodable else F.lit(0)
+    leading = part_number(reports) == 0
+    offset = first_position(reports)
+    reports = with_day_lengths(reports)
 
     single = [
         _if(~F.col("date").eqNullSafe(F.col("file_date")), _issue("date", "error", _text("date field '", F.col("date"), "' != filename '", F.col("file_date"), "'"))),
@@ -82,50 +82,77 @@ def report_issues(reports: DataFrame, geocodable: Callable[[Column], Column] | N
             _issue("dateAr", "warn", _text("dateAr '", F.col("dateAr"), "' should be '", expected_date, "'"))),
     ]
     for c in CATEGORIES:
-        stored, actual = stored_counter(c), array_length(c)
+        stored, actual = stored_counter(c), F.col(f"__n_{c}")
         single += [
             _if(stored.isNull(), _issue("stats", "warn", _text(f"Missing stats.{c} (actual: ", actual, ")"))),
             _if(stored != actual, _issue("stats", "error", _text(f"stats.{c}=", stored, " but actual array length=", actual))),
         ]
     single += [
-        _if(F.size(repeated) > 0, _issue("bayan_num", "error", _text("Duplicate bayan numbers: ", _listing(repeated)))),
-        _if((F.size(nums) > 0) & (F.size(gaps) > 0), _issue("bayan_num", "warn", _text("Missing bayan numbers in sequence: ", _listing(gaps)))),
-        _if((F.size(nums) > 0) & (F.size(extra) > 0), _issue("bayan_num", "warn", _text("Extra bayan numbers outside expected range: ", _listing(extra)))),
         _if((alerts > 0) & (points == 0) & (known > 0),
             _issue("siren_points", "error", _text("Has ", alerts, " sirens but no sirenPoints (", known, " geocodable)"))),
         _if((alerts > 0) & (points == 0) & (known == 0),
             _issue("siren_points", "warn", _text("Has ", alerts, " sirens but no sirenPoints (0 geocodable from known locations)"))),
     ]
     single += [
-        _if((stored_counter(c, F.lit(0)) > 0) & F.col(c).isNull(),
+        _if((stored_counter(c, F.lit(0)) > 0) & ~F.col(f"__has_{c}"),
             _issue("missing_array", "error", _text(f"stats.{c}=", stored_counter(c), f" but '{c}' array is missing entirely")))
         for c in CATEGORIES
     ]
 
     def item_rules(array: str, name: str, category: str, fields: tuple[str, str]) -> Column:
-        return _per_item(array, lambda x, i: [_if(_missing(x, *fields), _issue(category, "warn", _text(f"{name}[", i, f"] missing {fields[0]} and fullText")))])
+        return _per_item(array, offset, lambda x, i: [_if(_missing(x, *fields), _issue(category, "warn", _text(f"{name}[", i, f"] missing {fields[0]} and fullText")))])
 
     items = [
-        _per_item("bayanat", lambda b, i: [
+        _per_item("bayanat", offset, lambda b, i: [
             _if(_missing(b, "target", "fullText"), _issue("bayan_field", "warn", _text("Bayan #", F.coalesce(b["num"], i), " missing both target and fullText"))),
             _if(b["num"].isNull(), _issue("bayan_field", "warn", _text("Bayan at index ", i, " missing 'num' field"))),
         ]),
-        _per_item("sirenPoints", lambda p, i: [
+        _per_item("sirenPoints", F.lit(0), lambda p, i: [
             _if(p["lat"].isNull() | p["lng"].isNull(), _issue("siren_points", "error", _text("sirenPoint[", i, "] missing lat/lng"))),
             _if(_missing(p, "loc"), _issue("siren_points", "warn", _text("sirenPoint[", i, "] missing 'loc' name"))),
             _if(F.coalesce(p["count"], F.lit(0)) < 1, _issue("siren_points", "warn", _text("sirenPoint[", i, "] count is ", F.coalesce(p["count"], F.lit(0))))),
         ]),
         item_rules("sirens", "Siren", "siren_field", ("location", "fullText")),
-        _per_item("sirens", lambda s, i: [_if(_missing(s, "time"), _issue("siren_field", "warn", _text("Siren[", i, "] missing time")))]),
+        _per_item("sirens", offset, lambda s, i: [_if(_missing(s, "time"), _issue("siren_field", "warn", _text("Siren[", i, "] missing time")))]),
         item_rules("enemy", "Enemy", "enemy_field", ("summary", "fullText")),
         item_rules("iran", "Iran", "iran_field", ("summary", "fullText")),
         item_rules("videos", "Video", "video_field", ("description", "fullText")),
         item_rules("allies", "Ally", "ally_field", ("summary", "fullText")),
-        _per_item("allies", lambda a, i: [_if(_missing(a, "flag"), _issue("ally_field", "warn", _text("Ally[", i, "] missing flag (country)")))]),
+        _per_item("allies", offset, lambda a, i: [_if(_missing(a, "flag"), _issue("ally_field", "warn", _text("Ally[", i, "] missing flag (country)")))]),
     ]
     unreadable = F.array(_issue("parse", "error", F.lit("Cannot parse file")))
-    found = F.array_compact(F.concat(F.array(*single), *items))
-    return reports.select(F.col("file_date").alias("date"), F.inline(F.when(bad, unreadable).otherwise(found)))
+    found = F.array_compact(F.concat(F.when(leading, F.array(*single)).otherwise(F.array()), *items))
+    listed = reports.select(F.col("file_date").alias("date"), F.when(bad, unreadable).otherwise(found).alias("found"))
+    rows = listed.select("date", F.explode("found").alias("i")).select("date", "i.category", "i.severity", "i.message")
+    return rows.unionByName(number_issues(reports.where(~bad)))
+
+
+def number_issues(reports: DataFrame) -> DataFrame:
+    """V6: numbers that repeat within a day, are missing from 1..max, or lie
+    outside. Numbers are counted flat, so parts of a day count together. Runs
+    of more than ``LONGEST_RUN`` missing numbers are written as from-to."""
+    numbers = reports.select(F.col("file_date").alias("date"), F.explode("bayanat").alias("b")).where(
+        ~F.col("b.badge").eqNullSafe("communique") & F.col("b.num").isNotNull() & (F.col("b.num") != 0))
+    counted = numbers.groupBy("date", F.col("b.num").alias("num")).agg(F.count(F.lit(1)).alias("n"))
+    days = counted.groupBy("date").agg(
+        F.sort_array(F.collect_list("num")).alias("nums"), F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("num")))).alias("repeated"))
+    above = F.concat(F.array(F.lit(0)), F.filter("nums", lambda n: n >= 1))
+    empty = F.array().cast("array<string>")
+
+    def run(n: Column, i: Column) -> Column:
+        before, size = F.get(above, i - 1), n - F.get(above, i - 1) - 1
+        whole = F.sequence(before + 1, F.least(n - 1, before + LONGEST_RUN)).cast("array<string>")
+        return F.when((i == 0) | (size < 1), empty).when(size > LONGEST_RUN, F.array(_text(before + 1, "-", n - 1))).otherwise(whole)
+
+    gaps = F.flatten(F.transform(above, run))
+    extra = F.filter("nums", lambda n: n < 1)
+    listing = F.concat(F.lit("["), F.array_join(gaps, ", "), F.lit("]"))
+    found = F.array_compact(F.array(
+        _if(F.size("repeated") > 0, _issue("bayan_num", "error", _text("Duplicate bayan numbers: ", _listing(F.col("repeated"))))),
+        _if(F.size(gaps) > 0, _issue("bayan_num", "warn", _text("Missing bayan numbers in sequence: ", listing))),
+        _if(F.size(extra) > 0, _issue("bayan_num", "warn", _text("Extra bayan numbers outside expected range: ", _listing(extra)))),
+    ))
+    return days.select("date", F.explode(found).alias("i")).select("date", "i.category", "i.severity", "i.message")
 
 
 def known_places(names: Sequence[str]) -> Callable[[Column], Column]:
@@ -177,7 +204,7 @@ def clean_days(issues: DataFrame, days: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("days"), F.count("dirty").alias("days_with_issues"),
     ).select(
         "days", "days_with_issues", (F.col("days") - F.col("days_with_issues")).alias("clean"),
-        F.bround(100.0 * (F.col("days") - F.col("days_with_issues")) / F.col("days"), 1).alias("clean_percent"),
+        round_exact(100.0 * (F.col("days") - F.col("days_with_issues")) / F.col("days"), 1).alias("clean_percent"),
     )
 
 
@@ -228,13 +255,16 @@ def repair_boundaries(statements: DataFrame, stage: bool = True) -> DataFrame:
 
 
 def repair_documents(reports: DataFrame) -> DataFrame:
-    """Counters set to array lengths, names and date set from the file."""
+    """Counters set to array lengths (of the whole day, in each of its
+    parts), names and date set from the file."""
+    columns = reports.columns
+    reports = with_day_lengths(reports)
     day = report_day()
     known = day.isNotNull()
-    counters = [array_length(c).cast("int").alias(c) for c in CATEGORIES]
+    counters = [F.col(f"__n_{c}").cast("int").alias(c) for c in CATEGORIES]
     # Older documents also carry the short keys: those present are corrected too.
     short = [
-        F.when(F.col(f"stats.{s}").isNotNull(), array_length(c)).cast("int").alias(s) for c, s in SHORT_COUNTERS.items()
+        F.when(F.col(f"stats.{s}").isNotNull(), F.col(f"__n_{c}")).cast("int").alias(s) for c, s in SHORT_COUNTERS.items()
     ]
     fixed = F.struct(*counters, F.col("stats.summaries").alias("summaries"), *short)
     return reports.select(
@@ -243,7 +273,7 @@ def repair_documents(reports: DataFrame) -> DataFrame:
         F.when(known, localised_date(day)).otherwise(F.col("dateAr")).alias("dateAr"),
         "hijri", fixed.alias("stats"),
         *[f for f in REPORT.fieldNames() if f not in ("date", "dayAr", "dateAr", "hijri", "stats")],
-        *[c for c in reports.columns if c not in REPORT.fieldNames()],
+        *[c for c in columns if c not in REPORT.fieldNames()],
     )
 
 
@@ -254,43 +284,53 @@ def missing_points(alerts: DataFrame, points: DataFrame, gazetteer: DataFrame) -
     return geocode(without, "location", gazetteer, "first", None, row_key=("id",))
 
 
-def repair_archive(reports: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+def repair_archive(reports: DataFrame, gazetteer: DataFrame | None = None, part_size: int = PART_SIZE) -> DataFrame:
     """Q9: statements moved to their day (E2, E3), counters and names set (R1,
     R2), missing points added (R3). A next day without a document gets one.
 
     Only the statement rows are regrouped; the other arrays stay in their
-    document. Output: ``schemas.REPORT`` columns and ``part`` (above 0 only for
-    days with more statements than one document holds)."""
+    document. Input and output may have days in parts (``schemas.PARTS``); the
+    columns are those of ``schemas.REPORT`` and ``schemas.PARTS``. ``part_size``
+    is that of the input, whose other arrays keep their parts."""
     docs = readable(reports).withColumn("__day", report_day()).where(F.col("__day").isNotNull())
-    flat = docs.select(F.col("__day").alias("date"), F.posexplode("bayanat").alias("position", "item"))
+    docs = docs.withColumns({"__part": part_number(reports), "__first": first_position(reports)})
+    flat = docs.select(F.col("__day").alias("date"), "__first", F.posexplode("bayanat").alias("position", "item"))
     statements = flat.select(
-        "date", F.col("position").cast("long").alias("position"), "item", F.coalesce("item.num", F.lit(0)).alias("num"),
+        "date", (F.col("position") + F.col("__first")).alias("position"), "item", F.coalesce("item.num", F.lit(0)).alias("num"),
         F.coalesce("item.postTime", F.lit("00:00")).alias("time"), F.col("item.badge").alias("badge"),
     )
     moved = repair_boundaries(statements)
-    lists = collect_parts(moved, ["date"], ["position"], [id_bucket("position")], F.col("item"), "bayanat")
-    grouped = lists.select(F.col("date").alias("__day"), "part", "bayanat")
-    rest = [c for c in docs.columns if c not in ("bayanat", "__day")]
-    joined = docs.select("__day", *rest).join(grouped, "__day", "full_outer")
-    first = F.coalesce("part", F.lit(0)) == 0
-    empty = {f.name: F.array().cast(f.dataType) for f in REPORT.fields if f.name in REPORT_ARRAYS or f.name == "sirenPoints"}
-    arrays = [F.when(first, F.coalesce(F.col(c), e)).otherwise(e).alias(c) if c != "bayanat" else F.coalesce(F.col(c), e).alias(c) for c, e in empty.items()]
-    days = joined.select(
-        F.date_format("__day", "yyyy-MM-dd").alias("file_date"), F.coalesce("part", F.lit(0)).alias("part"),
-        "date", "dayAr", "dateAr", F.coalesce("hijri", F.lit("")).alias("hijri"), "stats", *arrays,
+    lists = collect_parts(moved, ["date"], ["position"], [id_bucket("position")], F.col("item"), "bayanat", part_size)
+    grouped = lists.select(F.col("date").alias("__day"), F.col("part").alias("__part"), "bayanat")
+    arrays = [c for c in (*REPORT_ARRAYS, "sirenPoints") if c != "bayanat"]
+    header = docs.where("__part = 0").select("__day", *[F.col(c).alias(f"__{c}") for c in ("date", "dayAr", "dateAr", "hijri", "stats")])
+    days = docs.select("__day", "__part", "__first", *arrays).join(grouped, ["__day", "__part"], "full_outer").join(header, "__day", "left")
+    step = F.lit(part_size).cast("long")
+    days = days.select(
+        F.date_format("__day", "yyyy-MM-dd").alias("file_date"), F.col("__date").alias("date"), F.col("__dayAr").alias("dayAr"), F.col("__dateAr").alias("dateAr"),
+        F.coalesce("__hijri", F.lit("")).alias("hijri"), F.col("__stats").alias("stats"),
+        *[F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name) for f in REPORT.fields if f.name in arrays or f.name == "bayanat"],
+        F.col("__part").alias("part"), F.coalesce("__first", F.col("__part") * step).alias("first_position"),
     )
     fixed = repair_documents(days)
     if gazetteer is None:
         return fixed.drop("file_date")
-    alerts = fixed.where((F.size("sirens") > 0) & (F.size("sirenPoints") == 0)).select(
-        F.to_date("date").alias("date"), F.posexplode("sirens").alias("position", "s")
-    ).select("date", "position", event_id(F.col("date"), F.lit(1), F.col("position")).alias("id"), "s.time", "s.location")
-    found = point_lists(alert_points(geocode(alerts, "location", gazetteer, "first", None)))
+    lacking = with_day_lengths(fixed).where((F.col("__n_sirens") > 0) & (F.col("__n_sirenPoints") == 0))
+    alerts = lacking.select(F.to_date("date").alias("date"), "first_position", F.posexplode("sirens").alias("p", "s")).select(
+        "date", (F.col("p") + F.col("first_position")).alias("position"), "s.time", "s.location")
+    alerts = alerts.withColumn("id", event_id(F.col("date"), F.lit(1), F.col("position")))
+    found = point_lists(alert_points(geocode(alerts, "location", gazetteer, "first", None), part_size=part_size))
     added = found.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "part", F.col("sirenPoints").alias("__added"))
-    return (
-        fixed.drop("file_date").join(added, ["date", "part"], "left")
-        .withColumn("sirenPoints", F.coalesce("__added", "sirenPoints")).drop("__added")
-    )
+    # The points of a day may need more parts than its other items: these are
+    # documents with the header of the day and nothing else.
+    names = fixed.drop("file_date").columns
+    last = fixed.groupBy("date").agg(F.max("part").alias("__last"), *[F.first(c, ignorenulls=True).alias(f"__{c}") for c in ("dayAr", "dateAr", "hijri", "stats")])
+    placed = fixed.drop("file_date").join(added, ["date", "part"], "left").withColumn("sirenPoints", F.coalesce("__added", "sirenPoints")).select(*names)
+    more = added.join(last, "date").where(F.col("part") > F.col("__last")).select(*[
+        F.col("__added").alias(c) if c == "sirenPoints" else F.col(f"__{c}").alias(c) if c in ("dayAr", "dateAr", "hijri", "stats")
+        else F.col(c) if c in ("date", "part") else (F.col("part") * step).alias(c) if c == "first_position"
+        else F.array().cast(REPORT[c].dataType).alias(c) for c in names])
+    return placed.unionByName(more)
 
 
 def pull_audit(dumps: DataFrame, averages: DataFrame) -> DataFrame:
@@ -330,11 +370,11 @@ def month_coverage(days: DataFrame) -> DataFrame:
     present = F.when(F.col("covered"), F.col("raw"))
     grouped = days.groupBy(F.trunc("date", "MM").alias("month")).agg(
         total.alias("days"), covered.alias("covered"), (total - covered).alias("no_raw"), suspects.alias("suspects"),
-        F.bround(F.avg(present), 1).alias("avg"), F.percentile(present, F.lit(0.5)).alias("median"),
+        round_exact(F.avg(present), 1).alias("avg"), F.percentile(present, F.lit(0.5)).alias("median"),
         F.sum("items").alias("items"),
     )
     share = (F.col("covered") - 0.5 * F.col("suspects")) / F.col("days")
-    return grouped.withColumn("score", F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * share)), 1))
+    return grouped.withColumn("score", round_exact(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * share)), 1))
 
 
 def missing_estimate(days: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.geo import round_exact
 from newsloom.functions.classify import classify_target_type, classify_weapon_family, counter_attack_kind
 from newsloom.lexicon import statistics as V
 from newsloom.operators.scale import pin
@@ -117,7 +118,7 @@ def activity_summary(days: DataFrame, operations: DataFrame, total: Column | Non
     )
     scanned = days.agg(F.countDistinct("date").alias("days_scanned"))
     row = single_row([scanned, active])
-    average = F.when(F.col("active_days") > 0, F.bround(F.col("operations") / F.col("active_days"), 1)).otherwise(F.lit(0.0))
+    average = F.when(F.col("active_days") > 0, round_exact(F.col("operations") / F.col("active_days"), 1)).otherwise(F.lit(0.0))
     return row.select(
         "days_scanned", "active_days", average.alias("daily_avg"), "max_date", F.coalesce("max_count", F.lit(0)).alias("max_count")
     )

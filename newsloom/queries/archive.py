@@ -7,22 +7,26 @@ the columns they were built from.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import extract as X
 from newsloom.functions.text import norm_match
 from newsloom.lexicon import statistics as V
 from newsloom.operators import counts as K
-from newsloom.operators.scale import collect_parts, id_bucket, pin
+from newsloom.operators.scale import PART_SIZE, collect_parts, id_bucket, pin
 from newsloom.plans import facets as P
 from newsloom.plans import ingest as I
 from newsloom.plans import statistics as T
 from newsloom.queries.base import EV, events, query, table
-from newsloom.session import stage_table
+from newsloom.schemas import REPORT
+from newsloom.session import stage_table, work_dir
 from newsloom.sinks.dumps import day_dumps as to_day_dumps
 from newsloom.sinks.dumps import format_record as record_line
 from newsloom.sinks.dumps import merge_keep_larger as keep_larger
 from newsloom.sinks.reports import day_documents as to_documents
+from newsloom.sinks.reports import write_day_documents
 from newsloom.sources import dumps as source
 from newsloom.sources import reports as R
 
@@ -213,10 +217,10 @@ def dedupe_media(spark, folder):
     return I.dedupe_media(items(spark, folder, staged=True)).where("category = 'videos'").select("id")
 
 
-def documents(spark, folder):
+def documents(spark, folder, part_size=PART_SIZE):
     kept = items(spark, folder, staged=True).where(F.col("category") != X.OTHER)
     numbered = I.number_items(kept)
-    return to_documents(numbered, I.day_headers(messages(spark, folder)))
+    return to_documents(numbered, I.day_headers(messages(spark, folder)), part_size=part_size)
 
 
 _SRC = f"(SELECT *, {_CATEGORY} AS cat, row_number() OVER (PARTITION BY date, category ORDER BY id) - 1 AS src_idx FROM {EV} WHERE category <> 'signup')"
@@ -226,20 +230,54 @@ _TITLE = (
 )
 
 
-@query(f"SELECT date, cat AS category, src_idx, time, {_TITLE} AS title FROM {_SRC}")
+_EVENT_ROWS = f"SELECT date, cat AS category, src_idx, time, {_TITLE} AS title FROM {_SRC}"
+
+
+@query(_EVENT_ROWS)
 def documents_to_events(spark, folder):
     """Items nested into day documents and flattened back into events."""
     return R.to_events(documents(spark, folder)).select("date", "category", "src_idx", "time", "title")
 
 
-@query(
+@query(f"SELECT *, true AS unique_ids FROM ({_EVENT_ROWS})")
+def documents_to_events_parts(spark, folder):
+    """The same from days split into documents of five items, with a check that
+    no id comes twice."""
+    rows = stage_table(R.to_events(documents(spark, folder, 5)), "part-events")
+    unique = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") == 1).alias("unique_ids"))
+    return rows.select("date", "category", "src_idx", "time", "title").join(F.broadcast(unique))
+
+
+@query(_EVENT_ROWS)
+def documents_written_in_two_runs(spark, folder):
+    """Half of the days written, then the other half to the same place, and read
+    back: a later run keeps the days of an earlier one."""
+    path = f"{work_dir(spark)}/documents-{uuid.uuid4().hex}"
+    days = stage_table(documents(spark, folder, 50), "documents")
+    odd = F.dayofmonth(F.to_date("date")) % 2
+    for half in (0, 1):
+        write_day_documents(days.where(odd == half), path)
+    return R.to_events(R.read_written_reports(spark, path)).select("date", "category", "src_idx", "time", "title")
+
+
+_REPORT_ROWS = (
     f"SELECT date, CAST(count(*) FILTER (WHERE cat = 'bayanat') AS INTEGER) AS bayanat, CAST(count(*) FILTER (WHERE cat = 'sirens') AS INTEGER) AS sirens, "
     f"CAST(count(*) FILTER (WHERE cat = 'enemy') AS INTEGER) AS enemy, 0 AS iran, CAST(count(*) FILTER (WHERE cat = 'videos') AS INTEGER) AS videos, 0 AS allies, CAST(count(*) AS INTEGER) AS total FROM {_SRC} GROUP BY date"
 )
+
+
+@query(_REPORT_ROWS)
 def report_rows(spark, folder):
     return R.to_report_rows(documents(spark, folder)).drop("day_ar", "date_ar", "hijri")
 
 
+@query(_REPORT_ROWS)
+def report_rows_parts(spark, folder):
+    """From split days, with the counters taken away: the lengths are summed."""
+    split = documents(spark, folder, 5).withColumn("stats", F.lit(None).cast(REPORT["stats"].dataType))
+    return R.to_report_rows(split, count_arrays=True).drop("day_ar", "date_ar", "hijri")
+
+
 def archive_events(spark, folder):
     """Canonical event rows straight from the classified items."""
     rows = I.number_items(items(spark, folder, staged=True).where(F.col("category") != X.OTHER))
@@ -316,7 +354,7 @@ def bucket_counts(spark, folder):
 
 @query(
     f"WITH d AS (SELECT date, count(*) AS n, count(*) FILTER (WHERE form <> 1 AND kind <> 'تصدي_لعملية_تقدم') + count(*) FILTER (WHERE form = 1) + count(*) FILTER (WHERE form = 1 OR kind = 'تصدي_لعملية_تقدم') AS p FROM {_OPS} GROUP BY date) "
-    f"SELECT (SELECT count(DISTINCT date) FROM {EV}) AS days_scanned, count(*) AS active_days, round_even(sum(p) / count(*), 1) AS daily_avg, "
+    f"SELECT (SELECT count(DISTINCT date) FROM {EV}) AS days_scanned, count(*) AS active_days, CAST(printf('%.1f', sum(p) / count(*)) AS DOUBLE) AS daily_avg, "
     "(SELECT date FROM d ORDER BY n DESC, date LIMIT 1) AS max_date, max(n) AS max_count FROM d"
 )
 def activity_summary(spark, folder):

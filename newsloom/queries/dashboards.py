@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from newsloom.functions.geo import percent, round_exact
 from newsloom.functions import dates as D
 from newsloom.functions.geo import intensity_bucket
 from newsloom.operators import counts as K
@@ -73,11 +74,25 @@ def hour_dow_heatmap(spark, folder):
     f"WITH c AS (SELECT CAST(substr(time, 1, 2) AS INTEGER) AS hour, CAST(dayofweek(date) AS INTEGER) AS dow, count(*) AS count FROM {EV} GROUP BY 1, 2), "
     "d AS (SELECT dow, CAST(sum(count) AS BIGINT) AS day_total FROM c GROUP BY dow), h AS (SELECT hour, CAST(sum(count) AS BIGINT) AS hour_total FROM c GROUP BY hour), "
     "g AS (SELECT CAST(sum(count) AS BIGINT) AS grand_total, max(count) AS peak FROM c) "
-    "SELECT hour, dow, count, day_total, hour_total, grand_total, peak, CAST(round(100.0 * count / peak) AS BIGINT) AS share_of_peak "
-    "FROM c JOIN d USING (dow) JOIN h USING (hour), g"
+    "SELECT hour, dow, count, day_total, hour_total, grand_total, peak, CAST(round(100.0 * count / peak) AS BIGINT) AS share_of_peak, "
+    "CASE WHEN s * 4 = floor(s * 4) AND CAST(floor(s * 20) AS BIGINT) % 2 = 1 AND s * 20 = floor(s * 20) THEN (floor(s * 10) + 1) / 10 ELSE CAST(printf('%.1f', s) AS DOUBLE) END AS share "
+    "FROM (SELECT *, CAST(count AS DOUBLE) / grand_total * 100.0 AS s FROM c JOIN d USING (dow) JOIN h USING (hour), g)"
 )
 def heatmap_margins(spark, folder):
-    return K.heatmap_margins(events(spark, folder)).drop("share")
+    return K.heatmap_margins(events(spark, folder))
+
+
+#: n / 20 to one decimal, n from 0: the two rules of rounding, as literals.
+_EVEN = (0.0, 0.1, 0.1, 0.1, 0.2, 0.2, 0.3, 0.3, 0.4, 0.5, 0.5, 0.6, 0.6, 0.7, 0.7, 0.8, 0.8, 0.8, 0.9, 0.9)
+_PAGES = (0.0, 0.1, 0.1, 0.1, 0.2, 0.3, 0.3, 0.3, 0.4, 0.5, 0.5, 0.6, 0.6, 0.7, 0.7, 0.8, 0.8, 0.8, 0.9, 0.9)
+
+
+@query(f"SELECT p_partkey, {list(_EVEN)}[p_partkey % 20 + 1]::DOUBLE AS even, {list(_PAGES)}[p_partkey % 20 + 1]::DOUBLE AS pages, 0.3::DOUBLE AS percent FROM part")
+def exact_rounding(spark, folder):
+    """Ties in decimals are mostly none in binary: 3/20 is below 0.15."""
+    value = F.col("p_partkey") % 20 / F.lit(20.0)
+    return table(spark, folder, "part").select(
+        "p_partkey", round_exact(value).alias("even"), round_exact(value, 1, "up").alias("pages"), percent(F.lit(1), F.lit(400)).alias("percent"))
 
 
 @query(f"SELECT h AS hour, CAST(coalesce(n, 0) AS BIGINT) AS count FROM (SELECT CAST(range AS INTEGER) AS h FROM range(24)) LEFT JOIN (SELECT CAST(substr(time, 1, 2) AS INTEGER) AS hh, count(*) AS n FROM {EV} WHERE category = 'error' GROUP BY 1) ON h = hh")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import counts as K
 from newsloom.operators import sequence as S
-from newsloom.operators.scale import collect_parts, id_bucket, number_rows
+from newsloom.operators.scale import PART_SIZE, collect_parts, id_bucket, number_rows
 from newsloom.operators.sets import missing_days as day_differences
 from newsloom.plans import quality as Q
 from newsloom.queries.archive import documents
@@ -55,10 +55,11 @@ def coverage_join(spark, folder):
 @query(
     f"SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS days, count(*) FILTER (WHERE covered) AS covered, count(*) FILTER (WHERE NOT covered) AS no_raw, "
     f"count(*) FILTER (WHERE suspect) AS suspects, quantile_cont(CASE WHEN covered THEN raw END, 0.5) AS median, CAST(sum(items) AS BIGINT) AS items, "
-    f"round_even(least(100.0, greatest(0.0, 100.0 * (count(*) FILTER (WHERE covered) - 0.5 * count(*) FILTER (WHERE suspect)) / count(*))), 1) AS score FROM {_COVER} GROUP BY 1"
+    f"CAST(printf('%.1f', avg(raw) FILTER (WHERE covered)) AS DOUBLE) AS avg, "
+    f"CAST(printf('%.1f', least(100.0, greatest(0.0, 100 * ((count(*) FILTER (WHERE covered) - 0.5::DOUBLE * count(*) FILTER (WHERE suspect)) / count(*)))::DOUBLE)) AS DOUBLE) AS score FROM {_COVER} GROUP BY 1"
 )
 def month_coverage(spark, folder):
-    return Q.month_coverage(_coverage(spark, folder)).drop("avg")
+    return Q.month_coverage(_coverage(spark, folder))
 
 
 @query(f"SELECT CAST(round(sum(CASE WHEN NOT covered THEN greatest(month_avg - raw, 0) ELSE 0 END)) AS BIGINT) AS uncovered, CAST(round(sum(CASE WHEN suspect THEN greatest(month_avg - raw, 0) ELSE 0 END)) AS BIGINT) AS suspect FROM {_COVER}")
@@ -191,10 +192,10 @@ def compare_to_published(spark, folder):
     return Q.compare_to_published(counted("p_size % 3 > 0"), counted("p_size > 10 OR p_type = 'PROMO'"))
 
 
-def _spoiled(spark, folder):
+def _spoiled(spark, folder, part_size=PART_SIZE):
     """Day documents of the event archive with planted faults."""
     day = F.dayofmonth(F.to_date("date"))
-    docs = documents(spark, folder).withColumn("file_date", F.col("date")).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    docs = documents(spark, folder, part_size).withColumn("file_date", F.col("date")).withColumn("_corrupt_record", F.lit(None).cast("string"))
     stats = F.col("stats").withField("videos", F.when(day % 5 == 0, F.col("stats.videos") + 1).when(day % 5 == 1, F.lit(None)).otherwise(F.col("stats.videos")))
     return (
         docs.withColumn("stats", stats)
@@ -204,23 +205,35 @@ def _spoiled(spark, folder):
 
 
 _DAYS = f"(SELECT date, dayofmonth(date) AS d, count(*) FILTER (WHERE category = 'view') AS views FROM {EV} WHERE category <> 'signup' GROUP BY date)"
+_NUMBERS = f"(SELECT date, user_id FROM {EV} WHERE category = 'purchase' AND user_id % 4 <> 3 AND user_id <> 0)"
 _ISSUES = (
     f"(SELECT date, 'stats' AS category, 'error' AS severity, CAST(1 AS BIGINT) AS n FROM {_DAYS} WHERE d % 5 = 0 UNION ALL SELECT date, 'stats', 'warn', 1 FROM {_DAYS} WHERE d % 5 = 1 "
     f"UNION ALL SELECT date, 'dayAr', 'warn', 1 FROM {_DAYS} WHERE d % 6 = 0 UNION ALL SELECT date, 'enemy_field', 'warn', views FROM {_DAYS} WHERE d % 7 = 0 AND views > 0 "
-    f"UNION ALL SELECT date, 'siren_points', 'warn', 1 FROM {_DAYS} WHERE date IN (SELECT date FROM {EV} WHERE category = 'error'))"
+    f"UNION ALL SELECT date, 'siren_points', 'warn', 1 FROM {_DAYS} WHERE date IN (SELECT date FROM {EV} WHERE category = 'error') "
+    f"UNION ALL SELECT date, 'bayan_num', 'error', 1 FROM {_NUMBERS} GROUP BY date HAVING count(*) > count(DISTINCT user_id) "
+    f"UNION ALL SELECT date, 'bayan_num', 'warn', 1 FROM {_NUMBERS} GROUP BY date HAVING max(user_id) > count(DISTINCT user_id))"
 )
 
 
-def _issues(spark, folder):
-    """Duplicate and missing numbers are tested elsewhere."""
-    return Q.report_issues(_spoiled(spark, folder)).where("category <> 'bayan_num'")
+def _issues(spark, folder, part_size=PART_SIZE):
+    """Documents are staged: rules over rows and over numbers both read them."""
+    return Q.report_issues(stage_table(_spoiled(spark, folder, part_size), "spoiled"))
 
 
-@query(f"SELECT CAST(date AS VARCHAR) AS date, category, severity, CAST(sum(n) AS BIGINT) AS n FROM {_ISSUES} GROUP BY ALL")
+_BY_DAY = f"SELECT CAST(date AS VARCHAR) AS date, category, severity, CAST(sum(n) AS BIGINT) AS n FROM {_ISSUES} GROUP BY ALL"
+
+
+@query(_BY_DAY)
 def validate_issues(spark, folder):
     return _issues(spark, folder).groupBy("date", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_BY_DAY)
+def validate_issues_parts(spark, folder):
+    """From days split into documents of five items."""
+    return _issues(spark, folder, 5).groupBy("date", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT category, severity, CAST(sum(n) AS BIGINT) AS n FROM {_ISSUES} GROUP BY 1, 2")
 def issue_counts(spark, folder):
     return Q.issue_counts(_issues(spark, folder))
@@ -234,13 +247,12 @@ def issue_report(spark, folder):
 
 
 @query(
-    f"WITH b AS (SELECT DISTINCT date FROM {_ISSUES} WHERE category <> 'siren_points'), a AS (SELECT count(*) AS days, count(b.date) AS bad FROM {_DAYS} d LEFT JOIN b ON d.date = b.date) "
-    "SELECT days, bad AS days_with_issues, days - bad AS clean, round_even(100.0 * (days - bad) / days, 1) AS clean_percent FROM a"
+    f"WITH b AS (SELECT DISTINCT date FROM {_ISSUES}), a AS (SELECT count(*) AS days, count(b.date) AS bad FROM {_DAYS} d LEFT JOIN b ON d.date = b.date) "
+    "SELECT days, bad AS days_with_issues, days - bad AS clean, CAST(printf('%.1f', 100.0 * (days - bad) / days) AS DOUBLE) AS clean_percent FROM a"
 )
 def clean_days(spark, folder):
-    docs = _spoiled(spark, folder)
-    issues = Q.report_issues(docs).where(~F.col("category").isin("bayan_num", "siren_points"))
-    return Q.clean_days(issues, docs.select("date"))
+    docs = stage_table(_spoiled(spark, folder), "spoiled")
+    return Q.clean_days(Q.report_issues(docs), docs.select("date"))
 
 
 @query(f"SELECT date, count(*) FILTER (WHERE category = 'click') AS videos, {'['}{', '.join(repr(n) for n in ('الإثنين', 'الثلاثاء', 'الأربعاء', 'الخميس', 'الجمعة', 'السبت', 'الأحد'))}{']'}[isodow(date)] AS day_name FROM {EV} WHERE category <> 'signup' GROUP BY date")
@@ -252,28 +264,43 @@ def repair_documents(spark, folder):
 _REPAIRED = f"(SELECT CAST(CASE WHEN moved THEN date + 1 ELSE date END AS DATE) AS date, num, time, moved, position FROM {_MOVED})"
 
 
-@query(
+_REPAIRED_DAYS = (
     f"WITH r AS {_REPAIRED}, o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY moved DESC, position) AS k, count(*) OVER (PARTITION BY date) AS n FROM r), "
     "l AS (SELECT date, arg_max(num, k) AS last FROM o GROUP BY date), "
     "b AS (SELECT o.date, o.k FROM o JOIN l ON l.date = o.date - 1 WHERE o.k = 1 AND o.time < '02:00' AND o.num > 3 AND o.num - l.last IN (1, 2)), "
     "f AS (SELECT CAST(CASE WHEN b.k IS NOT NULL THEN o.date - 1 ELSE o.date END AS DATE) AS date, o.num FROM o LEFT JOIN b ON o.date = b.date AND o.k = b.k) "
     "SELECT date, CAST(count(*) AS INTEGER) AS statements, CAST(sum(num) AS BIGINT) AS numbers FROM f GROUP BY date"
 )
+
+
+@query(_REPAIRED_DAYS)
 def repair_archive(spark, folder):
     """Numbered statements as day documents, repaired as a whole."""
+    return _repaired_days(spark, folder, PART_SIZE)
+
+
+@query(_REPAIRED_DAYS)
+def repair_archive_parts(spark, folder):
+    """From days split into documents of five statements."""
+    return _repaired_days(spark, folder, 5)
+
+
+def _repaired_days(spark, folder, part_size):
     item = F.struct(
         "num", F.col("time").alias("postTime"), *[F.lit("").alias(n) for n in ("opTime", "target", "weapon")], "badge",
         F.array().cast("array<string>").alias("tags"), *[F.lit("x").alias(n) for n in ("bayan_type", "fullText")],
         F.lit(None).cast(REPORT["bayanat"].dataType.elementType["strikes"].dataType).alias("strikes"),
     )
     numbered = stage_table(_numbered(spark, folder), "numbered")
-    lists = collect_parts(numbered, ["date"], ["position"], [id_bucket("position", 64)], item, "bayanat")
+    lists = collect_parts(numbered, ["date"], ["position"], [id_bucket("position")], item, "bayanat", part_size)
     docs = lists.select(
-        F.date_format("date", "yyyy-MM-dd").alias("date"), F.date_format("date", "yyyy-MM-dd").alias("file_date"), "bayanat",
+        F.date_format("date", "yyyy-MM-dd").alias("date"), F.date_format("date", "yyyy-MM-dd").alias("file_date"), "bayanat", "part",
+        (F.col("part").cast("long") * part_size).alias("first_position"),
         *[F.lit(None).cast(REPORT[c].dataType).alias(c) for c in REPORT.fieldNames() if c not in ("date", "bayanat")],
     )
-    fixed = Q.repair_archive(docs).where(F.size("bayanat") > 0)
+    fixed = Q.repair_archive(docs, part_size=part_size).where(F.size("bayanat") > 0)
     return fixed.select(
         F.to_date("date").alias("date"), F.col("stats.bayanat").alias("statements"),
         F.aggregate("bayanat", F.lit(0).cast("long"), lambda acc, b: acc + b["num"]).alias("numbers"),
-    )
+    ).groupBy("date").agg(F.max("statements").alias("statements"), F.sum("numbers").alias("numbers"))
+

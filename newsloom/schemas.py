@@ -43,6 +43,9 @@ REPORT = _struct(
     ("iran", T.ArrayType(SOURCED)), ("videos", T.ArrayType(VIDEO)),
     ("allies", T.ArrayType(ALLY)), ("summaries", T.ArrayType(DIGEST)),
 )
+# A day with very many items is split into several documents: their number, and
+# the position of their first item in the day. Both are absent in ordinary ones.
+PARTS = _struct(("part", I), ("first_position", L))
 
 EVENT = _struct(
     ("id", L), ("date", T.DateType()), ("category", S), ("time", S), ("op_time", S), ("title", S),

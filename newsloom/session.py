@@ -24,14 +24,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The shared folder for intermediate tables, named by the cluster in
+    ``spark.checkpoint.dir``. Only a local session, whose executors are the
+    driver, may go without: it gets a folder of its own, once."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="newsloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -26,10 +26,11 @@ def day_documents(
     items: DataFrame, headers: DataFrame, points: DataFrame | None = None, part_size: int = PART_SIZE
 ) -> DataFrame:
     """Nested day documents from numbered items (``position`` inside day and
-    category). Columns of ``schemas.REPORT`` plus ``part``.
+    category). Columns of ``schemas.REPORT`` and ``schemas.PARTS``.
 
     A document holds at most ``part_size`` items per category; a larger day
     continues in further parts, so no task has to build an unbounded row.
+    ``first_position`` is the position of a part's first items; readers use it.
     Counters always describe the whole day.
     """
     used = sorted({c for m in MEMBERS.values() for c in m.values()})
@@ -54,16 +55,17 @@ def day_documents(
     if points is None:
         days = days.withColumn("sirenPoints", F.array().cast(REPORT["sirenPoints"].dataType))
     else:
-        days = days.join(points, ["date", "part"], "left").withColumn(
-            "sirenPoints", F.coalesce("sirenPoints", F.array().cast(REPORT["sirenPoints"].dataType))
-        )
+        # Points may need more parts than the items do.
+        days = days.join(points, ["date", "part"], "full_outer").withColumns(
+            {c: F.coalesce(c, F.array().cast(REPORT[c].dataType)) for c in ("sirenPoints", *REPORT_ARRAYS)})
     return (
-        days.join(counts, "date").join(headers, "date", "left")
+        days.join(counts, "date", "left").join(headers, "date", "left")
         .select(
             F.date_format("date", "yyyy-MM-dd").alias("date"),
             localised_day_name(F.col("date")).alias("dayAr"), localised_date(F.col("date")).alias("dateAr"),
             F.coalesce("hijri", F.lit("")).alias("hijri"), "stats",
             "bayanat", "sirens", "sirenPoints", "enemy", "iran", "videos", "allies", "summaries", "part",
+            (F.col("part").cast("long") * part_size).alias("first_position"),
         )
     )
 
@@ -82,8 +84,12 @@ def point_lists(points: DataFrame) -> DataFrame:
 
 
 def write_day_documents(documents: DataFrame, path: str) -> None:
-    """One folder per day."""
-    documents.withColumn("day", F.col("date")).write.mode("overwrite").partitionBy("day").json(path)
+    """One folder per day. Days that are written replace those of the same
+    date; all other days stay, so an incremental run only adds to the archive."""
+    (
+        documents.withColumn("day", F.col("date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day").json(path)
+    )
 
 
 def write_event_tables(events: DataFrame, reports: DataFrame, path: str) -> None:

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.text import empty_to_null
-from newsloom.schemas import CATEGORIES, REPORT, SHORT_COUNTERS
+from newsloom.schemas import CATEGORIES, PARTS, REPORT, SHORT_COUNTERS
 
-POSITION_BITS = 28  # room for positions inside one (day, category)
+POSITION_BITS = 40  # room for positions inside one (day, category): 10 ** 12
 
 
 def read_reports(spark: SparkSession, path: str, pattern: str = "????-??-??.json") -> DataFrame:
     """One row per daily document, plus ``file_date`` from the file
     name and ``_corrupt_record`` for documents that do not parse."""
-    schema = T.StructType(REPORT.fields + [T.StructField("_corrupt_record", T.StringType())])
+    schema = T.StructType(REPORT.fields + PARTS.fields + [T.StructField("_corrupt_record", T.StringType())])
     raw = (
         spark.read.schema(schema)
         .option("multiLine", True)
@@ -30,6 +30,40 @@ def read_reports(spark: SparkSession, path: str, pattern: str = "????-??-??.json
     return raw.withColumn("file_date", name)
 
 
+def read_written_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Documents as ``write_day_documents`` leaves them: one folder per day, one
+    document per line; the folder gives ``file_date``."""
+    schema = T.StructType(REPORT.fields + PARTS.fields + [T.StructField("_corrupt_record", T.StringType())])
+    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("day", T.StringType())])).option(
+        "columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return rows.withColumnRenamed("day", "file_date")
+
+
+def part_number(reports: DataFrame) -> Column:
+    return F.coalesce("part", F.lit(0)) if "part" in reports.columns else F.lit(0)
+
+
+def first_position(reports: DataFrame) -> Column:
+    """Position of a document's first items inside their day."""
+    return F.coalesce("first_position", F.lit(0)).cast("long") if "first_position" in reports.columns else F.lit(0).cast("long")
+
+
+def with_day_lengths(reports: DataFrame, key: str = "file_date", arrays: tuple[str, ...] = (*CATEGORIES, "sirenPoints")) -> DataFrame:
+    """Adds ``__n_<array>``, the array lengths of the whole day, and ``__has_<array>``,
+    whether any document of the day has the array. Only a table with parts
+    needs the sums; they are one narrow row per day."""
+    sizes = {f"__n_{c}": array_length(c) for c in arrays} | {f"__has_{c}": F.col(c).isNotNull() for c in arrays}
+    if "part" not in reports.columns:
+        return reports.withColumns(sizes)
+    # The condition is always true; it names a data column, because Spark does
+    # not read JSON for the column of unreadable records alone.
+    sums = reports.groupBy(F.col(key).alias("__key")).agg(
+        *[F.sum(v).cast("int").alias(n) if n.startswith("__n") else F.max(v).alias(n) for n, v in sizes.items()],
+        F.max(F.coalesce("hijri", F.lit(""))).alias("__any"),
+    ).where("__any >= ''").drop("__any")
+    return reports.join(sums, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+
+
 def read_reports_lenient(spark: SparkSession, path: str) -> DataFrame:
     """Any file name that starts with ``20``; the date falls back to it."""
     rows = read_reports(spark, path, "20*.json")
@@ -81,9 +115,11 @@ def array_length(category: str) -> Column:
 def to_report_rows(reports: DataFrame, count_arrays: bool = False, totals: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """B2: header and counters of each day. ``count_arrays`` falls back to the
     array length where a counter is missing (day index), else to 0 (report
-    table). ``totals`` names the categories of the total."""
-    fallback = {c: array_length(c) if count_arrays else F.lit(0) for c in CATEGORIES}
-    counted = reports.select(
+    table). ``totals`` names the categories of the total. Of a day in several
+    parts the first one has the header; counters and lengths are the day's."""
+    fallback = {c: F.col(f"__n_{c}") if count_arrays else F.lit(0) for c in CATEGORIES}
+    whole = with_day_lengths(reports, "date") if count_arrays else reports
+    counted = whole.where(part_number(reports) == 0).select(
         F.to_date("date").alias("date"), F.col("dayAr").alias("day_ar"), F.col("dateAr").alias("date_ar"), "hijri",
         *[stored_counter(c, fallback[c]).alias(c) for c in CATEGORIES],
     )
@@ -116,7 +152,7 @@ def to_events(reports: DataFrame) -> DataFrame:
             texts = [empty_to_null(field(n)).alias(n) for n in ("time", "op_time", "title", "subtitle", "badge")]
             return F.struct(
                 F.lit(category).alias("category"), F.lit(index).alias("category_index"),
-                position.cast("long").alias("src_idx"), *texts, field("num", "int"),
+                (position.cast("long") + first_position(reports)).alias("src_idx"), *texts, field("num", "int"),
                 field("tags", "array<string>"), empty_to_null(field("location")).alias("location"),
                 empty_to_null(field("full_text")).alias("full_text"),
             )

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsloom.plans.ingest import classify_messages, extract_items
-from newsloom.session import work_dir
+from newsloom.functions import extract as X
+from newsloom.plans.ingest import classify_messages, dedupe_media, extract_items
 from newsloom.sources import dumps as source
 
 
@@ -23,12 +23,16 @@ def message_stream(spark: SparkSession, folder: str) -> DataFrame:
     return source.parse_record_header(source.split_records(texts))
 
 
-def ingest_new_dumps(spark: SparkSession, folder: str, target: str, name: str = "dump_ingest") -> StreamingQuery:
-    """Append the items of all new files to ``target`` (partitioned by day), then
-    stop. Restarting continues after the last finished file."""
+def ingest_new_dumps(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Add the items of all new files to ``target`` (a folder per batch), then
+    stop. ``checkpoint`` is a lasting folder: a later session that names it goes
+    on after the last finished file. Each batch is the batch plan: noise and
+    other messages are left out, repeated videos dropped. A batch that is run
+    again after a failure replaces its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.where(~F.col("category").isin(X.NOISE, X.OTHER))
+        dedupe_media(kept).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
     items = extract_items(classify_messages(message_stream(spark, folder)))
-    return (
-        items.writeStream.format("parquet").partitionBy("date").outputMode("append")
-        .option("checkpointLocation", f"{work_dir(spark)}/streams/{name}").option("path", target)
-        .trigger(availableNow=True).start()
-    )
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
