@@ -63,7 +63,7 @@ class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once per distinct word; emptied
     when full, so memory stays bounded on any vocabulary."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         import xxhash
 
@@ -127,6 +127,22 @@ class Buffer:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(iterator of Arrow batches)`` over partitions."""
-    return df.mapInArrow(fn, schema)
+BATCH_ROWS = 2048
+
+
+def map_rows(df: DataFrame, fn, schema: str, rows_at_once: int = 256) -> DataFrame:
+    """``fn(iterator of Arrow batches)`` over partitions, in bounded memory.
+
+    Spark sends ``BATCH_ROWS`` rows at a time; the session's setting is lowered
+    to that if it is higher. They are cut into short slices (without a copy),
+    so that what a task holds and returns at once is small."""
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(setting)) <= BATCH_ROWS:
+        conf.set(setting, BATCH_ROWS)
+
+    def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_at_once):
+                yield batch.slice(start, rows_at_once)
+
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)

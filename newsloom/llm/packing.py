@@ -39,7 +39,7 @@ class Encoder(dict):
     tokens. Parts seen before come from a bounded table; new ones are merged
     from the rank file of the same vocabulary."""
 
-    def __init__(self, model: str, ranks: str, pattern: str, limit: int = 250_000):
+    def __init__(self, model: str, ranks: str, pattern: str, limit: int = 200_000):
         super().__init__()
         import tiktoken
         from tokenizers import Tokenizer
