@@ -15,7 +15,7 @@ densification, banded buckets and star-shaped candidate edges.
    rarest shingles. Frequent shared passages are no candidates this way. The
    frequencies are a table of fixed size; any order keeps the join exact.
 
-A pair at similarity 0.75 shares no bucket with probability 3e-10.
+A pair at similarity 0.75 shares no bucket with probability 4e-8.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import WordHashes, map_rows, mix64, stage, window_hashes
 from newsloom.llm.components import components
 
 WORDS = 5
-BANDS, BAND_ROWS = 40, 3
+BANDS, BAND_ROWS = 45, 4
 COUNTERS = 1 << 18
 BROADCAST_ROWS = 1_000_000  # ids; 16 MB
 
@@ -108,57 +108,73 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Staged ``fp, grams`` of the documents in ``wanted`` (``doc_id``)."""
+    """Staged ``id, n, grams`` of the documents in ``wanted`` (``doc_id``)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_fingerprint(s) for s in sets], pa.binary()), _lists(sets, pa.int64())], names=["fp", "grams"])
+        for ids, sets in _sets(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), _lists(sets, pa.int64())], names=["id", "n", "grams"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_bounded(wanted), "doc_id", "left_semi")
-    return stage(map_rows(chosen, compute, "fp binary, grams array<bigint>"), "minhash-sets")
-
-
-def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return stage(map_rows(chosen, compute, "id bigint, n bigint, grams array<bigint>"), "minhash-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``fp1, id1, fp2, id2``) that meet the threshold, as ``a, b``."""
-    left = sets.select(F.col("fp").alias("fp1"), F.col("grams").alias("g1"))
-    right = sets.select(F.col("fp").alias("fp2"), F.col("grams").alias("g2"))
-    joined = pairs.join(right, "fp2").join(left, "fp1")
+    """Pairs (``id1, id2``) that meet the threshold, as ``a, b``. Sizes are
+    compared first, so that only sets which may link are brought together."""
+    for side in ("1", "2"):
+        pairs = pairs.join(sets.select(F.col("id").alias(f"id{side}"), F.col("n").alias(f"n{side}")), f"id{side}")
+    likely = pairs.where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).select("id1", "id2").distinct()
+    left = sets.select(F.col("id").alias("id1"), F.col("grams").alias("g1"))
+    right = sets.select(F.col("id").alias("id2"), F.col("grams").alias("g2"))
     common = F.size(F.array_intersect("g1", "g2"))
+    joined = likely.join(right, "id2").join(left, "id1").withColumn("__common", common)
     return stage(
-        joined.withColumn("__common", common)
-        .where(100 * F.col("__common") >= percent * (F.size("g1") + F.size("g2") - F.col("__common")))
+        joined.where(100 * F.col("__common") >= percent * (F.size("g1") + F.size("g2") - F.col("__common")))
         .select(F.col("id1").alias("a"), F.col("id2").alias("b")), "minhash-links")
 
 
 def _rarest(exact: DataFrame, counters: int, percent: int) -> DataFrame:
-    """Prefix of every set under the order (counter, hash)."""
-    slot = F.shiftrightunsigned(F.col("gram"), 64 - counters.bit_length() + 1).cast("int")
+    """Prefix of every set under the order (counter, hash), with the position
+    of each shingle in it."""
+    shift = 64 - counters.bit_length() + 1
+    slot = F.shiftrightunsigned(F.col("gram"), shift).cast("int")
     counted = exact.select(F.explode("grams").alias("gram")).groupBy(slot.alias("slot")).count().toArrow()  # at most `counters` rows
     table = np.zeros(counters, np.int64)
     table[counted["slot"].to_numpy()] = counted["count"].to_numpy()
-    shift = np.uint64(64 - counters.bit_length() + 1)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column("grams")
-            flat, ends = grams.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *[len(x) for x in grams]])
-            kept, owner = [], []
+            kept, places, owner = [], [], []
             for i in range(batch.num_rows):
-                own = flat[ends[i] : ends[i + 1]]
+                own = grams[i].values.to_numpy(zero_copy_only=False)
                 n = len(own) - -(-percent * len(own) // 100) + 1
-                kept.append(own[np.lexsort((own, table[(own.view(np.uint64) >> shift).astype(np.int64)]))[:n]])
+                kept.append(own[np.lexsort((own, table[(own.view(np.uint64) >> np.uint64(shift)).astype(np.int64)]))[:n]])
+                places.append(np.arange(len(kept[-1])))
                 owner.append(np.full(len(kept[-1]), i))
-            rows = pa.array(np.concatenate(owner) if owner else np.empty(0, np.int64), pa.int64())
+            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (kept, places, owner)]
+            take = pa.array(flat[2], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64), pa.int64()), *[batch.column(c).take(rows) for c in ("fp", "id", "n", "component")]],
-                names=["gram", "fp", "id", "n", "component"])
+                [pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), *[batch.column(c).take(take) for c in ("id", "n", "component")]],
+                names=["gram", "place", "id", "n", "component"])
+
+    return map_rows(exact.select("id", "n", "component", "grams"), prefix, "gram bigint, place bigint, id bigint, n bigint, component bigint")
+
 
-    return map_rows(exact.select("fp", "id", "n", "component", "grams"), prefix, "gram bigint, fp binary, id bigint, n bigint, component bigint")
+def _late_pairs(exact: DataFrame, counters: int, percent: int) -> DataFrame:
+    """All pairs of different components that may link. Of a pair that does, the
+    first common shingle in the order lies so far in front in both sets that
+    what follows can still reach the overlap."""
+    prefixes = stage(_rarest(exact, counters, percent), "minhash-prefixes")
+    meeting = prefixes.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
+    met = stage(prefixes.join(meeting, "gram").withColumn("rest", F.col("n") - F.col("place")).drop("place"), "minhash-met")
+    one, two = (met.select("gram", *[F.col(c).alias(f"{c}{k}") for c in ("id", "n", "rest", "component")]) for k in (1, 2))
+    possible = (
+        (F.col("component1") < F.col("component2"))
+        & ((100 + percent) * F.least("rest1", "rest2") >= percent * (F.col("n1") + F.col("n2")))
+        & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    )
+    return one.join(two, (one["gram"] == two["gram"]) & possible).select("id1", "id2").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, counters: int = COUNTERS) -> DataFrame:
@@ -166,43 +182,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, counters: int = COUNTERS
     (``doc_id, text``; other columns are ignored).
 
     Null, empty and blank texts have empty sets and link with nothing. Rows
-    with the same id are one document. A row without an id links with nothing
-    and is kept. An empty table gives an empty result."""
+    with the same id are one document, linked with what any of its texts links
+    with. A row without an id links with nothing and is kept. An empty table
+    gives an empty result."""
     known = facts(docs)
     # The representative of a class of equal sets is its smallest id.
     classes = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__copies"))
     shared = stage(classes.where("__copies > 1").select("fp", "rep"), "minhash-classes")
-    classed = stage(
-        known.join(shared, "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-        .withColumn("keys", F.when(F.col("rep") == F.col("doc_id"), F.col("keys"))), "minhash-classed")
+    classed = known.join(_bounded(shared), "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
 
-    members = classed.where("keys IS NOT NULL AND n > 0").select(F.col("rep").alias("id"), "fp", "n", F.explode("keys").alias("key"))
+    members = classed.where("n > 0 AND rep = doc_id").select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     crowded = stage(members.join(crowds, "key"), "minhash-crowded")
-    shares = crowded.groupBy("fp", "id", "n").agg(F.sum("crowd").alias("shares"))
-    shares = stage(shares, "minhash-shares")
-    ranked = crowded.join(shares.select("fp", "shares"), "fp")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("shares", "fp", "id", "n")).alias("c"))
-    stars = (
-        crowded.join(centres, "key").where((F.col("fp") != F.col("c.fp")) & _sizes_allow(F.col("n"), F.col("c.n"), percent))
-        .select(F.col("c.fp").alias("fp1"), F.col("c.id").alias("id1"), F.col("fp").alias("fp2"), F.col("id").alias("id2")).distinct()
-    )
-    sets = full_sets(docs, shares.select(F.col("id").alias("doc_id")).distinct()).dropDuplicates(["fp"])
+    shares = stage(crowded.groupBy("id").agg(F.sum("crowd").alias("shares")), "minhash-shares")
+    centres = crowded.join(shares, "id").groupBy("key").agg(F.max(F.struct("shares", "id")).alias("c"))
+    stars = crowded.join(centres, "key").where(F.col("id") != F.col("c.id")).select(F.col("c.id").alias("id1"), F.col("id").alias("id2")).distinct()
+    sets = full_sets(docs, shares.select(F.col("id").alias("doc_id")))
     links = _confirmed(stars, sets, percent)
     labels = stage(components(links), "minhash-labels")
 
     # Buckets that still hold several components are joined exactly.
     placed = crowded.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    open_ = stage(placed.join(mixed, "key").select("fp", "id", "n", "component").distinct(), "minhash-open")
-    exact = stage(sets.join(open_, "fp"), "minhash-exact")
-    prefixes = stage(_rarest(exact, counters, percent), "minhash-prefixes")
-    meeting = prefixes.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
-    met = stage(prefixes.join(meeting, "gram"), "minhash-met")
-    one = met.select("gram", F.col("fp").alias("fp1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    two = met.select("gram", F.col("fp").alias("fp2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    late = one.join(two, "gram").where((F.col("c1") < F.col("c2")) & _sizes_allow(F.col("n1"), F.col("n2"), percent)).select("fp1", "id1", "fp2", "id2").distinct()
-    more = _confirmed(late, sets, percent)
+    open_ = stage(placed.join(mixed, "key").select("id", "component").distinct(), "minhash-open")
+    exact = stage(sets.join(_bounded(open_), "id"), "minhash-exact")
+    more = _confirmed(_late_pairs(exact, counters, percent), sets, percent)
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "minhash-labels")
 
