@@ -11,9 +11,11 @@ from newsloom.functions import extract as X
 from newsloom.functions.dates import lunar_date
 from newsloom.functions.text import norm_match, strip_hashtags, truncate
 from newsloom.lexicon import categories as C
-from newsloom.operators.scale import id_bucket, number_rows, pin, top_per_group
+from newsloom.operators.places import alert_points, geocode
+from newsloom.operators.scale import PART_SIZE, id_bucket, number_rows, pin, top_per_group
 from newsloom.rules import Rule
 from newsloom.session import stage_table
+from newsloom.sinks.reports import day_documents, point_lists
 from newsloom.sources import dumps as source
 
 SUMMARY_LENGTH, DIGEST_LENGTH = 200, 300  # fixed values of the report format
@@ -109,3 +111,17 @@ def ingest(
         items = stage_table(items, "items", partition_by="category")
     kept = dedupe_media(items.where(~F.col("category").isin(X.NOISE, X.OTHER)))
     return number_items(kept), day_headers(items)
+
+
+def ingest_documents(
+    spark: SparkSession, path: str | list[str], gazetteer: DataFrame | None = None, existing: DataFrame | None = None,
+    rules: Sequence[Rule] | None = None, part_size: int = PART_SIZE,
+) -> DataFrame:
+    """Q1, Q2 to the end: the day documents of all new days, with alert points
+    where a gazetteer is given (the longest place name in an alert counts)."""
+    items, headers = ingest(spark, path, existing, rules)
+    points = None
+    if gazetteer is not None:
+        alerts = items.where(F.col("category") == "sirens").select("date", "position", "id", "time", "location")
+        points = point_lists(alert_points(geocode(alerts, "location", gazetteer, "longest", row_key=("id",)), part_size=part_size))
+    return day_documents(items, headers, points, part_size)

@@ -24,6 +24,7 @@ from newsloom.schemas import REPORT
 from newsloom.session import stage_table, work_dir
 from newsloom.sinks.dumps import day_dumps as to_day_dumps
 from newsloom.sinks.dumps import format_record as record_line
+from newsloom.sinks.dumps import write_day_dumps
 from newsloom.sinks.dumps import merge_keep_larger as keep_larger
 from newsloom.sinks.reports import day_documents as to_documents
 from newsloom.sinks.reports import write_day_documents
@@ -260,6 +261,18 @@ def documents_written_in_two_runs(spark, folder):
     return R.to_events(R.read_written_reports(spark, path)).select("date", "category", "src_idx", "time", "title")
 
 
+@query(_EVENT_ROWS)
+def ingest_to_events(spark, folder):
+    """The whole way: dump files in the shared folder, messages, items, day
+    documents written and read back, events."""
+    path = f"{work_dir(spark)}/archive-{uuid.uuid4().hex}"
+    rows = messages(spark, folder)
+    lines_ = rows.select("id", "date", record_line(F.col("id"), F.lit("channel"), F.col("ts"), F.col("text"), views=F.col("user_id")).alias("record"))
+    write_day_dumps(to_day_dumps(lines_), f"{path}/raw")
+    write_day_documents(I.ingest_documents(spark, f"{path}/raw/*/*.json", part_size=50), f"{path}/data")
+    return R.to_events(R.read_written_reports(spark, f"{path}/data")).select("date", "category", "src_idx", "time", "title")
+
+
 _REPORT_ROWS = (
     f"SELECT date, CAST(count(*) FILTER (WHERE cat = 'bayanat') AS INTEGER) AS bayanat, CAST(count(*) FILTER (WHERE cat = 'sirens') AS INTEGER) AS sirens, "
     f"CAST(count(*) FILTER (WHERE cat = 'enemy') AS INTEGER) AS enemy, 0 AS iran, CAST(count(*) FILTER (WHERE cat = 'videos') AS INTEGER) AS videos, 0 AS allies, CAST(count(*) AS INTEGER) AS total FROM {_SRC} GROUP BY date"

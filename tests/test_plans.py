@@ -2,7 +2,6 @@
 
 import datetime as dt
 import json
-import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,11 +66,10 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     dump(folder, "a.json", LINE.format(1, "2024-01-02 05:06:07+00:00", "القناة 12 خبر"))
-    name = uuid.uuid4().hex
     for added in (1, 1, 2):
         if added == 2:
             dump(folder, "b.json", LINE.format(9, "2024-01-04 05:06:07+00:00", "صفارات الإنذار في الوادي"))
-        ingest_new_dumps(spark, str(folder), str(tmp_path / "out"), name).awaitTermination()
+        ingest_new_dumps(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         got = spark.read.parquet(str(tmp_path / "out")).select("id", "category").collect()
         assert len(got) == added
     assert {r["id"]: r["category"] for r in got} == {1: "enemy", 9: "sirens"}
