@@ -82,8 +82,11 @@ def trailing_median(days: DataFrame, span: int = 7, limit: float = 0.5) -> DataF
     )
 
 
-def per_group_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 50) -> DataFrame:
-    """A report of at most ``k`` rows per group."""
+def per_group_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None = None) -> DataFrame:
+    """The rows of each group with their rank; a report passes the number
+    ``k`` of rows that it shows per group."""
+    if k is None:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return top_per_group(rows, keys, order, k)
 
 

@@ -32,9 +32,9 @@ def facet_items(events: DataFrame) -> DataFrame:
     )
 
 
-def facet_counts(items: DataFrame, caps: dict[str, int] = CAPPED) -> DataFrame:
-    """Values per facet with counts; ties by first appearance. Two facets
-    are reports of the most frequent values only.
+def facet_counts(items: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Values per facet with counts; ties by first appearance. The page's
+    report (``caps=CAPPED``) has the most frequent values only of two facets.
 
     All facets are counted in one pass over the items; the counts per value are
     combined in each map task."""
@@ -50,6 +50,8 @@ def facet_counts(items: DataFrame, caps: dict[str, int] = CAPPED) -> DataFrame:
     labelled = counted.withColumn(
         "label", F.when(F.col("facet") == "badges", K.badge_label(F.col("value"))).otherwise(F.col("value"))
     )
+    if not caps:
+        return labelled
     # An uncapped value is ranked alone, so one rank filter serves all facets and
     # every task keeps at most the cap before the shuffle.
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("facet")), F.lit(1))
@@ -61,10 +63,10 @@ def facet_counts(items: DataFrame, caps: dict[str, int] = CAPPED) -> DataFrame:
     return ranked.where(F.col("__rank") <= F.col("__cap")).drop("__alone", "__cap", "__rank")
 
 
-def facets(events: DataFrame, points: DataFrame) -> dict[str, DataFrame]:
+def facets(events: DataFrame, points: DataFrame, caps: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """Q7: the three facet datasets."""
     items = facet_items(events)
-    return {"facet_counts": facet_counts(items), "facet_items": items, "coords": coords_by_day(points, "last")}
+    return {"facet_counts": facet_counts(items, caps), "facet_items": items, "coords": coords_by_day(points, "last")}
 
 
 def keyword_rows(events: DataFrame, points: DataFrame | None = None) -> DataFrame:
@@ -93,9 +95,10 @@ def keyword_rows(events: DataFrame, points: DataFrame | None = None) -> DataFram
 
 def day_keywords(keywords: DataFrame, part_size: int = 100_000) -> DataFrame:
     """The sorted keywords of a day as one text (in parts if a day has
-    more than ``part_size``). Sorting is split by the first four characters."""
+    more than ``part_size``). Sorting is split by the first twelve characters, since
+    place names often begin alike."""
     parts = collect_parts(
-        keywords, ["date"], ["keyword"], [F.substring("keyword", 1, 4)], F.col("keyword"), "list", part_size
+        keywords, ["date"], ["keyword"], [F.substring("keyword", 1, 12)], F.col("keyword"), "list", part_size
     )
     return parts.select("date", "part", F.array_join("list", " ").alias("keywords"))
 

@@ -208,15 +208,16 @@ def clean_days(issues: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def issue_report(issues: DataFrame, cap: int = 50) -> dict[str, DataFrame]:
-    """Summary, per-category counts and the first issues of each."""
+def issue_report(issues: DataFrame, cap: int | None = None) -> dict[str, DataFrame]:
+    """Summary, per-category counts and the issues of each; the
+    printed report passes ``cap=50``."""
     order = [F.asc("date"), F.asc("severity"), F.asc("message")]
     return {
         "summary": issues.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"),
                               F.count(F.when(F.col("severity") == "warn", 1)).alias("warnings"),
                               F.count(F.lit(1)).alias("total")),
         "counts": issue_counts(issues),
-        "first": per_group_cap(issues, ["category"], order, cap),
+        "first": issues if cap is None else per_group_cap(issues, ["category"], order, cap),
     }
 
 

@@ -37,29 +37,33 @@ def _in_range(events: DataFrame, date) -> DataFrame:
     return events if date["type"] is None else events.where(date_filter(date["type"], date["start"], date["end"]))
 
 
-def query_events(events: DataFrame, words: Sequence[str], postings: DataFrame | None = None, limit: int = FETCH_LIMIT) -> DataFrame:
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def query_events(events: DataFrame, words: Sequence[str], postings: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One candidate query: prefix terms first; substring matching if a word is
-    a single character or the terms find nothing. The limit is the page's fetch
-    size and applies per candidate query.
+    a single character or the terms find nothing. All hits are returned; a page
+    passes its fetch size (``FETCH_LIMIT``) as the limit of each candidate query.
 
     The second search is added under an uncorrelated existence test of the
     first, so it runs only if needed and no result is fetched to decide."""
     newest = [F.desc("date"), F.desc_nulls_last("time"), F.asc("id")]
     if any(len(w) < 2 for w in words):
-        return like_all_words(events, words).orderBy(*newest).limit(limit)
+        return _first(like_all_words(events, words).orderBy(*newest), limit)
     terms = search_terms(words)
     if not terms:
         return events.limit(0)
     hits = match_terms(events, terms) if postings is None else match_terms_indexed(events, postings, terms)
     fallback = like_all_words(events.where(~hits.select("id").limit(1).exists()), words)
-    return hits.unionByName(fallback).orderBy(*newest).limit(limit)
+    return _first(hits.unionByName(fallback).orderBy(*newest), limit)
 
 
 def search(
     events: DataFrame, query: str, as_of: dt.date, aliases: dict[str, str] | None = None,
-    postings: DataFrame | None = None,
+    postings: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Q5: result rows in display order, with ``result_number``.
+    """Q5: all result rows in display order; ``limit`` as in ``query_events``.
 
     A query that is only a date gives that range in ascending order; otherwise
     the word variants are searched, merged without duplicates (G1) and sorted
@@ -69,8 +73,8 @@ def search(
     if not query.strip():
         return events.limit(0)
     if not plan["variants"]:
-        return rows.orderBy("date", "time", "id").limit(FETCH_LIMIT)
-    parts = [query_events(rows, words, postings) for words in plan["variants"] if words]
+        return _first(rows.orderBy("date", "time", "id"), limit)
+    parts = [query_events(rows, words, postings, limit) for words in plan["variants"] if words]
     return union_dedupe(parts, ["id"]).orderBy(F.desc("date"), F.desc_nulls_last("time"), F.asc("id"))
 
 

@@ -315,7 +315,7 @@ def search_entries(spark, folder):
 _WEAPON = "CASE form WHEN 0 THEN 'صلية صاروخية' WHEN 1 THEN 'قذائف مدفعية' WHEN 2 THEN 'صاروخ موجه' END"
 
 
-@query(
+_FACETS = (
     f"WITH i AS (SELECT id, {_WEAPON} AS weapon, CASE WHEN form <> 3 THEN target END AS target, nullif(badge, '') AS badge, CASE WHEN form = 1 THEN tags END AS tag FROM {_STATEMENTS}), "
     f"l AS (SELECT id, 'في ' || {_PLACE} AS location FROM {EV} WHERE category = 'error'), "
     "p AS (SELECT 'weapons' AS facet, weapon AS value, id FROM i UNION ALL SELECT 'targets', target, id FROM i UNION ALL SELECT 'badges', badge, id FROM i "
@@ -323,12 +323,21 @@ _WEAPON = "CASE form WHEN 0 THEN 'صلية صاروخية' WHEN 1 THEN 'قذائ
     "c AS (SELECT facet, value, count(*) AS n, min(id) AS first_id FROM p WHERE value IS NOT NULL GROUP BY 1, 2), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, first_id) AS k FROM c) "
     "SELECT facet, value, n, first_id, CASE WHEN facet = 'badges' THEN CASE value WHEN 'communique' THEN 'بيان عام' WHEN 'tank' THEN 'آلية / دبابة' ELSE 'مستوطنة' END ELSE value END AS label "
-    "FROM r WHERE k <= 300 OR facet NOT IN ('targets', 'locations')"
+    "FROM r"
 )
+
+
+@query(_FACETS)
 def facet_counts(spark, folder):
     return P.facet_counts(P.facet_items(archive_events(spark, folder)))
 
 
+@query(_FACETS + " WHERE k <= 300 OR facet NOT IN ('targets', 'locations')")
+def facet_counts_page(spark, folder):
+    """The page's report of the 300 most frequent targets and places."""
+    return P.facet_counts(P.facet_items(archive_events(spark, folder)), P.CAPPED)
+
+
 @query(
     f"WITH k AS (SELECT date, unnest([target, weapon, tags] || CASE form WHEN 1 THEN ['دبابة', 'قذائف'] || CASE WHEN false THEN [] ELSE ['مدفعية'] END WHEN 0 THEN ['صاروخ', 'صلية صاروخية'] WHEN 2 THEN ['صاروخ'] ELSE [] END) AS keyword FROM {_STATEMENTS} "
     f"UNION SELECT date, {_PLACE} FROM {EV} WHERE category = 'error' UNION SELECT date, 'القناة 12' FROM {EV} WHERE category = 'view') "

@@ -243,7 +243,8 @@ def issue_counts(spark, folder):
     f"WITH t AS (SELECT category, CAST(sum(n) AS BIGINT) AS total FROM {_ISSUES} GROUP BY 1) SELECT category, least(total, 50) AS n FROM t"
 )
 def issue_report(spark, folder):
-    return Q.issue_report(_issues(spark, folder))["first"].groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """The printed report: at most 50 issues of a category."""
+    return Q.issue_report(_issues(spark, folder), 50)["first"].groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -70,26 +70,35 @@ def all_words_filter(spark, folder):
     return counts.select("category", "n").where("n > 0")
 
 
-def _search_sql(terms: list[str], extra: str = "") -> str:
+def _search_sql(terms: list[str], extra: str = "", limit: str = "") -> str:
     both = [f"({_has('full_text', t)} OR {_has('title', t)} OR {_has('subtitle', t)})" for t in terms]
     return (
-        f"SELECT id, date, time FROM {DOCS} WHERE {' AND '.join(both)}{extra} ORDER BY date DESC, time DESC, id LIMIT 80"
+        f"SELECT id, date, time FROM {DOCS} WHERE {' AND '.join(both)}{extra} ORDER BY date DESC, time DESC, id{limit}"
     )
 
 
 # "and" is a reserved word of the term language, so it does not filter.
-@query(_search_sql(["the"], " AND date BETWEEN DATE '2024-02-01' AND DATE '2024-02-29'"))
+_FEBRUARY = " AND date BETWEEN DATE '2024-02-01' AND DATE '2024-02-29'"
+
+
+@query(_search_sql(["the"], _FEBRUARY))
 def search_text_in_month(spark, folder):
     return P.search(documents(spark, folder), "the and feb 2024", dt.date(2024, 3, 1)).select("id", "date", "time")
 
 
-@query(f"SELECT id, date, time FROM {DOCS} WHERE date = DATE '2024-02-10' ORDER BY date, time, id LIMIT 80")
+@query(_search_sql(["the"], _FEBRUARY, " LIMIT 80"))
+def search_text_page(spark, folder):
+    """What the search page fetches."""
+    return P.search(documents(spark, folder), "the and feb 2024", dt.date(2024, 3, 1), limit=P.FETCH_LIMIT).select("id", "date", "time")
+
+
+@query(f"SELECT id, date, time FROM {DOCS} WHERE date = DATE '2024-02-10' ORDER BY date, time, id")
 def search_date_only(spark, folder):
     return P.search(documents(spark, folder), "2024-02-10", dt.date(2024, 3, 1)).select("id", "date", "time")
 
 
 @query(
-    f"SELECT id, date, time FROM {DOCS} WHERE contains(lower(full_text), 'eitu') OR contains(lower(title), 'eitu') ORDER BY date DESC, time DESC, id LIMIT 80"
+    f"SELECT id, date, time FROM {DOCS} WHERE contains(lower(full_text), 'eitu') OR contains(lower(title), 'eitu') ORDER BY date DESC, time DESC, id"
 )
 def search_substring_fallback(spark, folder):
     """No token starts with the word, so substrings are searched."""
