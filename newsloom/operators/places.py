@@ -49,8 +49,7 @@ def _entries(gazetteer: DataFrame, mode: str, normalise: Callable[[Column], Colu
 
 def geocode(
     rows: DataFrame, text: str, gazetteer: DataFrame, mode: str = "longest",
-    normalise: Callable[[Column], Column] | None = None, row_key: Sequence[str] = ("id",),
-    compile_limit: int = COMPILE_LIMIT,
+    normalise: Callable[[Column], Column] | None = None, compile_limit: int = COMPILE_LIMIT,
 ) -> DataFrame:
     """The best place whose name is a substring of the text; rows
     without a place are dropped. Adds ``place, lat, lng``.
@@ -61,7 +60,8 @@ def geocode(
     is joined on the leading characters of the names: every position of a text
     gives one short gram, an equi join finds the candidates, and a substring
     test keeps the true ones. No pair of text and place is formed without a
-    common gram, and each text is reduced on its own row key.
+    common gram, and each distinct text is searched once. Both ways give the
+    same rows.
     """
     if normalise is None and mode == "longest":
         normalise = norm_match
@@ -70,7 +70,7 @@ def geocode(
     if compile_limit and entries.limit(compile_limit + 1).count() <= compile_limit:
         found = _search_compiled(searched, collect_lookup(entries, compile_limit))
     else:
-        found = _search_joined(searched, entries, list(row_key))
+        found = _search_joined(searched, entries)
     return found.where(F.col("place").isNotNull()).drop("__text")
 
 
@@ -85,19 +85,21 @@ def _search_compiled(rows: DataFrame, entries: list) -> DataFrame:
     return rows.select("*", F.inline_outer(F.array(F.struct(best["name"].alias("place"), best["lat"].alias("lat"), best["lng"].alias("lng")))))
 
 
-def _search_joined(rows: DataFrame, entries: DataFrame, row_key: list[str]) -> DataFrame:
+def _search_joined(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """The places of the distinct texts, joined back on the text: rows may have
+    any keys, also none or repeated ones."""
     shortest = entries.agg(F.min(F.length("key"))).first()[0] or 1
     width = min(3, shortest)
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.length("__text") - (width - 1)), lambda i: F.substring(F.col("__text"), i, F.lit(width)))
     )
-    exploded = rows.where(F.length("__text") >= width).select(*row_key, "__text", F.explode(grams).alias("__gram"))
+    texts = rows.where(F.length("__text") >= width).select("__text").distinct()
     keyed = checked_broadcast(entries.withColumn("__gram", F.substring("key", 1, width)))
-    candidates = exploded.join(keyed, "__gram").where(F.col("__text").contains(F.col("key")))
-    best = candidates.groupBy(*row_key).agg(
+    candidates = texts.select("__text", F.explode(grams).alias("__gram")).join(keyed, "__gram").where(F.col("__text").contains(F.col("key")))
+    best = candidates.groupBy("__text").agg(
         F.min_by(F.struct(F.col("name").alias("place"), "lat", "lng"), F.struct("rank_a", "rank_b", "name")).alias("__best")
     )
-    return rows.join(best, row_key, "inner").select("*", "__best.*").drop("__best")
+    return rows.join(best, "__text", "inner").select("*", "__best.*").drop("__best")
 
 
 def alert_points(
@@ -145,14 +147,37 @@ def nearest_within(
     """Per place the nearest candidate of the same name within the limit.
 
     ``places``: ``name, lat, lng``; ``candidates``: ``name, candidate_id,
-    c_lat, c_lng``. The minimum is kept per map task before the shuffle."""
-    paired = places.join(candidates, name)
+    c_lat, c_lng``. Both fall into cells about as wide as the limit; a candidate
+    is put into the cells around it, so a frequent name is compared within
+    neighbouring cells only. The minimum is kept per map task before the
+    shuffle."""
+    placed = places.withColumn("__band", _band(F.col("lat"), limit_km)).withColumn("__cell", _cell(F.col("lng"), F.col("__band"), limit_km))
+    bands = F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: k + _band(F.col("c_lat"), limit_km))
+    around = candidates.withColumn("__band", F.explode(bands))
+    cells = F.array_distinct(F.array(*[_cell(F.col("c_lng"), F.col("__band"), limit_km, k) for k in (-1, 0, 1)]))
+    paired = placed.join(around.withColumn("__cell", F.explode(cells)), [name, "__band", "__cell"])
     measured = paired.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng")))
     return measured.where(F.col("km") <= limit_km).groupBy(name, "lat", "lng").agg(
         F.min_by("candidate_id", F.struct("km", "candidate_id")).alias("candidate_id"), F.min("km").alias("km")
     )
 
 
+KM_PER_DEGREE = 111.0  # a little less than a degree of latitude has
+
+
+def _band(lat: Column, limit_km: float) -> Column:
+    return F.floor(lat / (limit_km / KM_PER_DEGREE))
+
+
+def _cell(lng: Column, band: Column, limit_km: float, step: int = 0) -> Column:
+    """Cell of a longitude inside a band of latitudes, ``step`` cells further.
+    All cells of a band have the same width: at least the limit at the edge of
+    the next band towards the pole, with a fifth to spare."""
+    edge = F.least((F.greatest(F.abs(band), F.abs(band + 1)) + 1) * (limit_km / KM_PER_DEGREE), F.lit(89.9))
+    count = F.greatest(F.floor(360.0 / (1.2 * limit_km / KM_PER_DEGREE / F.cos(F.radians(edge)))), F.lit(1))
+    return F.pmod(F.floor((lng + 180.0) / (360.0 / count)) + step, count)
+
+
 def not_yet_fetched(places: DataFrame, cache: DataFrame, name: str = "name") -> DataFrame:
     """Names absent from the cache; a null result counts as present."""
     return places.join(cache.select(name).distinct(), name, "left_anti")

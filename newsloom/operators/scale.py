@@ -136,13 +136,13 @@ def top_per_group(
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a lookup table only after counting it; a larger one is joined
-    by shuffle and left to adaptive skew handling. The count reads at most
-    ``max_rows + 1`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32_000_000) -> DataFrame:
+    """Broadcast a lookup table only after measuring it, in rows and in bytes; a
+    larger one is joined by shuffle and left to adaptive skew handling. At most
+    ``max_rows + 1`` rows are read for that."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= max_rows and found["size"] <= max_bytes else df
 
 
 def spread(scan: DataFrame) -> DataFrame:

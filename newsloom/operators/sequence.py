@@ -13,6 +13,8 @@ from newsloom.operators.scale import BUCKET_WIDTH, carry_last, id_bucket, number
 RESTART_DROP, LATE_FROM = 5, "21:00"
 EARLY_BEFORE, CARRY_ABOVE, CARRY_STEPS = "02:00", 3, (1, 2)
 
+GAP_RUN = 10_000  # missing numbers made in one row at most
+
 
 def source_index(events: DataFrame, keys: Sequence[str] = ("date", "category"), width: int = BUCKET_WIDTH) -> DataFrame:
     """0-based position of an event inside its day and category, by id."""
@@ -91,15 +93,26 @@ def per_group_cap(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def sequence_gaps(rows: DataFrame, keys: Sequence[str], number: str, width: int = BUCKET_WIDTH) -> DataFrame:
-    """Numbers missing from 1..max of each group, one row per number.
+    """Numbers missing from 1..max of each group, one row per number, from
+    the gaps of ``sequence_gap_ranges``, in runs of at most ``GAP_RUN``."""
+    gaps = sequence_gap_ranges(rows, keys, number, width)
+    runs = gaps.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - F.col("first")) / GAP_RUN))).alias("__run"))
+    start = F.col("first") + F.col("__run") * GAP_RUN
+    missing = F.sequence(start, F.least(F.col("last"), start + (GAP_RUN - 1)))
+    return runs.select(*keys, F.explode(missing).alias("missing")).withColumn("missing", F.col("missing").cast(rows.schema[number].dataType))
+
+
+def sequence_gap_ranges(rows: DataFrame, keys: Sequence[str], number: str, width: int = BUCKET_WIDTH) -> DataFrame:
+    """``first, last`` of each gap in 1..max of a group: one row per gap,
+    however large a number is.
 
     Distinct numbers are compared with their predecessor only, so a group is
-    never collected; the runs between neighbours are the gaps."""
+    never collected."""
     present = rows.where(F.col(number) >= 1).select(*keys, number).distinct()
     carried = carry_last(present, list(keys), [number], [id_bucket(number, width)], F.col(number), "__prev")
-    gap = F.sequence(F.coalesce("__prev", F.lit(0)) + 1, F.col(number) - 1)
-    has_gap = F.col(number) - F.coalesce("__prev", F.lit(0)) > 1
-    return carried.where(has_gap).select(*keys, F.explode(gap).alias("missing"))
+    before = F.coalesce("__prev", F.lit(0)).cast("long")
+    gaps = carried.select(*keys, (before + 1).alias("first"), (F.col(number).cast("long") - 1).alias("last"))
+    return gaps.where("first <= last")
 
 
 def out_of_range(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:

@@ -123,5 +123,5 @@ def ingest_documents(
     points = None
     if gazetteer is not None:
         alerts = items.where(F.col("category") == "sirens").select("date", "position", "id", "time", "location")
-        points = point_lists(alert_points(geocode(alerts, "location", gazetteer, "longest", row_key=("id",)), part_size=part_size))
+        points = point_lists(alert_points(geocode(alerts, "location", gazetteer, "longest"), part_size=part_size))
     return day_documents(items, headers, points, part_size)

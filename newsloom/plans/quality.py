@@ -282,7 +282,7 @@ def missing_points(alerts: DataFrame, points: DataFrame, gazetteer: DataFrame) -
     """Geocoded alerts (first entry in order wins) of the days that have
     alerts but no points; feed them to ``alert_points``."""
     without = alerts.join(points.select("date").distinct(), "date", "left_anti")
-    return geocode(without, "location", gazetteer, "first", None, row_key=("id",))
+    return geocode(without, "location", gazetteer, "first", None)
 
 
 def repair_archive(reports: DataFrame, gazetteer: DataFrame | None = None, part_size: int = PART_SIZE) -> DataFrame:

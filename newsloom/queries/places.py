@@ -35,7 +35,7 @@ def _best(order: str) -> str:
 @query(_best("length(g.name) DESC, g.priority"))
 def geocode_longest(spark, folder):
     """A small gazetteer, compiled into the scan."""
-    found = P.geocode(table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "longest", row_key=("p_partkey",))
+    found = P.geocode(table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "longest")
     return found.select("p_partkey", "place", "lat", "lng")
 
 
@@ -43,7 +43,7 @@ def geocode_longest(spark, folder):
 def geocode_first(spark, folder):
     """The join form used for large gazetteers."""
     found = P.geocode(
-        table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "first", row_key=("p_partkey",), compile_limit=0
+        table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "first", compile_limit=0
     )
     return found.select("p_partkey", "place", "lat", "lng")
 
@@ -51,7 +51,7 @@ def geocode_first(spark, folder):
 @query(_best("length(g.name) DESC, g.priority"))
 def geocode_longest_joined(spark, folder):
     found = P.geocode(
-        table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "longest", row_key=("p_partkey",), compile_limit=0
+        table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "longest", compile_limit=0
     )
     return found.select("p_partkey", "place", "lat", "lng")
 
@@ -60,7 +60,7 @@ def geocode_longest_joined(spark, folder):
     f"SELECT place, count(*) AS n, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS types FROM ({_best('length(g.name) DESC, g.priority')}) JOIN part USING (p_partkey) GROUP BY place"
 )
 def place_type_sets(spark, folder):
-    found = P.geocode(table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "longest", row_key=("p_partkey",))
+    found = P.geocode(table(spark, folder, "part"), "p_name", gazetteer(spark, folder), "longest")
     return P.place_type_sets(found, "p_type").select("place", "n", F.array_join("types", ",").alias("types"))
 
 

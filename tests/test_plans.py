@@ -264,7 +264,7 @@ def test_both_geocoders_agree_with_a_scan(spark):
                 best = min(hits, key=lambda n: (-len(n) if mode == "longest" else 0, order[n]))
                 want[i] = (best, max(float(p) for n, _, _, p in names if n == best))
         for limit in (500, 0):
-            found = P.geocode(rows, "text", gaz, mode, row_key=("id",), compile_limit=limit)
+            found = P.geocode(rows, "text", gaz, mode, compile_limit=limit)
             assert {r["id"]: (r["place"], r["lat"]) for r in found.collect()} == want, (mode, limit)
 
 
@@ -338,3 +338,37 @@ def test_no_row_udfs_and_no_products(spark):
         plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "PythonUDF" not in plan and "EvalPython" not in plan, name
+
+
+def test_nearest_across_cells_and_the_date_line(spark):
+    import math
+    import random
+
+    from newsloom.operators.places import nearest_within
+
+    rng = random.Random(6)
+    near = lambda lat, lng: [("a", lat + rng.uniform(-0.3, 0.3), (lng + rng.uniform(-0.3, 0.3) + 180) % 360 - 180) for _ in range(40)]
+    spots = [(0.0, 0.0), (33.2, 35.4), (-60.1, 179.95), (89.6, -20.0), (45.0, -180.0)]
+    places = [p for s in spots for p in near(*s)]
+    candidates = [(*p, k) for k, p in enumerate(p for s in spots for p in near(*s))]
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h))
+
+    expected = {}
+    for _, lat, lng in places:
+        best = min((km(lat, lng, c[1], c[2]), c[3]) for c in candidates)
+        if best[0] <= 20:
+            expected[lat, lng] = best[1]
+    got = nearest_within(
+        spark.createDataFrame(places, "name string, lat double, lng double"),
+        spark.createDataFrame(candidates, "name string, c_lat double, c_lng double, candidate_id int"))
+    assert {(r["lat"], r["lng"]): r["candidate_id"] for r in got.collect()} == expected
+
+
+def test_geocoding_is_the_same_for_missing_and_repeated_keys(spark):
+    gaz = spark.createDataFrame([("Vale", 1.0, 2.0, 0), ("North Vale", 3.0, 4.0, 1)], "name string, lat double, lng double, priority int")
+    rows = spark.createDataFrame([(None, "at North Vale"), (1, "in Vale"), (1, "North Vale"), (2, None), (3, "none")], "id int, text string")
+    both = [sorted(map(str, P.geocode(rows, "text", gaz, compile_limit=n).select("id", "text", "place").collect())) for n in (0, 100)]
+    assert both[0] == both[1] and len(both[0]) == 3

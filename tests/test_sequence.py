@@ -117,3 +117,11 @@ def test_related_events_of_a_hot_day(spark):
     assert tuple(got) == (3, 3, 2_000)
     one = S.related_events(rows).where("id = 23").orderBy("rank")
     assert [r["related_id"] for r in one.collect()] == [47, 71, 95]
+
+
+def test_gap_ranges_of_a_huge_number(spark):
+    """One row per gap; the numbers themselves are never listed."""
+    rows = spark.createDataFrame([("a", 2), ("a", 2_147_483_647), ("a", 3)], "k string, n int")
+    from newsloom.operators.sequence import sequence_gap_ranges
+
+    assert sorted((r["first"], r["last"]) for r in sequence_gap_ranges(rows, ["k"], "n").collect()) == [(1, 1), (4, 2_147_483_646)]
