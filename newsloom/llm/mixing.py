@@ -43,7 +43,7 @@ def fill(parts: DataFrame, group: Sequence[str], weight: str, cap: str, total: C
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     capped = F.coalesce(F.sum(F.col(cap).cast("double")).over(before), F.lit(0.0))
     rest = F.sum(F.col(weight).cast("double")).over(everything) - F.coalesce(F.sum(F.col(weight).cast("double")).over(before), F.lit(0.0))
-    tried = parts.withColumns({"__rank": F.row_number().over(order), "__level": (total - capped) / rest})
+    tried = parts.withColumns({"__rank": F.row_number().over(order), "__level": (total - capped) / F.greatest(rest, F.col(weight).cast("double"))})
     fits = F.col("__level") * F.col(weight) <= F.col(cap)
     first = F.min(F.when(fits, F.struct("__rank", "__level"))).over(everything)
     return tried.withColumn("__first", first["__level"]).withColumn(
@@ -131,7 +131,7 @@ def with_rank(sizes: DataFrame, plan: DataFrame, seed: int, slices: int) -> Data
     joined = sizes.withColumn("__klass", size_class()).join(
         p, F.col("source").eqNullSafe(F.col("__plan_source")) & (F.col("__klass") == F.col("__plan_klass")))
     u = _uniform("doc_id", seed)
-    odds = u / (1 - u) * (1 - F.col("__p")) / F.col("__p")
+    odds = u / (1 - u) * (1 - F.col("__p")) / F.nullif(F.col("__p"), F.lit(0.0))
     return (
         joined.withColumn("__p", F.col("__plan_rate") - F.floor("__plan_rate"))
         .withColumn("__rank", F.when(F.col("__p") > 0, odds / (1 + odds)))
