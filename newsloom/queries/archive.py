@@ -245,8 +245,8 @@ def documents_to_events_parts(spark, folder):
     """The same from days split into documents of five items, with a check that
     no id comes twice."""
     rows = stage_table(R.to_events(documents(spark, folder, 5)), "part-events")
-    unique = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") == 1).alias("unique_ids"))
-    return rows.select("date", "category", "src_idx", "time", "title").join(F.broadcast(unique))
+    unique = rows.groupBy("id").agg((F.count(F.lit(1)) == 1).alias("unique_ids"))
+    return rows.join(unique, "id").select("date", "category", "src_idx", "time", "title", "unique_ids")
 
 
 @query(_EVENT_ROWS)
