@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from newsloom.llm import minhash
-from test_minhash import brute
+from llm.test_minhash import brute
 
 TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
