@@ -141,13 +141,16 @@ def _input(docs: DataFrame) -> list[Column]:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, **settings) -> Machine:
     """Fit on labelled rows outside the held-out fifth, ``max_rows`` at most.
-    A document labelled more than once counts as good only if all say so."""
+    A document labelled more than once counts as good only if all say so; of
+    rows with the same id the first by text and length is learnt from, so that
+    none takes the place of another."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (id_remainder(5) != 0))
         .groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("__label"))
     )
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so the broadcast is bounded
-    sample = docs.select("doc_id", *_input(docs)).join(F.broadcast(chosen), "doc_id").select("__label", "text", "n_chars")
+    sample = docs.select("doc_id", *_input(docs)).join(F.broadcast(chosen), "doc_id")
+    one = sample.groupBy("doc_id").agg(F.min("__label").alias("__label"), F.min(F.struct("text", "n_chars")).alias("row")).select("__label", "row.*")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
@@ -159,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, **settings)
                 yield out.take()
         yield out.take()
 
-    taken = map_rows(sample, features, "label int, indices binary, vals binary").limit(2 * max_rows).collect()
+    taken = map_rows(one, features, "label int, indices binary, vals binary").collect()
     # Rows come in no fixed order; sorting them makes reruns agree.
     taken = sorted((r["label"], bytes(r["indices"]), bytes(r["vals"])) for r in taken)
     return fit([(min(1, y), np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for y, i, v in taken], **settings)

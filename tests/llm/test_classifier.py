@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 
+from newsloom.llm import classifier
 from newsloom.llm.classifier import Features, Machine, WIDTH, accepted_documents, classify, fit
 from newsloom.llm.common import crc_remainder
 
@@ -44,3 +45,15 @@ def test_interactions_are_learnt():
         examples.append((int(a ^ b), np.array([10 + a, 20 + b], np.int32), np.ones(2, np.float32)))
     model = fit(examples, epochs=20)
     assert np.mean([(model.score(i, v) >= 0.5) == y for y, i, v in examples]) > 0.97
+
+
+def test_repeated_rows_push_out_no_others(spark, monkeypatch):
+    """Every chosen document is learnt from once, whatever one id repeats."""
+    taken = []
+    monkeypatch.setattr(classifier, "fit", lambda examples, **_: taken.append(len(examples)))
+    ids = [i for i in range(60) if crc_remainder(i, 5) != 0][:20]
+    rows = [(ids[0], f"hot text {k % 3}", 10) for k in range(500)] + [(i, f"text of {i}", 9) for i in ids[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    classifier.train(docs, labels, max_rows=20)
+    assert taken == [20]
