@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import classifier, conversations, languages, minhash, mixing, packing, passages, pii, quality_rules, secrets, suffix_tree, vectors
+from newsloom.llm import classifier, conversations, languages, minhash, mixing, packing, passages, phrases, pii, quality_rules, secrets, suffix_tree, vectors
 from newsloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query(phrases.SQL)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 @query()
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(documents(spark, sf_dir))
