@@ -12,22 +12,28 @@ whether a longer phrase makes a shorter one superfluous.
 A phrase can be frequent only if its first and last ``k - 1`` words are. What is
 frequent at the level before reaches the tasks as a table of ``SLOTS`` bytes,
 whatever the corpus: per hash the logarithm of the largest count. Hashes that meet
-only let more candidates through; counts are by the words themselves. The same byte
-says into how many buckets of next words a prefix's stripe is cut, so the stripe of
-a very common word is spread over tasks and no row grows with the corpus.
+there only let more candidates through. The same byte says into how many buckets
+of next words a prefix's stripe is cut, so the stripe of a very common word is
+spread over tasks and no row grows with the corpus.
+
+Single words are counted as they are. Longer phrases travel as numbers: a prefix
+(with its language) as 128 hashed bits, the word after it as 64; frequent ones get
+their words back by joins with the level before and with the words. Two phrases
+are mistaken for one only if all 192 bits agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import map_rows, mix64, stage, window_hashes
+from newsloom.llm.common import map_rows, mix64, stage
 from newsloom.operators.scale import checked_broadcast, top_per_group
 
 LONGEST = 5
@@ -36,151 +42,218 @@ TOP = 2000
 SLOTS = 1 << 22
 WORD_BUCKETS = 4096  # of the empty prefix
 STRIPE_BITS = 16  # a prefix with more occurrences is cut
-ENTRIES = 400_000  # counters a task holds before it hands them on
+ENTRIES = 2_000_000  # counters a task holds before it hands them on
 VOCABULARY = 400_000  # words a task numbers before it starts anew
+BYTES = 3_000_000  # of text taken at once; a longer text is taken alone
 
-BREAK = b"\xff"  # in no UTF-8 text
+BREAK, TEXT = b"\xff", b"\xfe"  # in no UTF-8 text: between pieces, before a text
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(_MARKS))
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
-STRIPE = pa.schema([
-    ("lang", pa.string()), ("prefix", pa.string()), ("bucket", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
-STRIPE_DDL = "lang string, prefix string, bucket int, next array<string>, n array<bigint>"
+STRIPES = "p1 bigint, p2 bigint, bucket int, next array<bigint>, n array<bigint>"
+WORD_STRIPES = "lang string, bucket int, next array<string>, n array<bigint>"
 
 
 class Words(dict):
     """word (bytes) -> number, with the words and their hashes by number; the
-    break between pieces is 0."""
+    breaks come first."""
 
     def __init__(self):
-        import xxhash
-
         super().__init__()
-        self._hash, self.list, self.hashes = xxhash.xxh64_intdigest, [], []
-        self[BREAK]
+        self.list, self.hashes = [], []
+        self[BREAK], self[TEXT]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.list)
         self.list.append(word)
-        self.hashes.append(self._hash(word))
+        self.hashes.append(xxhash.xxh64_intdigest(word))
         return number
 
 
-def _read(batch: pa.RecordBatch, words: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Word numbers of all texts, breaks around each text and piece, the language
-    of each position as a number, and the languages."""
-    names = ["und" if x is None else x for x in batch.column("lang").to_pylist()]
-    langs = sorted(set(names))
-    number = {x: k for k, x in enumerate(langs)}
-    texts = [(t or "").encode().translate(_FOLD).replace(BREAK, b" \xff ").split() for t in batch.column("text").to_pylist()]
-    ids = np.fromiter((words[w] for t in texts for w in (BREAK, *t)), np.int64, sum(map(len, texts)) + len(texts))
-    return np.append(ids, 0), np.append(np.repeat([number[x] for x in names], [len(t) + 1 for t in texts]), 0), langs
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], bytes]]:
+    """Languages and folded texts, joined, a bounded amount at a time."""
+    langs, parts, size = [], [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            data = (text.as_py() or "").encode()
+            if parts and size + len(data) > BYTES:
+                yield langs, b"".join(parts)
+                langs, parts, size = [], [], 0
+            langs.append("und" if (name := lang.as_py()) is None else name)
+            parts.append(b" \xfe " + data.translate(_FOLD).replace(BREAK, b" \xff "))
+            size += len(data)
+    if parts:
+        yield langs, b"".join(parts)
+
+
+def _numbers(data: bytes, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers, and the number of the text each belongs to."""
+    split = data.split()
+    ids = np.fromiter(map(words.__getitem__, split), np.int64, len(split))
+    return ids, np.cumsum(ids == 1) - 1
+
 
+def _second(c: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix64(c * _B + mix64(h + _C))
 
-def _lang_hash(langs: Iterable[str]) -> np.ndarray:
-    import xxhash
 
+def _first(c: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix64(c * _A + h)
+
+
+def _lang_hash(langs: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.encode()) for x in langs], np.uint64)
 
 
-def _slots(hashes: np.ndarray, langs: np.ndarray, slots: int) -> np.ndarray:
-    return (mix64(hashes ^ langs) & np.uint64(slots - 1)).astype(np.int64)
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of the (sorted) keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
 
+def _lists(starts: np.ndarray, columns: list[np.ndarray], lists: list[pa.Array], names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """A row per start, with the entries up to the next one."""
+    ends = np.append(starts, len(lists[0]))
+    for i in range(0, len(starts), rows):
+        part = ends[i : i + rows + 1]
+        offsets = pa.array((part - part[0]).astype(np.int32))
+        inside = [pa.ListArray.from_arrays(offsets, x.slice(part[0], part[-1] - part[0])) for x in lists]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[part[:-1]]) for c in columns], *inside], names=names)
 
-def stripes(docs: DataFrame, k: int, sizes: np.ndarray | None = None) -> DataFrame:
-    """Stripes of the phrases of ``k`` words, one or several a task and key; for
-    ``k`` = 1 also a stripe without prefix that has the number of all words."""
+
+def word_stripes(docs: DataFrame) -> DataFrame:
+    """Stripes of the empty prefix, one of each bucket and language a task, and in
+    bucket -1 the number of all words of the language."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes | None, int], dict[bytes, int]] = {}
-        words, entries = Words(), 0
+        words, langs, parts, entries = Words(), {}, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            items = list(held.items())
-            held.clear()
-            for start in range(0, len(items), 20_000):
-                part = items[start : start + 20_000]
-                offsets = np.cumsum([0, *(len(s) for _, s in part)]).astype(np.int32)
-                nexts = pa.array([w for _, s in part for w in s], pa.binary()).cast(pa.string())
-                counts = pa.array([n for _, s in part for n in s.values()], pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([key[0] for key, _ in part], pa.string()), pa.array([key[1] for key, _ in part], pa.binary()).cast(pa.string()),
-                    pa.array([key[2] for key, _ in part], pa.int32()), pa.ListArray.from_arrays(offsets, nexts), pa.ListArray.from_arrays(offsets, counts),
-                ], schema=STRIPE)
+            nonlocal entries
+            if parts:
+                code, n = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(code, kind="stable")
+                runs = _runs(code[order])
+                code, n = code[order][runs], np.add.reduceat(n[order], runs)
+                lang, word = code >> 40, code & ((1 << 40) - 1)
+                bucket = np.where(word == 0, -1, (np.array(words.hashes, np.uint64)[word] % np.uint64(WORD_BUCKETS)).astype(np.int64))
+                order = np.lexsort((bucket, lang))
+                lang, word, bucket, n = lang[order], word[order], bucket[order], n[order]
+                names = np.array(list(langs), object)
+                spelt = pa.array([words.list[w] if w else b"" for w in word.tolist()], pa.binary()).cast(pa.string())
+                yield from _lists(_runs(lang, bucket), [names[lang], bucket.astype(np.int32)], [spelt, pa.array(n)], ["lang", "bucket", "next", "n"])
+            parts.clear()
+            entries = 0
+
+        for names, data in _texts(batches):
+            ids, text = _numbers(data, words)
+            own = ids > 1
+            lang = np.array([langs.setdefault(x, len(langs)) for x in names], np.int64)[text[own]]
+            for code in ((lang << 40) | ids[own], lang << 40):  # words, and their number as word 0
+                kinds, n = np.unique(code, return_counts=True)
+                parts.append((kinds, n))
+                entries += len(kinds)
+            if entries > ENTRIES or len(words) > VOCABULARY:
+                yield from flush()
+                if len(words) > VOCABULARY:
+                    words = Words()
+        yield from flush()
 
-        for batch in batches:
-            if not batch.num_rows:
+    return map_rows(docs.select("lang", "text"), build, WORD_STRIPES, 1024)
+
+
+def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
+    """Stripes of the phrases of ``k`` words, at least two; one or several a task
+    and key."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, parts, entries = Words(), [], 0
+
+        def merge() -> None:
+            p1, p2, after, size, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((after, p2, p1))
+            p1, p2, after = p1[order], p2[order], after[order]
+            runs = _runs(p1, p2, after)
+            parts[:] = [(p1[runs], p2[runs], after[runs], size[order][runs], np.add.reduceat(n[order], runs))]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if parts:
+                merge()
+                p1, p2, after, size, n = parts.pop()
+                cut = np.uint64(1) << np.maximum(0, size.astype(np.int64) - 1 - STRIPE_BITS).astype(np.uint64)
+                bucket = (mix64(after) % cut).astype(np.int32)
+                order = np.lexsort((bucket, p2, p1))
+                p1, p2, bucket = p1[order].view(np.int64), p2[order].view(np.int64), bucket[order]
+                yield from _lists(_runs(p1, p2, bucket), [p1, p2, bucket], [pa.array(after[order].view(np.int64)), pa.array(n[order])], ["p1", "p2", "bucket", "next", "n"])
+
+        mask = np.uint64(len(sizes) - 1)
+        for names, data in _texts(batches):
+            ids, text = _numbers(data, words)
+            if len(ids) < k:
                 continue
-            ids, lang, langs = _read(batch, words)
-            hashes = np.array(words.hashes, np.uint64)
-            breaks = np.cumsum(np.append(0, ids == 0))
-            at = np.flatnonzero(breaks[k:] == breaks[:-k])  # whole phrases inside a piece
-            size = np.zeros(len(at), np.int64)
-            if k > 1:
-                slots = _slots(window_hashes(hashes[ids], k - 1), _lang_hash(langs)[lang[: len(ids) - k + 2]], len(sizes))
-                known = sizes[slots]
-                both = (known[at] > 0) & (known[at + 1] > 0)
-                at = at[both]
-                size = known[at].astype(np.int64)
-            code = (lang[at] << 32) | ids[at]
-            for j in range(1, k):
-                code = (np.unique(code, return_inverse=True)[1] << 32) | ids[at + j]
-            _, first, counts = np.unique(code, return_index=True, return_counts=True)
-            place = at[first]
-            last = hashes[ids[place + k - 1]]
-            cut = (WORD_BUCKETS if k == 1 else 1) << np.maximum(0, size[first] - 1 - STRIPE_BITS)
-            buckets = (last % cut.astype(np.uint64)).astype(np.int64)
-            if k == 1:
-                for number, total in enumerate(np.bincount(lang[at], minlength=len(langs)).tolist()):
-                    if total:
-                        stripe = held.setdefault((langs[number], None, 0), {})
-                        stripe[b""] = stripe.get(b"", 0) + total
-            spelt = words.list
-            for p, bucket, count, rows in zip(place.tolist(), buckets.tolist(), counts.tolist(), ids[place[:, None] + np.arange(k)].tolist()):
-                key = (langs[lang[p]], b" ".join([spelt[x] for x in rows[:-1]]), bucket)
-                stripe = held.get(key)
-                if stripe is None:
-                    stripe = held[key] = {}
-                word = spelt[rows[-1]]
-                old = stripe.get(word)
-                stripe[word] = count if old is None else old + count
-                entries += old is None
+            h, lang = np.array(words.hashes, np.uint64)[ids], _lang_hash(names)[text]
+            width = len(ids) - k + 2
+            c = lang[:width]
+            for j in range(k - 1):
+                c = _first(c, h[j : j + width])
+            known = sizes[(c & mask).astype(np.int64)]
+            breaks = np.cumsum(np.append(0, ids < 2))
+            at = np.flatnonzero((breaks[k:] == breaks[:-k]) & (known[:-1] > 0) & (known[1:] > 0))
+            if len(at):
+                p1, p2, after = c[at], mix64(lang[at] + _C), h[at + k - 1]
+                for j in range(k - 1):
+                    p2 = _second(p2, h[at + j])
+                order = np.argsort(_first(p1, after))
+                p1, p2, after = p1[order], p2[order], after[order]
+                runs = _runs(p1, p2, after)
+                parts.append((p1[runs], p2[runs], after[runs], known[at][order][runs], np.diff(np.append(runs, len(at)))))
+                entries += len(runs)
             if entries > ENTRIES:
-                yield from flush()
-                entries = 0
+                merge()
+                entries = len(parts[0][0])
+                if entries > ENTRIES // 2:
+                    yield from flush()
+                    entries = 0
             if len(words) > VOCABULARY:
                 words = Words()
         yield from flush()
 
-    return map_rows(docs.select("lang", "text"), build, STRIPE_DDL, 1024)
+    return map_rows(docs.select("lang", "text"), build, STRIPES, 1024)
+
 
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Stripes added entry by entry: ``*keys, next, n``."""
+    entries = parts.repartition(*keys, "bucket").select(*keys, "bucket", F.inline(F.arrays_zip("next", "n")))
+    return entries.groupBy(*keys, "bucket", "next").agg(F.sum("n").alias("n"))  # stays where the stripes are
 
-def merged(parts: DataFrame, least: int = LEAST) -> DataFrame:
-    """Stripes added entry by entry, as ``lang, prefix, next, n``: entries of at
-    least ``least`` occurrences, and the totals without prefix."""
-    dealt = parts.repartition("lang", "prefix", "bucket")
-    entries = dealt.select("lang", "prefix", "bucket", F.inline(F.arrays_zip("next", "n")))
-    total = entries.groupBy("lang", "prefix", "bucket", "next").agg(F.sum("n").alias("n"))  # stays where the stripes are
-    return total.where((F.col("n") >= least) | F.col("prefix").isNull()).select("lang", "prefix", "next", "n")
+
+def _numbered(level: DataFrame, first: bool, slots: int) -> DataFrame:
+    """With ``next`` as a number, the hash ``id1, id2`` of the phrase, and its slot."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if first:
+                c1 = _lang_hash(batch.column("lang").to_pylist())
+                c2, h = mix64(c1 + _C), np.array([xxhash.xxh64_intdigest(x.encode()) for x in batch.column("phrase").to_pylist()], np.uint64)
+            else:
+                c1, c2, h = (batch.column(x).to_numpy().view(np.uint64) for x in ("p1", "p2", "next"))
+            id1, id2 = _first(c1, h), _second(c2, h)
+            found = [h.view(np.int64), id1.view(np.int64), id2.view(np.int64), (id1 & np.uint64(slots - 1)).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(x) for x in ("lang", "prefix", "phrase", "n")], *map(pa.array, found)], names=["lang", "prefix", "phrase", "n", "h", "id1", "id2", "slot"])
+
+    return map_rows(level, number, "lang string, prefix string, phrase string, n bigint, h bigint, id1 bigint, id2 bigint, slot int", 2048)
 
 
 def size_table(level: DataFrame, slots: int = SLOTS) -> np.ndarray:
     """One byte a slot: 0, or 1 plus the binary logarithm of the largest count of a
     phrase that hashes there."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                parts = phrase.encode().split(b" ")
-                h = window_hashes(np.array([xxhash.xxh64_intdigest(w) for w in parts], np.uint64), len(parts))
-                found.append(int(_slots(h, _lang_hash([lang]), slots)[0]))
-            sizes = [int(n).bit_length() for n in batch.column("n").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sizes, pa.int32())], names=["slot", "size"])
-
-    rows = map_rows(level.select("lang", "phrase", "n"), place, "slot int, size int").groupBy("slot").agg(F.max("size").alias("size")).toArrow()  # at most ``slots`` rows
+    size = F.length(F.bin("n")).cast("int")
+    rows = level.groupBy("slot").agg(F.max(size).alias("size")).toArrow()  # at most ``slots`` rows
     table = np.zeros(slots, np.uint8)
     table[rows["slot"].to_numpy()] = rows["size"].to_numpy()
     return table
@@ -188,13 +261,18 @@ def size_table(level: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
 def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, slots: int = SLOTS) -> tuple[DataFrame, list[DataFrame]]:
     """``lang, n`` with the number of words, and for one to ``longest`` words the
-    staged frequent phrases ``lang, prefix, next, phrase, n``."""
-    first = stage(merged(stripes(docs, 1), least), "phrases-1")
-    totals = first.where(F.col("prefix").isNull()).select("lang", "n")
-    found = [first.where(F.col("prefix").isNotNull() & (F.col("n") >= least)).withColumn("phrase", F.col("next"))]
+    staged frequent phrases ``lang, prefix, phrase, n`` (and their numbers)."""
+    counts = stage(merged(word_stripes(docs), ["lang"]).where((F.col("n") >= least) | (F.col("bucket") < 0)), "phrases-words")
+    totals = counts.where(F.col("bucket") < 0).select("lang", "n")
+    words = counts.where((F.col("bucket") >= 0) & (F.col("n") >= least)).select("lang", F.lit("").alias("prefix"), F.col("next").alias("phrase"), "n")
+    found = [stage(_numbered(words, True, slots), "phrases-1")]
+    spelt = found[0].select("lang", F.col("h").alias("next"), F.col("phrase").alias("word"))
     for k in range(2, longest + 1):
-        parts = stripes(docs, k, size_table(found[-1], slots))
-        found.append(stage(merged(parts, least).withColumn("phrase", F.concat_ws(" ", "prefix", "next")), f"phrases-{k}"))
+        frequent = merged(stripes(docs, k, size_table(found[-1], slots)), ["p1", "p2"]).where(F.col("n") >= least)
+        prefixes = found[-1].select(F.col("id1").alias("p1"), F.col("id2").alias("p2"), "lang", F.col("phrase").alias("prefix"))
+        level = frequent.join(prefixes, ["p1", "p2"]).join(spelt, ["lang", "next"])
+        shown = level.select("lang", "prefix", F.concat_ws(" ", "prefix", "word").alias("phrase"), "n", "p1", "p2", "next")
+        found.append(stage(_numbered(shown, False, slots), f"phrases-{k}"))
     return totals, found
 
 

@@ -62,15 +62,16 @@ def test_ties_overlaps_and_marks(spark, monkeypatch):
     monkeypatch.setattr(P, "ENTRIES", 3)
     monkeypatch.setattr(P, "VOCABULARY", 4)
     monkeypatch.setattr(P, "STRIPE_BITS", 1)
+    monkeypatch.setattr(P, "BYTES", 40)
     assert got(docs, least=5, slots=4) == want
 
 
 def test_exact_beyond_64_bits(spark):
     """1000 * a * n passes 64 bits; a rounded product would give another score."""
     big = 9_007_199_254_740_993
-    row = [("en", "", w, w, n) for w, n in (("x", big), ("y", big - 2))]
-    two = [("en", "x", "y", "x y", big - 4)]
-    ddl = "lang string, prefix string, next string, phrase string, n long"
+    row = [("en", "", w, n) for w, n in (("x", big), ("y", big - 2))]
+    two = [("en", "x", "x y", big - 4)]
+    ddl = "lang string, prefix string, phrase string, n long"
     found = [spark.createDataFrame(row, ddl), spark.createDataFrame(two, ddl)]
     totals = spark.createDataFrame([("en", 2 * big)], "lang string, n long")
     with pytest.MonkeyPatch.context() as patch:
