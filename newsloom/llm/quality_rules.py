@@ -3,8 +3,15 @@
 Every rule votes good or bad or abstains. Votes are counted per pattern over
 all documents; expectation-maximisation on these counts (at most ``3**rules``
 numbers, whatever the size of the corpus) estimates how often each rule gives
-each vote on good and on bad documents. The model is a sum of one log-odds term
-per rule, applied as a column: the posterior that a document is good.
+each vote on good and on bad documents.
+
+Documents are bad in different ways, and the rules for one way agree with each
+other and not with the rest: with a single class of bad documents the commonest
+way would be learnt as "bad" and all others as good. So there is one kind of bad
+document per rule. A first model of two classes says which patterns are bad at
+all; then the frequency and the votes of every kind are estimated, where a rule
+votes bad on no more than ``FALSE_ALARM`` of the good documents, as rules are
+written to. The posterior that a document is good is applied as a column.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from newsloom.operators.scale import pin
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 GOOD, BAD, ABSTAIN = 1, 0, 2
+FALSE_ALARM = 0.01
+OWN = 0.9  # of a kind, where its rule votes bad
 
 
 def _repeated_words(words: Column, size: int) -> Column:
@@ -128,6 +137,52 @@ def _odds(prior: float, table: list[list[list[float]]], votes: tuple[int, ...])
     return math.log(prior / (1 - prior)) + sum(math.log(t[1][v] / t[0][v]) for t, v in zip(table, votes))
 
 
+def estimate_kinds(
+    patterns: list[tuple[tuple[int, ...], int]], false_alarm: float = FALSE_ALARM, rounds: int = 60,
+) -> tuple[list[float], list[list[list[float]]]]:
+    """Frequency of good documents and of each rule's kind of bad ones, and per
+    class and rule the probability of a bad and of a good vote, if it votes. To
+    abstain is no evidence (1 for each class).
+
+    A kind begins with the patterns in which its rule votes bad, shared with the
+    other rules that do, earlier ones first, as two rules that always agree would
+    else stay undecided; its rule votes bad on ``OWN`` of it or more."""
+    count = sum(n for _, n in patterns)
+    width = len(patterns[0][0]) if patterns else 0
+    if not count:
+        return [1.0], []
+    prior, table = estimate(patterns, rounds)
+    beliefs = []
+    for votes, _ in patterns:
+        weights = [1 / (rule + 1) if v == BAD else 0.0 for rule, v in enumerate(votes)]
+        bad = 1 / (1 + math.exp(max(-700.0, min(700.0, _odds(prior, table, votes)))))
+        share = max(bad, 0.5) if any(weights) else 0.0
+        beliefs.append([1 - share, *[share * w / (sum(weights) or 1) for w in weights]])
+    frequency, votes_of = [], []
+    for _ in range(rounds):
+        mass = [sum(n * b[c] for (_, n), b in zip(patterns, beliefs)) for c in range(width + 1)]
+        frequency = [(m + 0.5) / (count + 0.5 * (width + 1)) for m in mass]
+        votes_of = []
+        for c in range(width + 1):
+            rows = []
+            for rule in range(width):
+                seen = [0.5, 0.5]
+                for (votes, n), b in zip(patterns, beliefs):
+                    if votes[rule] != ABSTAIN:
+                        seen[votes[rule]] += n * b[c]
+                bad = seen[BAD] / sum(seen)
+                bad = min(bad, false_alarm) if c == 0 else max(bad, OWN) if c == rule + 1 else bad
+                share = [bad, 1 - bad, 1.0]
+                rows.append(share)
+            votes_of.append(rows)
+        beliefs = []
+        for votes, _ in patterns:
+            logs = [math.log(f) + sum(math.log(rows[r][v]) for r, v in enumerate(votes)) for f, rows in zip(frequency, votes_of)]
+            parts = [math.exp(x - max(logs)) for x in logs]
+            beliefs.append([x / sum(parts) for x in parts])
+    return frequency, votes_of
+
+
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``doc_id``, the facts, ``base_failed``, ``posterior`` and ``kept`` per row
     of ``docs`` (``doc_id, text``; other columns are ignored).
@@ -137,13 +192,15 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = list(rules())
     facts = stage(text_facts(docs).withColumns(rules()), "quality-facts")
     counted = facts.groupBy(*names).count().collect()  # at most 3 ** rules rows
-    prior, table = estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
-    log_odds = F.lit(math.log(prior / (1 - prior)))
-    for name, (bad, good) in zip(names, table):
-        terms = F.array(*[F.lit(math.log(good[v] / bad[v])) for v in (BAD, GOOD, ABSTAIN)])
-        log_odds = log_odds + F.get(terms, F.col(name))
+    frequency, votes_of = estimate_kinds(sorted((tuple(r[n] for n in names), r["count"]) for r in counted))
+    against = F.lit(0.0)  # odds that the document is bad, summed over the kinds
+    for share, rows in zip(frequency[1:], votes_of[1:]):
+        log_odds = F.lit(math.log(share / frequency[0]))
+        for name, kind, good in zip(names, rows, votes_of[0]):
+            log_odds = log_odds + F.get(F.array(*[F.lit(math.log(kind[v] / good[v])) for v in (BAD, GOOD, ABSTAIN)]), F.col(name))
+        against = against + F.exp(log_odds)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return facts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (1 / (1 + F.exp(-log_odds))).alias("posterior"),
+        failed.alias("base_failed"), (1 / (1 + against)).alias("posterior"),
     ).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
