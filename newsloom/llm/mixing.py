@@ -9,9 +9,11 @@ probability p: documents are ranked by the odds of a uniform number divided by
 the odds of p (Pareto order sampling) and taken in this order until the source
 has the words it lacks: a sample of fixed size, in words.
 
-Numbers come from a hash of the id, so reruns agree. Ranking a source never
-sorts the source: words are summed per slice of the rank, the slice in which
-the target is reached is found on these sums, and only that slice is ordered.
+Numbers come from a hash of id and size, so reruns agree. Ranking a source
+never sorts the source: words are summed per slice of the rank, the slice in
+which the target is reached is found on these sums, and only that slice is
+ordered, equal rows as one with their number. Where the target ends among rows of
+equal id and size, as many of them are taken as come nearest to it.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import SPACE_CLASS, stage, whole
+from newsloom.operators.scale import number_rows
 
 SLICES = 1 << 14
 
@@ -52,8 +55,8 @@ def fill(parts: DataFrame, group: Sequence[str], weight: str, cap: str, total: C
     ).drop("__rank", "__level", "__first")
 
 
-def _uniform(doc_id: str, seed: int) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+def _uniform(doc_id: str, size: str, seed: int) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(size).cast("long")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def size_class(size: str = "size") -> Column:
@@ -71,8 +74,9 @@ def mixing_plan(
     damping: float = 0.125, seed: int = 20, slices: int = SLICES,
 ) -> DataFrame:
     """One row per (source, size class): ``source_size, target, rate`` (expected
-    copies) and the cut of the source: ``slice`` and, inside it, the last taken
-    ``(rank, doc_id)``. At most 64 rows per source."""
+    copies) and the cut of the source: ``slice`` and, inside it, ``last``: the key
+    ``(rank, doc_id, size)`` where the target ends, with the number of rows that
+    have it (``among``) and of those taken (``ties``). At most 64 rows per source."""
     classes = stage(
         sizes.groupBy("source", size_class().alias("klass")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")),
         "mix-classes",
@@ -111,16 +115,21 @@ def mixing_plan(
         "mix-slices",
     )
     at_cut = ranked.join(slice_cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("__slice") == F.col("slice")))
-    inside = Window.partitionBy("source").orderBy("__rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = at_cut.groupBy("source", "open", "__rank", "doc_id", "size").agg(F.count(F.lit(1)).alias("among"))
+    inside = Window.partitionBy("source").orderBy("__rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.col("among") * F.col("size")
+    key = F.struct(F.col("__rank").alias("rank"), "doc_id", "size")
+    nearest = F.floor(F.try_divide(F.col("open") - F.col("before"), F.col("size")) + 0.5)
+    ties = F.least(F.col("among"), F.greatest(F.coalesce(nearest, F.lit(0)), F.lit(0))).cast("long")
     last = (
-        at_cut.withColumn("__upto", F.sum("size").over(inside))
-        .where(F.col("__upto") - F.col("size") / 2 <= F.col("open"))
-        .groupBy("source").agg(F.max(F.struct(F.col("__rank").alias("rank"), "doc_id")).alias("last"))
-        .withColumnRenamed("source", "last_source")
+        equal.withColumn("before", F.coalesce(F.sum(words).over(inside), F.lit(0)))
+        .where(F.col("before") + words >= F.col("open"))
+        .groupBy("source").agg(F.min(F.struct(key.alias("last"), "among", ties.alias("ties"))).alias("__l"))
+        .select(F.col("source").alias("last_source"), "__l.*")
     )
-    cuts = slice_cut.join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").select("cut_source", "slice", "last")
+    cuts = slice_cut.join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").select("cut_source", "slice", "last", "among", "ties")
     out = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    return stage(out.select("source", "klass", "source_size", "target", "rate", "slice", "last"), "mix-cuts")
+    return stage(out.select("source", "klass", "source_size", "target", "rate", "slice", "last", "among", "ties"), "mix-cuts")
 
 
 def with_rank(sizes: DataFrame, plan: DataFrame, seed: int, slices: int) -> DataFrame:
@@ -130,7 +139,7 @@ def with_rank(sizes: DataFrame, plan: DataFrame, seed: int, slices: int) -> Data
     p = plan.select(*[F.col(c).alias(f"__plan_{c}") for c in plan.columns])
     joined = sizes.withColumn("__klass", size_class()).join(
         p, F.col("source").eqNullSafe(F.col("__plan_source")) & (F.col("__klass") == F.col("__plan_klass")))
-    u = _uniform("doc_id", seed)
+    u = _uniform("doc_id", "size", seed)
     odds = u / (1 - u) * (1 - F.col("__p")) / F.nullif(F.col("__p"), F.lit(0.0))
     return (
         joined.withColumn("__p", F.col("__plan_rate") - F.floor("__plan_rate"))
@@ -141,16 +150,26 @@ def with_rank(sizes: DataFrame, plan: DataFrame, seed: int, slices: int) -> Data
 
 def copies(sizes: DataFrame, plan: DataFrame, seed: int = 20, slices: int = SLICES) -> DataFrame:
     """``sizes`` with ``source_size, target, copies``: a narrow decision once
-    the plan is known. ``sizes`` may hold more columns, which stay."""
+    the plan is known. ``sizes`` may hold more columns, which stay. Only rows
+    that the plan takes in part, all equal, are staged and numbered."""
     ranked = with_rank(sizes, plan, seed, slices)
-    inside = F.struct(F.col("__rank").alias("rank"), "doc_id") <= F.col("__plan_last")
+    key, last = F.struct(F.col("__rank").alias("rank"), "doc_id", "size"), F.col("__plan_last")
+    inside = F.coalesce(key < last, F.lit(False)) | (key.eqNullSafe(last) & (F.col("__plan_ties") == F.col("__plan_among")))
     chosen = F.when(F.col("__p") > 0, F.when(F.col("__plan_slice").isNull(), True).otherwise(
-        (F.col("__slice") < F.col("__plan_slice")) | ((F.col("__slice") == F.col("__plan_slice")) & F.coalesce(inside, F.lit(False)))
+        (F.col("__slice") < F.col("__plan_slice")) | ((F.col("__slice") == F.col("__plan_slice")) & inside)
     )).otherwise(False)
-    return ranked.select(
-        *sizes.columns, F.col("__plan_source_size").alias("source_size"), F.col("__plan_target").alias("target"),
-        (F.floor("__plan_rate") + chosen.cast("long")).alias("copies"),
-    )
+    part = F.coalesce((F.col("__p") > 0) & key.eqNullSafe(last) & F.col("__plan_ties").between(1, F.col("__plan_among") - 1), F.lit(False))
+
+    def decided(rows: DataFrame, more: Column) -> DataFrame:
+        return rows.select(
+            *sizes.columns, F.col("__plan_source_size").alias("source_size"), F.col("__plan_target").alias("target"),
+            (F.floor("__plan_rate") + more.cast("long")).alias("copies"))
+
+    if plan.where(F.col("ties").between(1, F.col("among") - 1)).isEmpty():
+        return decided(ranked, chosen)
+    equal = stage(ranked.where(part).withColumn("__at", F.monotonically_increasing_id()), "mix-ties")
+    numbered = number_rows(equal, ["source"], ["__at"], [F.shiftright("__at", 12)], "__number")
+    return decided(ranked.where(~part), chosen).unionByName(decided(numbered, F.col("__number") < F.col("__plan_ties")))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -158,8 +177,9 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     ``docs`` (``doc_id, text, source``; further columns are ignored).
 
     Null or empty text: size 0. Null source: a source of its own, last in
-    order. Repeated rows are rows of their own and share their rank. An empty
-    table gives an empty result."""
+    order. Rows of equal id and size share their rank; where the target ends
+    among them, the first of them (as they are stored) are taken. A source ends
+    within half a document of its target. An empty table gives an empty result."""
     sizes = sized(docs)
     seed, slices = settings.get("seed", 20), settings.get("slices", SLICES)
     return copies(sizes, mixing_plan(sizes, **settings), seed, slices).withColumn("taken", F.col("copies") * F.col("size"))
