@@ -14,7 +14,8 @@ frequent at the level before reaches the tasks as a table of ``SLOTS`` bytes,
 whatever the corpus: per hash the logarithm of the largest count. Hashes that meet
 there only let more candidates through. The same byte says into how many buckets
 of next words a prefix's stripe is cut, so the stripe of a very common word is
-spread over tasks and no row grows with the corpus.
+spread over tasks. The stripes of a task travel together by cell, a hash of prefix
+and bucket: no row is larger than what a task holds.
 
 Single words are counted as they are. Longer phrases travel as numbers: a prefix
 (with its language) as 128 hashed bits, the word after it as 64; frequent ones get
@@ -42,6 +43,7 @@ TOP = 2000
 SLOTS = 1 << 22
 WORD_BUCKETS = 4096  # of the empty prefix
 STRIPE_BITS = 16  # a prefix with more occurrences is cut
+CELLS = 4096  # at least; what a task has for a cell travels as one row
 ENTRIES = 2_000_000  # counters a task holds before it hands them on
 VOCABULARY = 400_000  # words a task numbers before it starts anew
 BYTES = 3_000_000  # of text taken at once; a longer text is taken alone
@@ -51,7 +53,7 @@ _MARKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(_MARKS))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
-STRIPES = "p1 bigint, p2 bigint, bucket int, next array<bigint>, n array<bigint>"
+STRIPES = "cell int, stripes array<struct<p1:bigint,p2:bigint,next:array<bigint>,n:array<bigint>>>"
 WORD_STRIPES = "lang string, bucket int, next array<string>, n array<bigint>"
 
 
@@ -167,8 +169,9 @@ def word_stripes(docs: DataFrame) -> DataFrame:
 
 
 def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
-    """Stripes of the phrases of ``k`` words, at least two; one or several a task
-    and key."""
+    """Stripes of the phrases of ``k`` words, at least two, by cell; one or several
+    rows a task and cell."""
+    cells = max(CELLS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, parts, entries = Words(), [], 0
@@ -185,10 +188,14 @@ def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
                 merge()
                 p1, p2, after, size, n = parts.pop()
                 cut = np.uint64(1) << np.maximum(0, size.astype(np.int64) - 1 - STRIPE_BITS).astype(np.uint64)
-                bucket = (mix64(after) % cut).astype(np.int32)
-                order = np.lexsort((bucket, p2, p1))
-                p1, p2, bucket = p1[order].view(np.int64), p2[order].view(np.int64), bucket[order]
-                yield from _lists(_runs(p1, p2, bucket), [p1, p2, bucket], [pa.array(after[order].view(np.int64)), pa.array(n[order])], ["p1", "p2", "bucket", "next", "n"])
+                cell = (mix64(p1 + _C * (mix64(after) % cut)) % np.uint64(cells)).astype(np.int32)
+                order = np.lexsort((p2, p1, cell))
+                cell, p1, p2 = cell[order], p1[order], p2[order]
+                starts = _runs(cell, p1, p2)
+                offsets = pa.array(np.append(starts, len(p1)).astype(np.int32))
+                inner = [pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in (after, n)]
+                columns = [*(pa.array(x[starts].view(np.int64)) for x in (p1, p2)), *inner]
+                yield from _lists(_runs(cell[starts]), [cell[starts]], [pa.StructArray.from_arrays(columns, ["p1", "p2", "next", "n"])], ["cell", "stripes"], 512)
 
         mask = np.uint64(len(sizes) - 1)
         for names, data in _texts(batches):
@@ -225,10 +232,17 @@ def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
     return map_rows(docs.select("lang", "text"), build, STRIPES, 1024)
 
 
-def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Stripes added entry by entry: ``*keys, next, n``."""
-    entries = parts.repartition(*keys, "bucket").select(*keys, "bucket", F.inline(F.arrays_zip("next", "n")))
-    return entries.groupBy(*keys, "bucket", "next").agg(F.sum("n").alias("n"))  # stays where the stripes are
+def merged_words(parts: DataFrame) -> DataFrame:
+    """Word stripes added entry by entry: ``lang, bucket, next, n``."""
+    entries = parts.repartition("lang", "bucket").select("lang", "bucket", F.inline(F.arrays_zip("next", "n")))
+    return entries.groupBy("lang", "bucket", "next").agg(F.sum("n").alias("n"))  # stays where the stripes are
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Stripes added entry by entry: ``p1, p2, next, n``."""
+    apart = parts.repartition("cell").select("cell", F.inline("stripes"))
+    entries = apart.select("cell", "p1", "p2", F.inline(F.arrays_zip("next", "n")))
+    return entries.groupBy("cell", "p1", "p2", "next").agg(F.sum("n").alias("n")).drop("cell")
 
 
 def _numbered(level: DataFrame, first: bool, slots: int) -> DataFrame:
@@ -262,13 +276,13 @@ def size_table(level: DataFrame, slots: int = SLOTS) -> np.ndarray:
 def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, slots: int = SLOTS) -> tuple[DataFrame, list[DataFrame]]:
     """``lang, n`` with the number of words, and for one to ``longest`` words the
     staged frequent phrases ``lang, prefix, phrase, n`` (and their numbers)."""
-    counts = stage(merged(word_stripes(docs), ["lang"]).where((F.col("n") >= least) | (F.col("bucket") < 0)), "phrases-words")
+    counts = stage(merged_words(word_stripes(docs)).where((F.col("n") >= least) | (F.col("bucket") < 0)), "phrases-words")
     totals = counts.where(F.col("bucket") < 0).select("lang", "n")
     words = counts.where((F.col("bucket") >= 0) & (F.col("n") >= least)).select("lang", F.lit("").alias("prefix"), F.col("next").alias("phrase"), "n")
     found = [stage(_numbered(words, True, slots), "phrases-1")]
     spelt = found[0].select("lang", F.col("h").alias("next"), F.col("phrase").alias("word"))
     for k in range(2, longest + 1):
-        frequent = merged(stripes(docs, k, size_table(found[-1], slots)), ["p1", "p2"]).where(F.col("n") >= least)
+        frequent = merged(stripes(docs, k, size_table(found[-1], slots))).where(F.col("n") >= least)
         prefixes = found[-1].select(F.col("id1").alias("p1"), F.col("id2").alias("p2"), "lang", F.col("phrase").alias("prefix"))
         level = frequent.join(prefixes, ["p1", "p2"]).join(spelt, ["lang", "next"])
         shown = level.select("lang", "prefix", F.concat_ws(" ", "prefix", "word").alias("phrase"), "n", "p1", "p2", "next")
