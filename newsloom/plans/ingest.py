@@ -101,7 +101,7 @@ def ingest(
     """Q1, Q2: ``(items, headers)`` of all days in the dumps that are not yet in
     ``existing``. The whole archive is one job; parsing and classification are
     staged once, because several outputs read them."""
-    records = source.split_by_day(source.read_dump(spark, path))
+    records = source.read_day_records(spark, path)
     if existing is not None:
         records = source.skip_existing_days(records, existing)
     bare = records.select(F.regexp_replace("record", r"^ID:\s*", "").alias("record"))

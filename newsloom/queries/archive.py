@@ -273,6 +273,51 @@ def ingest_to_events(spark, folder):
     return R.to_events(R.read_written_reports(spark, f"{path}/data")).select("date", "category", "src_idx", "time", "title")
 
 
+def _written_archive(spark, folder, part_size):
+    """All messages as dump files, a day in documents of ``part_size`` records."""
+    path = f"{work_dir(spark)}/archive-{uuid.uuid4().hex}"
+    rows = messages(spark, folder)
+    lines_ = rows.select("id", "date", record_line(F.col("id"), F.lit("channel"), F.col("ts"), F.col("text"), views=F.col("user_id")).alias("record"))
+    write_day_dumps(to_day_dumps(lines_, part_size), f"{path}/raw")
+    return path
+
+
+@query(_EVENT_ROWS)
+def ingest_to_events_parts(spark, folder):
+    """The same where each day's dump has many documents in one file, and the day
+    documents are split too; with a gazetteer, so with alert points."""
+    path = _written_archive(spark, folder, 50)
+    write_day_documents(I.ingest_documents(spark, f"{path}/raw/*/*.json", user_places(spark, folder), part_size=50), f"{path}/data")
+    return R.to_events(R.read_written_reports(spark, f"{path}/data")).select("date", "category", "src_idx", "time", "title")
+
+
+def user_places(spark, folder):
+    """The places that the messages name."""
+    user = events(spark, folder).select("user_id").distinct()
+    name = F.concat(F.lit("نقطة"), F.col("user_id").cast("string"))
+    return user.select(name.alias("name"), (F.col("user_id") % 90).cast("double").alias("lat"), (F.col("user_id") % 180).cast("double").alias("lng"), F.lit(0).alias("priority"))
+
+
+@query(
+    "SELECT date, 'نقطة' || user_id AS loc, CAST(user_id % 90 AS DOUBLE) AS lat, CAST(user_id % 180 AS DOUBLE) AS lng, CAST(count(*) AS INTEGER) AS count, "
+    f"string_agg(time, ',' ORDER BY id) AS times FROM {EV} WHERE category = 'error' GROUP BY date, user_id"
+)
+def ingest_alert_points(spark, folder):
+    """Alert points of the whole way, read back from the day documents."""
+    path = _written_archive(spark, folder, 50)
+    write_day_documents(I.ingest_documents(spark, f"{path}/raw/*/*.json", user_places(spark, folder)), f"{path}/data")
+    points = R.report_points(R.read_written_reports(spark, f"{path}/data"))
+    return points.select("date", "loc", "lat", "lng", "count", F.array_join("times", ",").alias("times"))
+
+
+@query(f"SELECT date, count(*) AS records FROM {EV} GROUP BY date")
+def count_records_in_files(spark, folder):
+    """Records per day, counted in dump files of many documents."""
+    path = _written_archive(spark, folder, 50)
+    counted = source.count_file_records(spark, f"{path}/raw/*/*.json")
+    return counted.groupBy(F.regexp_extract("file", r"date=([\d-]+)", 1).cast("date").alias("date")).agg(F.sum("records").alias("records"))
+
+
 _REPORT_ROWS = (
     f"SELECT date, CAST(count(*) FILTER (WHERE cat = 'bayanat') AS INTEGER) AS bayanat, CAST(count(*) FILTER (WHERE cat = 'sirens') AS INTEGER) AS sirens, "
     f"CAST(count(*) FILTER (WHERE cat = 'enemy') AS INTEGER) AS enemy, 0 AS iran, CAST(count(*) FILTER (WHERE cat = 'videos') AS INTEGER) AS videos, 0 AS allies, CAST(count(*) AS INTEGER) AS total FROM {_SRC} GROUP BY date"

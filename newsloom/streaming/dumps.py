@@ -19,7 +19,7 @@ from newsloom.sources import dumps as source
 def message_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Messages of the dump files that arrive in ``folder``."""
     raw = spark.readStream.schema("value string").option("wholetext", True).text(folder)
-    texts = raw.select(source.dump_text(F.col("value")).alias("text"))
+    texts = raw.select(F.explode(source.dump_texts(F.col("value"))).alias("text"))
     return source.parse_record_header(source.split_records(texts))
 
 
