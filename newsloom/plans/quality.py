@@ -11,8 +11,8 @@ from newsloom.functions.dates import localised_date, localised_day_name
 from newsloom.functions.geo import round_exact
 from newsloom.functions.text import null_to_empty
 from newsloom.operators.places import alert_points, geocode
-from newsloom.operators.scale import PART_SIZE, collect_parts, id_bucket
-from newsloom.operators.sequence import apply_cuts, apply_heads, carry_heads, per_group_cap, restart_cuts
+from newsloom.operators.scale import BUCKET_WIDTH, PART_SIZE, collect_parts, id_bucket
+from newsloom.operators.sequence import apply_cuts, apply_heads, carry_heads, per_group_cap, restart_cuts, sequence_gaps
 from newsloom.operators.sets import missing_days
 from newsloom.schemas import CATEGORIES, REPORT, REPORT_ARRAYS, SHORT_COUNTERS
 from newsloom.session import stage_table
@@ -21,7 +21,6 @@ from newsloom.sinks.reports import point_lists
 from newsloom.sources.reports import array_length, event_id, first_position, part_number, readable, report_day, stored_counter, with_day_lengths
 
 PREPENDED = 1 << 50  # positions of rows moved in front of a day
-LONGEST_RUN = 1000  # missing numbers listed one by one
 
 
 # -- validation ---------------------------------------------------------------------
@@ -39,10 +38,6 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
 
 
-def _listing(numbers: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.array_sort(numbers).cast("array<string>"), ", "), F.lit("]"))
-
-
 def _missing(item: Column, *fields: str) -> Column:
     empty = [null_to_empty(item[f]) == "" for f in fields]
     out = empty[0]
@@ -127,32 +122,31 @@ def report_issues(reports: DataFrame, geocodable: Callable[[Column], Column] | N
     return rows.unionByName(number_issues(reports.where(~bad)))
 
 
-def number_issues(reports: DataFrame) -> DataFrame:
+# ---- fixed values: how the listings of statement numbers begin ---------------
+NUMBER_ISSUES = {
+    "repeated": ("error", "Duplicate bayan numbers: "),
+    "missing": ("warn", "Missing bayan numbers in sequence: "),
+    "extra": ("warn", "Extra bayan numbers outside expected range: "),
+}
+# -----------------------------------------------------------------------------
+
+
+def number_issues(reports: DataFrame, part_size: int = PART_SIZE, width: int = BUCKET_WIDTH) -> DataFrame:
     """V6: numbers that repeat within a day, are missing from 1..max, or lie
-    outside. Numbers are counted flat, so parts of a day count together. Runs
-    of more than ``LONGEST_RUN`` missing numbers are written as from-to."""
+    outside. Numbers are counted flat, so parts of a day count together.
+
+    A listing of more than ``part_size`` numbers goes on in further rows, so a day
+    of any size makes rows of bounded length, and no day is collected."""
     numbers = reports.select(F.col("file_date").alias("date"), F.explode("bayanat").alias("b")).where(
         ~F.col("b.badge").eqNullSafe("communique") & F.col("b.num").isNotNull() & (F.col("b.num") != 0))
-    counted = numbers.groupBy("date", F.col("b.num").alias("num")).agg(F.count(F.lit(1)).alias("n"))
-    days = counted.groupBy("date").agg(
-        F.sort_array(F.collect_list("num")).alias("nums"), F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("num")))).alias("repeated"))
-    above = F.concat(F.array(F.lit(0)), F.filter("nums", lambda n: n >= 1))
-    empty = F.array().cast("array<string>")
-
-    def run(n: Column, i: Column) -> Column:
-        before, size = F.get(above, i - 1), n - F.get(above, i - 1) - 1
-        whole = F.sequence(before + 1, F.least(n - 1, before + LONGEST_RUN)).cast("array<string>")
-        return F.when((i == 0) | (size < 1), empty).when(size > LONGEST_RUN, F.array(_text(before + 1, "-", n - 1))).otherwise(whole)
-
-    gaps = F.flatten(F.transform(above, run))
-    extra = F.filter("nums", lambda n: n < 1)
-    listing = F.concat(F.lit("["), F.array_join(gaps, ", "), F.lit("]"))
-    found = F.array_compact(F.array(
-        _if(F.size("repeated") > 0, _issue("bayan_num", "error", _text("Duplicate bayan numbers: ", _listing(F.col("repeated"))))),
-        _if(F.size(gaps) > 0, _issue("bayan_num", "warn", _text("Missing bayan numbers in sequence: ", listing))),
-        _if(F.size(extra) > 0, _issue("bayan_num", "warn", _text("Extra bayan numbers outside expected range: ", _listing(extra)))),
-    ))
-    return days.select("date", F.explode(found).alias("i")).select("date", "i.category", "i.severity", "i.message")
+    counted = numbers.groupBy("date", F.col("b.num").cast("long").alias("num")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.array_compact(F.array(F.when(F.col("n") > 1, "repeated"), F.when(F.col("num") < 1, "extra")))
+    listed = counted.select("date", F.explode(kinds).alias("kind"), "num")
+    gaps = sequence_gaps(counted, ["date"], "num", width).select("date", F.lit("missing").alias("kind"), F.col("missing").alias("num"))
+    parts = collect_parts(listed.unionByName(gaps), ["date", "kind"], ["num"], [id_bucket("num", width)], F.col("num").cast("string"), "nums", part_size)
+    severity, start = (F.create_map(*[F.lit(x) for kind, v in NUMBER_ISSUES.items() for x in (kind, v[i])])[F.col("kind")] for i in (0, 1))
+    message = F.concat(start, F.lit("["), F.array_join("nums", ", "), F.lit("]"))
+    return parts.select("date", F.lit("bayan_num").alias("category"), severity.alias("severity"), message.alias("message"))
 
 
 def known_places(names: Sequence[str]) -> Callable[[Column], Column]:

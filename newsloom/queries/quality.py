@@ -234,6 +234,58 @@ def validate_issues_parts(spark, folder):
     return _issues(spark, folder, 5).groupBy("date", "category", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_DAY_NAMES = "['الإثنين', 'الثلاثاء', 'الأربعاء', 'الخميس', 'الجمعة', 'السبت', 'الأحد']"
+
+
+def _listed(numbers: str, size: int) -> str:
+    """Messages on the numbers of a table ``date, num``, ``size`` numbers a row."""
+    return (
+        f"(WITH p AS (SELECT date, num, count(*) AS n FROM {numbers} GROUP BY ALL), m AS (SELECT date, max(num) AS top FROM p GROUP BY date), "
+        "k AS (SELECT date, 'error' AS severity, 'Duplicate bayan numbers: ' AS start, num FROM p WHERE n > 1 "
+        "UNION ALL SELECT date, 'warn', 'Extra bayan numbers outside expected range: ', num FROM p WHERE num < 1 "
+        "UNION ALL SELECT g.date, 'warn', 'Missing bayan numbers in sequence: ', g.num FROM (SELECT date, unnest(range(1, top)) AS num FROM m) g ANTI JOIN p USING (date, num)), "
+        f"r AS (SELECT *, (row_number() OVER (PARTITION BY date, start ORDER BY num) - 1) // {size} AS part FROM k) "
+        "SELECT CAST(date AS VARCHAR) AS date, 'bayan_num' AS category, severity, start || '[' || string_agg(num, ', ' ORDER BY num) || ']' AS message FROM r GROUP BY date, severity, start, part)"
+    )
+
+
+_MESSAGES = (
+    "WITH d AS (SELECT CAST(date AS VARCHAR) AS date, dayofmonth(date) AS d, isodow(date) AS w, count(*) FILTER (WHERE category = 'view') AS views, count(*) FILTER (WHERE category = 'click') AS clicks, "
+    f"count(*) FILTER (WHERE category = 'error') AS alerts FROM {EV} AS e WHERE category <> 'signup' GROUP BY ALL) "
+    "SELECT date, 'stats' AS category, 'error' AS severity, 'stats.videos=' || (clicks + 1) || ' but actual array length=' || clicks AS message FROM d WHERE d % 5 = 0 "
+    "UNION ALL SELECT date, 'stats', 'warn', 'Missing stats.videos (actual: ' || clicks || ')' FROM d WHERE d % 5 = 1 "
+    f"UNION ALL SELECT date, 'dayAr', 'warn', 'dayAr ''يوم'' should be ''' || {_DAY_NAMES}[w] || '''' FROM d WHERE d % 6 = 0 "
+    "UNION ALL SELECT date, 'enemy_field', 'warn', 'Enemy[' || i || '] missing summary and fullText' FROM (SELECT date, unnest(range(views)) AS i FROM d WHERE d % 7 = 0) "
+    "UNION ALL SELECT date, 'siren_points', 'warn', 'Has ' || alerts || ' sirens but no sirenPoints (0 geocodable from known locations)' FROM d WHERE alerts > 0 "
+    f"UNION ALL SELECT * FROM {_listed(f'(SELECT date, user_id AS num FROM {_NUMBERS})', 10_000)}"
+)
+
+
+@query(_MESSAGES)
+def validate_messages(spark, folder):
+    """The issues themselves, row by row."""
+    return _issues(spark, folder)
+
+
+@query(_MESSAGES)
+def validate_messages_parts(spark, folder):
+    """The same from documents of five items: positions and counts are the day's."""
+    return _issues(spark, folder, 5)
+
+
+_OFFSET_NUMBERS = f"(SELECT date, user_id - 50 AS num FROM {EV} WHERE category = 'click' AND user_id <> 50)"
+
+
+@query(f"SELECT * FROM {_listed(_OFFSET_NUMBERS, 40)}")
+def number_listings(spark, folder):
+    """Repeated, missing and outside numbers of days in several documents, listed
+    40 at a time."""
+    rows = events(spark, folder).where("category = 'click'").select(
+        F.col("date").cast("string").alias("file_date"), (F.col("id") % 7).alias("part"), (F.col("user_id") - 50).cast("int").alias("num"))
+    docs = rows.groupBy("file_date", "part").agg(F.collect_list(F.struct(F.lit("").alias("badge"), "num")).alias("bayanat"))
+    return Q.number_issues(docs, part_size=40, width=16)
+
+
 @query(f"SELECT category, severity, CAST(sum(n) AS BIGINT) AS n FROM {_ISSUES} GROUP BY 1, 2")
 def issue_counts(spark, folder):
     return Q.issue_counts(_issues(spark, folder))

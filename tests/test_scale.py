@@ -68,3 +68,21 @@ def test_lookup_bounds(spark):
     assert len(S.collect_lookup(table, 30)) == 30
     assert "broadcast" not in S.checked_broadcast(table, 10)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" in S.checked_broadcast(table, 50)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_number_listing_of_a_million(spark):
+    """A day whose only statement has the number 1,000,000: rows of bounded size,
+    all numbers in order, none left out."""
+    from newsloom.plans.quality import number_issues
+
+    docs = spark.createDataFrame(
+        [("2024-01-02", [("", 1_000_000)]), ("2024-01-03", [("", 1), ("", 1), ("", -2), ("communique", 9), ("", 3)])],
+        "file_date string, bayanat array<struct<badge:string,num:int>>")
+    rows = number_issues(docs).collect()
+    large = [r["message"] for r in rows if r["date"] == "2024-01-02"]
+    start = "Missing bayan numbers in sequence: ["
+    assert len(large) == 100 and max(map(len, large)) < 100_000 and all(m.startswith(start) for m in large)
+    numbers = sorted(int(x) for m in large for x in m[len(start) : -1].split(", "))
+    assert numbers == list(range(1, 1_000_000))
+    assert sorted(r["message"] for r in rows if r["date"] == "2024-01-03") == [
+        "Duplicate bayan numbers: [1]", "Extra bayan numbers outside expected range: [-2]", "Missing bayan numbers in sequence: [2]"]
