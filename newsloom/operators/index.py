@@ -15,6 +15,7 @@ FIELDS = ("title", "full_text", "location", "subtitle")  # fixed: the indexed co
 RESERVED = re.compile(r"\b(AND|OR|NOT|NEAR)\b", re.IGNORECASE)
 OPERATORS = re.compile(r'["*()+^:]')
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
+BLOCK_BYTES = 4_000_000
 
 
 def token_text(text: Column) -> Column:
@@ -63,18 +64,28 @@ def build_postings(rows: DataFrame, fields: Sequence[str] = FIELDS, key: str = "
     return rows.select(F.explode(every).alias("token"), key, *extra)
 
 
-def write_postings(postings: DataFrame, path: str, files: int, key: str = "id") -> None:
-    """Store the index sorted by (token, id). Range partitioning on both keeps a
-    very common token from filling one file, and the token statistics of the
-    files let a lookup skip all others."""
+def write_postings(postings: DataFrame, path: str, files: int, key: str = "id", segment: str = "base") -> None:
+    """Store a segment of the index sorted by (token, id). Range partitioning on
+    both keeps a very common token from filling one file; the token statistics of
+    the files and of their blocks (``BLOCK_BYTES``) let a lookup skip all others.
+
+    New rows are added as a further segment, without a rebuild. A segment that is
+    written again replaces itself only, so a job that failed can be run again."""
     (
         postings.repartitionByRange(files, "token", key).sortWithinPartitions("token", key)
-        .write.mode("overwrite").parquet(path)
+        .write.mode("overwrite").option("parquet.block.size", BLOCK_BYTES).parquet(f"{path}/segment={segment}")
     )
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All segments of a stored index. A row that changed may have postings in
+    several; candidates are confirmed on the rows, so old ones do no harm."""
+    return spark.read.parquet(path).drop("segment")
+
+
+def merge_postings(spark: SparkSession, path: str, target: str, files: int, key: str = "id") -> None:
+    """All segments as one, in another folder: readers go on with the old one."""
+    write_postings(read_postings(spark, path).distinct(), target, files, key)
 
 
 def lookup(postings: DataFrame, terms: Sequence[str], key: str = "id") -> DataFrame:
@@ -82,12 +93,13 @@ def lookup(postings: DataFrame, terms: Sequence[str], key: str = "id") -> DataFr
     multi-token term must be present; the order of a phrase is checked on the
     candidates by ``match_terms``.
 
-    The range condition on the token reaches the files as a pushed filter; the
-    remaining postings are reduced to one bit set per id."""
+    The range condition on the token reaches the files as a pushed filter; of the
+    remaining postings the distinct pieces found are counted per id."""
     wanted: list[tuple[str, bool]] = []
     for term in terms:
         pieces = _python_tokens(term)
         wanted += [(p, False) for p in pieces[:-1]] + [(pieces[-1], True)] if pieces else []
+    wanted = list(dict.fromkeys(wanted))
     if not wanted:
         return postings.select(key).limit(0)
 
@@ -96,10 +108,12 @@ def lookup(postings: DataFrame, terms: Sequence[str], key: str = "id") -> DataFr
 
     tests = [hit(p, prefix) for p, prefix in wanted]
     candidates = postings.where(reduce(lambda a, b: a | b, tests))
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)])
+    if len(tests) == 1:
+        return candidates.select(key).distinct()
+    found = F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
     return (
-        candidates.select(key, bits.alias("bits")).groupBy(key).agg(F.bit_or("bits").alias("bits"))
-        .where(F.col("bits") == (1 << len(tests)) - 1).select(key)
+        candidates.select(key, F.explode(found).alias("piece")).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") == len(tests)).select(key)
     )
 
 
@@ -116,6 +130,20 @@ def match_terms_indexed(rows: DataFrame, postings: DataFrame, terms: Sequence[st
     return match_terms(rows.join(lookup(postings, terms, key), key, "left_semi"), terms, fields)
 
 
+def _in_some(texts: Column, needle: Column) -> Column:
+    return F.exists(texts, lambda text: text.contains(needle))
+
+
+def term_flag(texts: Column, terms: Sequence[str]) -> Column:
+    """C1 on prepared texts (``token_text`` of the fields)."""
+    return reduce(lambda a, b: a & b, [_in_some(texts, _term_key(t)) for t in terms])
+
+
+def substring_flag(texts: Column, words: Sequence[str]) -> Column:
+    """B7 on prepared texts (the lower-cased fields)."""
+    return reduce(lambda a, b: a & b, [_in_some(texts, F.lit(w.lower())) for w in words])
+
+
 def like_all_words(rows: DataFrame, words: Sequence[str], fields: Sequence[str] = FIELDS) -> DataFrame:
     """Every word is a substring of some field, ASCII case ignored."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from newsloom.operators.counts import kpi_counts
 from newsloom.operators.sets import difference, union_by_priority, union_dedupe
 from newsloom.plans import search as P
 from newsloom.queries.base import EV, events, query, table, text_table
+from newsloom.session import work_dir
 
 # Tokens as the engine makes them, in SQL.
 _TOK = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
@@ -49,6 +51,28 @@ def fts_by_index(spark, folder):
     return N.match_terms_indexed(rows, N.build_postings(rows), ["ander", "the"]).select("id")
 
 
+@query(f"SELECT id FROM {DOCS} WHERE ({_has('full_text', 'ander')} OR {_has('title', 'ander')}) AND ({_has('full_text', 'the')} OR {_has('title', 'the')})")
+def search_stored_index(spark, folder):
+    """The same through an index in the shared folder: the last day is added to it
+    as a segment of its own, and found without a rebuild."""
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+    rows = documents(spark, folder)
+    last = F.col("date") == F.lit(dt.date(2024, 2, 29))
+    N.write_postings(N.build_postings(rows.where(~last)), path, spark.sparkContext.defaultParallelism)
+    N.write_postings(N.build_postings(rows.where(last)), path, 1, segment="2024-02-29")
+    return N.match_terms_indexed(rows, N.read_postings(spark, path), ["ander", "the"]).select("id")
+
+
+@query(
+    f"SELECT id, date, time FROM {DOCS} WHERE {_has('full_text', 'the')} OR {_has('title', 'the')} OR {_has('subtitle', 'the')} "
+    f"OR contains(lower(full_text), 'eitu') OR contains(lower(title), 'eitu') OR contains(lower(subtitle), 'eitu') OR contains(lower(full_text), 'x')"
+)
+def search_variants(spark, folder):
+    """Three variants in one scan: one found by its term, one by substrings because
+    no token starts with it, one by substrings because it is a single character."""
+    return P.match_variants(documents(spark, folder), [["the"], ["eitu"], ["x"]]).select("id", "date", "time")
+
+
 @query(
     f"WITH t AS (SELECT DISTINCT id, unnest(string_split(trim({_TOK.format('full_text')}), ' ')) AS token FROM {DOCS}) "
     "SELECT token, count(*) AS docs FROM t WHERE token <> '' GROUP BY token"
