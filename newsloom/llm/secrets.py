@@ -1,25 +1,38 @@
 """Secrets by a linear-chain conditional random field.
 
-Words are tagged as begin of a secret, inside or outside. Features of a word
-are its shape, the words beside it and what kind of text it stands in. A word
-without a digit can only be outside, so a text falls into short chains of words
-with digits, and the best tags of the whole text are those of its chains
-(Viterbi). The field is trained by maximum likelihood on at most ``max_chains``
-chains, chosen by a hash over all documents, whose tags come from the fixed
-forms; these forms always stay as spans, and the field adds others.
+Words are tagged as begin of a secret, inside or outside. A word may carry or
+announce a secret if it has a digit, a sign, a change to upper case or a key
+word; a chain is every run of such words with the ``BEFORE`` words before and
+``AFTER`` words behind each, letter-only words included. Features of a word are
+its shape, its neighbours and what kind of text it stands in; none is the text
+of a fixed form. Words far from all of that are outside, so the best tags of a
+text are those of its chains (Viterbi).
+
+The field is trained by maximum likelihood on distinct chains, at most about
+``max_chains`` with and as many without a base value, chosen by a hash cutoff
+that is computed from counts over all documents. The base values are masked in
+part: each is learnt as it is, rewritten (letters only, words run together)
+behind other key words, and without any key word; words of the same text take
+its place as examples of what is no secret. The base forms always stay as spans,
+and the field adds others; without any base value there is nothing to learn from
+and it adds none.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +49,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _HEX_BYTES = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_WITH_DIGIT = re.compile(r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*")
-_KEYS = re.compile(r"pass|secret|token|key|auth|pwd|cred", re.I)
+_NAME = (
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+    r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api)?key|auth|cred(?:ential)?)s?(?![a-z])"
+)
+_KEYS = re.compile(_NAME)
+_HINT = re.compile(rf"[0-9=_+/]|[a-z][A-Z]|{_NAME}")
+_OPEN, _CLOSE = "\"'`([{<", "\"'`)]}>,;.!?"
+BEFORE, AFTER = 2, 3
+KEY_WORDS = ("pwd", "auth_key", "db_pass", "client key", "access-key", "credential", "passphrase", "dbPass", "AUTH")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,63 +81,166 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % SLOTS
 
 
-def _shape(word: str) -> str:
-    kinds = re.sub("[0-9]+", "0", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", word[:200])))
-    return re.sub("(.{1,2})\\1+", "\\1*", kinds)[:12]
+def _core(word: str) -> tuple[str, str]:
+    """What stands before the last sign of assignment of a word, and behind it."""
+    name, sign, value = word.rpartition("=") if "=" in word.rstrip("=") else word.rpartition(":")
+    if not value.strip(_OPEN + _CLOSE + "="):
+        name, value = word, ""
+    return (name, value) if sign else ("", word)
+
+
+def _class(word: str) -> str:
+    """What a word announces to its neighbours."""
+    if not word:
+        return "none"
+    if not word.strip("=:"):
+        return "sign"
+    return f"{bool(_KEYS.search(word))}{word[-1] in '=:'}{any(c.isdigit() for c in word)}"
+
+
+@lru_cache(50_000)
+def _own(word: str) -> tuple[tuple[int, ...], str, str]:
+    """Slots of a word by itself, its class and the kind of its value."""
+    name, value = _core(word)
+    value = value.strip(_OPEN + _CLOSE)
+    n = max(len(value), 1)
+    lower, upper, digit = (any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
+    signs = sum(not c.isalnum() for c in value)
+    codes = ["0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "-" for c in value]
+    switches = sum(x != y for x, y in zip(codes, codes[1:]))
+    kinds = f"{lower:d}{upper:d}{digit:d}{signs > 0:d}"
+    shape = "".join(c for c, before in zip(codes, ["", *codes]) if c != before)[:8]
+    consonants = max(map(len, re.split("[^b-df-hj-np-tv-xz]+", value.lower())))
+    kind = f"{kinds} {min(n // 4, 6)}"
+    names = [
+        "bias", f"shape {shape}", f"kinds {kinds}", f"length {min(n // 3, 14)}", f"both {kind}", f"digits {8 * sum(c.isdigit() for c in value) // n}",
+        f"distinct {min(len(set(value)) // 3, 8)}", f"switches {kinds} {min(8 * switches // n, 6)} {n > 9}", f"consonants {min(consonants, 7)} {n > 9}",
+        f"last letter {max((c for c in value if c.isalpha()), default='')[:1] <= 'f'} {digit} {min(n // 8, 5)}",
+        f"mail {'@' in value}", f"dots {min(value.count('.'), 3)}", f"path {'://' in word or '/' in value} {digit}", f"plus {value[:1] == '+'}",
+        f"opens {word[:1] in _OPEN}", f"assigned here {bool(name)} {bool(_KEYS.search(name))} {bool(value)} {n > 5}", f"key here {bool(_KEYS.search(word))}",
+    ]
+    return tuple(_slot(x) for x in names), _class(word), kind
 
 
-def _features(word: str, before: list[str], after: str, kind_of_text: str) -> list[int]:
-    core = word.strip("\"'`()[]{}<>,;.!?")
-    digits, letters = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core)
-    value = re.split("[=:]", core)[-1].strip("\"'")
-    n = max(len(core), 1)
+@lru_cache(50_000)
+def _around(before2: str, before: str, after: str, kind: str, kind_of_text: str) -> tuple[int, ...]:
     names = [
-        "bias", f"shape {_shape(word)}", f"length {min(len(core) // 4, 12)}", f"digits {10 * digits // n}", f"letters {10 * letters // n}",
-        f"kinds {min(len(set(value)) // 3, 8)}", f"hex {bool(re.fullmatch('[0-9a-f]+', value))} {min(len(value) // 8, 5)}",
-        f"caps {bool(re.fullmatch('[A-Z0-9]+', value))} {min(len(value) // 8, 4)}", f"start {core[:4]}" if core[:1].isalpha() else "start other",
-        f"mail {'@' in core}", f"dots {min(core.count('.'), 3)}", f"plus {core[:1] == '+'}", f"sign {bool(re.search('[=:]', core))}",
-        f"before {before[-1][:16].lower() if before else ''}", f"before2 {before[-2][:16].lower() if len(before) > 1 else ''}",
-        f"after {after[:16].lower()}", f"key near {any(_KEYS.search(b) for b in before)}", f"key here {bool(_KEYS.search(core))}",
-        f"assigned {bool(before) and before[-1][-1:] in '=:'}", f"text {kind_of_text}",
-        f"hex and key {bool(re.fullmatch('[0-9a-f]{8,}', value))} {any(_KEYS.search(b) for b in before)}",
+        f"before {before}", f"before2 {before2} {before}", f"after {after}", f"value {before2} {before} {kind}", f"near {before} {kind}",
+        f"text {kind_of_text}",
     ]
-    return [_slot(x) for x in names]
+    return tuple(_slot(x) for x in names)
+
+
+def _word_runs(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of words that may carry a secret or stand near one that may."""
+    hint = _HINT.search(text)
+    out: list[list[tuple[int, int]]] = []
+    waiting: list[tuple[int, int]] = []  # words that only a later word can bring in
+    behind = 0
+    for m in _WORD.finditer(text) if hint else ():
+        start, end = m.span()
+        marked = hint is not None and hint.start() < end
+        if marked:
+            hint = _HINT.search(text, end)
+        if marked or behind:
+            if behind == 0 and (not out or len(waiting) > BEFORE):
+                out.append([])
+            if behind == 0:
+                out[-1] += waiting[-BEFORE:]
+                waiting = []
+            out[-1].append((start, end))
+            behind = AFTER if marked else behind - 1
+        elif not hint:
+            break
+        else:
+            waiting.append((start, end))
+            if len(waiting) > BEFORE + 1:
+                waiting.pop(0)
+    return out
 
 
 def chains(text: str) -> list[Chain]:
-    """Runs of consecutive words with digits, with the features of each word."""
-    found = [m.span() for m in _WITH_DIGIT.finditer(text)]
-    if not found:
-        return []
-    kind = f"{min(5, 200 * len(found) // max(len(text) // 6, 1))} {';' in text} {'{' in text}"
-    out: list[Chain] = []
-    last = -1
-    for start, end in found:
-        left = text[max(0, start - 60) : start]
-        before = _WORD.findall(left)
-        if len(left) == 60 and before and not left[0].isspace():
-            before = before[1:]
-        after = _WORD.search(text, end, end + 60)
-        features = _features(text[start:end], before[-2:], after.group() if after else "", kind)
-        if last >= 0 and not _WORD.search(text, last, start):
-            out[-1].spans.append((start, end))
-            out[-1].features.append(features)
-        else:
-            out.append(Chain([(start, end)], [features]))
-        last = end
+    """Runs of words that carry or neighbour a hint of a secret, with features."""
+    runs = _word_runs(text)
+    marked = sum(map(len, runs))
+    kind_of_text = f"{min(5, 50 * marked // max(len(text) // 6, 1))} {';' in text} {'{' in text}"
+    out = []
+    for spans in runs:
+        own = [_own(text[a:b]) for a, b in spans]
+        classes = ["none", "none", *[c for _, c, _ in own], "none"]
+        features = [[*slots, *_around(*classes[k : k + 2], classes[k + 3], kind, kind_of_text)] for k, (slots, _, kind) in enumerate(own)]
+        out.append(Chain(spans, features))
     return out
 
 
-def tags_of(chain: Chain, spans: list[tuple[str, int, int]]) -> list[int]:
-    """Tags by the fixed forms: words that a span touches."""
+def values(text: str) -> list[tuple[int, int]]:
+    """Where the secrets themselves stand in the base spans: without a name."""
+    out = {m.span(2) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6}
+    out |= {(a, b) for kind, a, b in base_spans(text) if kind != "assign"}
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(out, key=lambda s: (s[0], -s[1])):
+        if not kept or a >= kept[-1][1]:
+            kept.append((a, b))
+    return kept
+
+
+def tags_of(chain: Chain, spans: list[tuple[int, int]]) -> list[int]:
+    """Tags by known values: words that one of them touches."""
     tags, previous = [], None
     for start, end in chain.spans:
-        own = next(((a, b) for _, a, b in spans if a < end and start < b), None)
+        own = next(((a, b) for a, b in spans if a < end and start < b), None)
         tags.append(OUTSIDE if own is None else INSIDE if own == previous else BEGIN)
         previous = own
     return tags
 
 
+def masked(text: str, seed: int = 0) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """A training text, and what is made of its base values and of its words so
+    that neither the form nor the key word alone decides. Deterministic."""
+    known = values(text)
+    yield text, known
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace"), seed))
+    plain = [w.strip(_OPEN + _CLOSE + ":=") for w in text.split()]
+    plain = [w for w in plain if w.isalpha() and 3 <= len(w) <= 12 and not _KEYS.search(w)] or ["word"]
+    pick = lambda: rng.choice(plain)
+
+    def put(form: str, value: str, secret: bool) -> tuple[str, list[tuple[int, int]]]:
+        left, right = form.split("@@")
+        left, right = f"{pick()} {pick()} {left}", f"{right} {pick()} {pick()}"
+        return left + value + right, [(len(left), len(left) + len(value))] if secret else []
+
+    def written(letters: str, low: int, high: int) -> str:
+        return "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+
+    def run_together(how) -> str:
+        out = ""
+        while len(out) < 10:
+            out += how(pick())
+        return out
+
+    if known:
+        a, b = rng.choice(known)
+        own = text[a:b]
+        every = string.ascii_letters + string.digits
+        named = ("{}: @@", "{} = @@", "{}=@@", "{}: \"@@\"", "{} <@@>", "{} is @@", "{} = '@@';")
+        for made in (own, written(string.ascii_letters, 10, 28), written(every, 12, 40), written(every + "_-+/", 16, 40),
+                     run_together(str.capitalize), run_together(str.lower)):
+            for form in rng.sample(named[:5], 2) if made.isalpha() else rng.sample(named, 2):
+                yield put(form.format(rng.choice(KEY_WORDS)), made, True)
+        for made in (own, written(every, 20, 40), written(every + "+/", 24, 48)):
+            yield put("@@", made, True)
+    number = str(rng.randint(1, 9999))
+    key = rng.choice((*KEY_WORDS, "token", "secret", "key"))
+    for form, made in (
+        (key + " @@", pick()), (key + ": @@", pick()[:8].lower()), (key + " = @@", number), (key + " is @@", pick()),
+        ("@@", pick().lower() + pick().capitalize()), ("@@", f"{pick()}_{pick()}"), ("@@", f"{pick()}/{pick()}"),
+        ("@@", f"https://{pick().lower()}.com/{pick().lower()}/{number}"), (pick() + ": @@", pick()), (pick() + " = @@", number),
+        ("@@", f"{pick()}{number}"), (f"{key} @@", f"v{number[:1]}.{number[-1:]}"),
+    ):
+        if rng.random() < 0.5:
+            yield put(form, made, False)
+
+
 @dataclass
 class Field:
     emission: np.ndarray  # SLOTS x 3
@@ -185,22 +308,55 @@ def fit(examples: list[tuple[list[list[int]], list[int]]], epochs: int = 60, rat
     return field
 
 
-def train(docs: DataFrame, max_chains: int = 6_000) -> Field:
-    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Buffer(pa.schema([("h", pa.int64()), ("size", pa.int32()), ("features", pa.binary()), ("tags", pa.binary())]))
+def learn(texts: list[str], least: int = 150) -> Field:
+    """The field from training texts; where few of them have a secret, or few
+    have none, these are masked anew until there are ``least``."""
+    groups: dict[bool, list[str]] = defaultdict(list)
+    for text in texts:
+        groups[bool(values(text))].append(text)
+    examples = []
+    for group in groups.values():
+        for seed in range(-(-least // len(group))):
+            examples += [(c.features, tags_of(c, known)) for text in group for made, known in masked(text, seed) for c in chains(made)]
+    return fit(sorted(examples))
+
+
+def train(docs: DataFrame, max_chains: int = 1_500, words: int = 32, longest: int = 4_000) -> Field:
+    """The field, learnt from the texts of distinct chains, cut every ``words``
+    words. Those with and without a base value are counted apart; the counts
+    give a cutoff of a hash for each, and only chains below it travel.
+    ``longest``: a chain of more characters is no example."""
+    def parts(text: str) -> Iterator[tuple[int, bool, str]]:
+        for spans in _word_runs(text):
+            for k in range(0, len(spans), words):
+                part = text[spans[k][0] : spans[min(k + words, len(spans)) - 1][1]]
+                if len(part) <= longest:
+                    yield xxhash.xxh64_intdigest(part.encode("utf-8", "replace")) >> 1, bool(values(part)), part
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Buffer(pa.schema([("h", pa.int64()), ("secret", pa.bool_())]))
         for (text,) in rows(batches, "text"):
-            found = chains(text) if text else []
-            spans = base_spans(text) if found else []
-            for number, chain in enumerate(found):
-                data = np.array(chain.features, np.int16).tobytes()
-                out.add(zlib.crc32(data, number) * 7919 % (1 << 32), len(chain.features), data, bytes(tags_of(chain, spans)), weight=len(data))
+            for h, secret, _ in parts(text or ""):
+                out.add(h, secret)
                 if out.full():
                     yield out.take()
         yield out.take()
 
-    found = map_rows(docs.select("text"), examples, "h bigint, size int, features binary, tags binary")
-    taken = found.orderBy("h", "features", "tags").limit(max_chains).collect()
-    return fit([(np.frombuffer(bytes(r["features"]), np.int16).reshape(r["size"], -1).tolist(), list(bytes(r["tags"]))) for r in taken])
+    counted = map_rows(docs.select("text"), keys, "h bigint, secret boolean").distinct().groupBy("secret").count().collect()
+    cutoff = {r["secret"]: min(1.0, max_chains / r["count"]) * 2.0**63 for r in counted}
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Buffer(pa.schema([("h", pa.int64()), ("part", pa.string())]))
+        for (text,) in rows(batches, "text"):
+            for h, secret, part in parts(text or ""):
+                if h < cutoff[secret]:
+                    out.add(h, part, weight=len(part))
+                    if out.full():
+                        yield out.take()
+        yield out.take()
+
+    taken = map_rows(docs.select("text"), examples, "h bigint, part string").groupBy("h").agg(F.min("part").alias("part"))
+    return learn(sorted(r["part"] for r in taken.collect()))
 
 
 def spans_of(text: str, field: Field) -> list[tuple[str, int, int]]:
@@ -220,9 +376,12 @@ def spans_of(text: str, field: Field) -> list[tuple[str, int, int]]:
             while k < len(tags) and tags[k] == INSIDE:
                 k += 1
             start, end = chain.spans[begin][0], chain.spans[k - 1][1]
-            while start < end and text[start] in "\"'`([{<":
+            name, _ = _core(text[start : chain.spans[begin][1]])
+            if name and _KEYS.search(name):
+                start += len(name) + 1
+            while start < end and text[start] in _OPEN:
                 start += 1
-            while start < end and text[end - 1] in "\"'`)]}>,;.!?":
+            while start < end and text[end - 1] in _CLOSE:
                 end -= 1
             if start < end and not any(a < end and start < b for _, a, b in base):
                 out.append(("tagged", start, end))
