@@ -13,6 +13,7 @@ from newsloom.functions import text as X
 from newsloom.functions import translit as L
 from newsloom.operators import counts as K
 from newsloom.plans import statistics as T
+from newsloom.operators.aliases import resolve_from_table
 from newsloom.queries.base import EV, events, query, table, text_table
 from newsloom.rules import Rule, all_matches, count_mentions, first_match, listed_terms
 
@@ -66,6 +67,25 @@ def resolve_aliases(spark, folder):
     return table(spark, folder, "part").select("p_partkey", L.resolve_aliases(F.col("p_name"), ALIASES).alias("resolved"))
 
 
+_CODE = "'o' || lpad(CAST({} AS VARCHAR), 9, '0')"
+
+
+@query(
+    f"WITH a AS (SELECT {_CODE.format('o_orderkey')} AS alias, lower(o_orderpriority) || ' of ' || o_custkey AS canonical FROM orders), "
+    f"t AS (SELECT o_orderkey, {_CODE.format('o_orderkey')} AS own, {_CODE.format('o_orderkey + 1')} AS next FROM orders) "
+    "SELECT t.o_orderkey, 'from ' || x.canonical || 'to' || coalesce(y.canonical, t.next) || '.' AS resolved "
+    "FROM t JOIN a x ON x.alias = t.own LEFT JOIN a y ON y.alias = t.next"
+)
+def resolve_aliases_from_table(spark, folder):
+    """An alias per order: more than a pattern can hold."""
+    orders = table(spark, folder, "orders")
+    code = lambda n: F.concat(F.lit("O"), F.lpad(n.cast("string"), 9, "0"))
+    meaning = F.concat(F.lower("o_orderpriority"), F.lit(" of "), F.col("o_custkey").cast("string"))
+    aliases = orders.select(code(F.col("o_orderkey")).alias("alias"), meaning.alias("canonical"))
+    text = F.concat(F.lit("From "), code(F.col("o_orderkey")), F.lit("to"), code(F.col("o_orderkey") + 1), F.lit("."))
+    return resolve_from_table(orders.select("o_orderkey", text.alias("q")), "q", aliases).select("o_orderkey", "resolved")
+
+
 @query(
     "WITH p AS (SELECT p_partkey, p_name, generate_subscripts(string_split(p_name, ''), 1) AS i FROM part), "
     "h AS (SELECT p_partkey, CAST(i - 1 AS INTEGER) AS span_start, CAST(i + 2 AS INTEGER) AS span_end FROM p WHERE lower(substr(p_name, i, 3)) IN ('rin', 'bol')) SELECT * FROM h"
