@@ -53,8 +53,10 @@ _NAME = (
     r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
     r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api)?key|auth|cred(?:ential)?)s?(?![a-z])"
 )
-_KEYS = re.compile(_NAME)
-_HINT = re.compile(rf"[0-9=_+/]|[a-z][A-Z]|{_NAME}")
+_KEYS = re.compile(_NAME, re.A)
+_STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "cred")
+_SIGNS = re.compile("[0-9=_+/]+")
+_TURN = re.compile("[A-Z](?<=[a-z][A-Z])")
 _OPEN, _CLOSE = "\"'`([{<", "\"'`)]}>,;.!?"
 BEFORE, AFTER = 2, 3
 KEY_WORDS = ("pwd", "auth_key", "db_pass", "client key", "access-key", "credential", "passphrase", "dbPass", "AUTH")
@@ -131,17 +133,27 @@ def _around(before2: str, before: str, after: str, kind: str, kind_of_text: str)
     return tuple(_slot(x) for x in names)
 
 
+def _hints(text: str) -> list[int]:
+    """Where digits, signs, changes to upper case and key words stand."""
+    found = [m.start() for pattern in (_SIGNS, _TURN) for m in pattern.finditer(text)]
+    folded = text.lower()
+    if any(stem in folded for stem in _STEMS):
+        found += [m.start() for m in _KEYS.finditer(text)]
+    return sorted(found)
+
+
 def _word_runs(text: str) -> list[list[tuple[int, int]]]:
     """Runs of words that may carry a secret or stand near one that may."""
-    hint = _HINT.search(text)
+    hints = _hints(text)
+    at = 0
     out: list[list[tuple[int, int]]] = []
     waiting: list[tuple[int, int]] = []  # words that only a later word can bring in
     behind = 0
-    for m in _WORD.finditer(text) if hint else ():
+    for m in _WORD.finditer(text) if hints else ():
         start, end = m.span()
-        marked = hint is not None and hint.start() < end
-        if marked:
-            hint = _HINT.search(text, end)
+        marked = at < len(hints) and hints[at] < end
+        while at < len(hints) and hints[at] < end:
+            at += 1
         if marked or behind:
             if behind == 0 and (not out or len(waiting) > BEFORE):
                 out.append([])
@@ -150,7 +162,7 @@ def _word_runs(text: str) -> list[list[tuple[int, int]]]:
                 waiting = []
             out[-1].append((start, end))
             behind = AFTER if marked else behind - 1
-        elif not hint:
+        elif at == len(hints):
             break
         else:
             waiting.append((start, end))
@@ -321,7 +333,7 @@ def learn(texts: list[str], least: int = 150) -> Field:
     return fit(sorted(examples))
 
 
-def train(docs: DataFrame, max_chains: int = 1_500, words: int = 32, longest: int = 4_000) -> Field:
+def train(docs: DataFrame, max_chains: int = 600, words: int = 32, longest: int = 4_000) -> Field:
     """The field, learnt from the texts of distinct chains, cut every ``words``
     words. Those with and without a base value are counted apart; the counts
     give a cutoff of a hash for each, and only chains below it travel.
