@@ -134,9 +134,38 @@ def match_spans(text: Column, terms: list[str]) -> Column:
     text is processed without leaving the JVM.
     """
     pattern = spans_pattern(terms)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    if pattern is None:
-        return empty
+    return _no_spans() if pattern is None else _spans(text, pattern)
+
+
+def offset_map(text: Column) -> Column:
+    """For each character of ``norm_highlight(text)`` its position in the
+    original. A dropped mark has no entry, a letter whose lower case is two
+    characters has two."""
+    return F.flatten(F.transform(F.split(text, "", -1), lambda ch, i: F.array_repeat(i, F.length(norm_highlight(ch)))))
+
+
+def mapped_spans(text: Column, terms: list[str]) -> Column:
+    """H23 by the folded text: terms are searched in ``norm_highlight(text)`` and
+    the matches brought back through ``offset_map``. A match reaches to the next
+    kept character, so it takes its marks along; marks in front of it stay outside. Null text and no usable term give no span."""
+    import re
+
+    folded = [t for t in (_fold_python(term) for term in terms) if len(t) > 1]
+    if not folded:
+        return _no_spans()
+    pattern = "(?:" + "|".join(re.escape(t) for t in folded) + ")"
+    return let(_spans(norm_highlight(text), pattern), lambda spans: F.when(F.size(spans) == 0, spans).otherwise(
+        let(offset_map(text), lambda at: F.transform(spans, lambda s: F.struct(
+            F.get(at, s["start"]).alias("start"), F.coalesce(F.get(at, s["end"]), F.length(text)).alias("end"))))))
+
+
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,end:int>>")
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """``[start, end)`` of the matches of a pattern that matches no empty text."""
+    empty = _no_spans()
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = split_at(text, pattern)
     steps = F.zip_with(

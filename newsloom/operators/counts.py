@@ -74,7 +74,11 @@ def hour_dow_heatmap(events: DataFrame) -> DataFrame:
 def heatmap_margins(events: DataFrame) -> DataFrame:
     """Cells with their day, hour and grand totals and shares. The cells
     (at most 24 × 7) are counted once; the margins are windows over them."""
-    cells = hour_dow_heatmap(events)
+    return with_margins(hour_dow_heatmap(events))
+
+
+def with_margins(cells: DataFrame) -> DataFrame:
+    """D5 from counted cells (``hour, dow, count``)."""
     everything = Window.partitionBy(F.lit(1))
     total, peak = F.sum("count").over(everything), F.max("count").over(everything)
     return cells.select(

@@ -20,7 +20,7 @@ from newsloom.plans import facets as P
 from newsloom.plans import ingest as I
 from newsloom.plans import statistics as T
 from newsloom.queries.base import EV, events, query, table
-from newsloom.schemas import REPORT
+from newsloom.schemas import CATEGORIES, REPORT
 from newsloom.session import stage_table, work_dir
 from newsloom.sinks.dumps import day_dumps as to_day_dumps
 from newsloom.sinks.dumps import format_record as record_line
@@ -30,6 +30,7 @@ from newsloom.sinks.reports import day_documents as to_documents
 from newsloom.sinks.reports import write_day_documents
 from newsloom.sources import dumps as source
 from newsloom.sources import reports as R
+from newsloom.streaming.dumps import ingest_new_dumps
 
 KIND_CATEGORY = {"purchase": "bayanat", "error": "sirens", "view": "enemy", "click": "videos", "signup": "other"}
 STATEMENT_HEAD = "بيان صادر عن المقاومة الإسلامية ("
@@ -310,6 +311,48 @@ def ingest_alert_points(spark, folder):
     return points.select("date", "loc", "lat", "lng", "count", F.array_join("times", ",").alias("times"))
 
 
+@query(
+    f"SELECT id, date, time, {_CATEGORY} AS category FROM {EV} WHERE category <> 'signup' "
+    "QUALIFY category <> 'click' OR row_number() OVER (PARTITION BY date, time, category, user_id ORDER BY id % 2, id) = 1"
+)
+def ingest_stream(spark, folder):
+    """Dumps that arrive in two lots, each taken by a stream run with the same
+    checkpoint: no file is taken twice, and the second lot's copies of all videos
+    are dropped, also those whose first one came with the first lot."""
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = messages(spark, folder)
+    for lot in (0, 1):
+        arrived = rows.where(F.col("id") % 2 == lot)
+        if lot:
+            arrived = arrived.unionByName(rows.where("category = 'click'").withColumn("id", F.col("id") + 10**12))
+        lines_ = arrived.select("id", "date", record_line(F.col("id"), F.lit("channel"), F.col("ts"), F.col("text"), views=F.col("user_id")).alias("record"))
+        write_day_dumps(to_day_dumps(lines_), f"{path}/raw/lot={lot}")
+        ingest_new_dumps(spark, f"{path}/raw/*/*/*.json", f"{path}/items", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/items").select("id", "date", "time", "category")
+
+
+_PLANTED = "CASE WHEN dayofmonth(date) % 7 IN (0, 3) THEN 'unreadable' WHEN dayofmonth(date) % 7 = 2 THEN 'misnamed' ELSE '' END"
+
+
+@query(
+    f"SELECT strftime(date, '%Y-%m-%d') AS day, {_PLANTED} AS fault, CAST(sum(CASE WHEN dayofmonth(date) % 7 IN (0, 3) THEN 0 ELSE 1 END) AS BIGINT) AS items "
+    f"FROM {EV} WHERE category <> 'signup' GROUP BY date"
+)
+def tolerant_documents(spark, folder):
+    """Day documents with broken, undated and misnamed ones among them: good days
+    go on to events, the others are set aside with the reason."""
+    path = f"{work_dir(spark)}/tolerant-{uuid.uuid4().hex}"
+    days = documents(spark, folder).withColumns({"day": F.col("date"), "k": F.dayofmonth(F.to_date("date")) % 7})
+    days = days.withColumn("date", F.when(F.col("k") == 1, "").when(F.col("k") == 2, "1999-01-01").otherwise(F.col("date")))
+    text = F.to_json(F.struct(*[c for c in days.columns if c not in ("day", "k")]))
+    value = F.when(F.col("k") == 0, F.substring(text, F.lit(1), F.length(text) - 9)).when(F.col("k") == 3, "no document").otherwise(text)
+    days.select(value.alias("value"), "day").write.partitionBy("day").text(path)
+    good, aside = R.quarantine(R.read_written_reports(spark, path))
+    lengths = sum((R.array_length(c) for c in CATEGORIES), F.lit(0)).cast("long")
+    found = R.to_events(good).groupBy(F.date_format("date", "yyyy-MM-dd").alias("day"), F.lit("").alias("fault")).agg(F.count(F.lit(1)).alias("items"))
+    return found.unionByName(aside.groupBy(F.col("file_date").alias("day"), "fault").agg(F.sum(lengths).alias("items")))
+
+
 @query(f"SELECT date, count(*) AS records FROM {EV} GROUP BY date")
 def count_records_in_files(spark, folder):
     """Records per day, counted in dump files of many documents."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.geo import percent, round_exact
@@ -13,7 +16,11 @@ from newsloom.operators import counts as K
 from newsloom.operators import events as E
 from newsloom.operators import sequence as S
 from newsloom.plans import months as M
+from newsloom.plans.dashboard import dashboard
 from newsloom.queries.base import EV, KINDS, REPORTS, daily_reports, events, query, sum_case, table
+from newsloom.session import work_dir
+from newsloom.sinks.reports import write_event_tables
+from newsloom.sources import reports as R
 
 JAN10, JAN20 = dt.date(2024, 1, 10), dt.date(2024, 1, 20)
 
@@ -115,6 +122,45 @@ def table_page(spark, folder):
     return E.page(daily_reports(spark, folder), "click", True, 2, 10, ("date", *KINDS, "total"))
 
 
+_STATE = f"(SELECT * FROM {EV} WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' AND category IN ('click', 'error', 'view'))"
+_LONG = " UNION ALL ".join(
+    f"SELECT '{panel}', {key}, '{c}', {c} FROM {panel}"
+    for panel, key, names in (("series", "period", ("click", "error", "view")), ("days", "CAST(date AS VARCHAR)", ("click", "error", "purchase", "total")))
+    for c in names
+)
+
+
+@query(
+    f"WITH e AS {_STATE}, series AS (SELECT strftime(date, '%Y-W%W') AS period, {sum_case('category', KINDS)} FROM e GROUP BY 1), "
+    f"days AS (SELECT date, {sum_case('category', KINDS)}, count(*) AS total FROM e GROUP BY 1 ORDER BY error DESC, date DESC LIMIT 5 OFFSET 5) "
+    "SELECT 'kpis' AS panel, k AS a, NULL::VARCHAR AS b, coalesce(n, 0) AS n "
+    f"FROM (SELECT unnest({list(KINDS)}) AS k) LEFT JOIN (SELECT category, count(*) AS n FROM e GROUP BY 1) ON k = category UNION ALL {_LONG} "
+    "UNION ALL SELECT 'heatmap', CAST(CAST(substr(time, 1, 2) AS INTEGER) AS VARCHAR), CAST(dayofweek(date) AS VARCHAR), count(*) FROM e GROUP BY 2, 3 "
+    "UNION ALL SELECT * FROM (SELECT 'top_values', title, NULL, count(*) AS n FROM e WHERE category = 'view' GROUP BY 2 ORDER BY n DESC, title LIMIT 10) "
+    "UNION ALL SELECT 'pages', CAST(count(DISTINCT date) AS VARCHAR), NULL, CAST(ceil(count(DISTINCT date) / 5.0) AS BIGINT) FROM e"
+)
+def dashboard_panels(spark, folder):
+    """All panels of one filter state, whole, as ``panel, a, b, n``: one scan of the events."""
+    sets = dashboard(
+        events(spark, folder), dt.date(2024, 1, 3), dt.date(2024, 1, 25), ["click", "error", "view"], "weekly", "error", True, 2, 5,
+        KINDS, ("click", "error", "purchase"), "view")
+    none = F.lit(None).cast("string")
+
+    def long(panel, rows, key, names):
+        entries = F.array(*[F.struct(F.lit(c).alias("b"), F.col(c).alias("n")) for c in names])
+        return rows.select(F.lit(panel).alias("panel"), F.col(key).cast("string").alias("a"), F.inline(entries))
+
+    parts = [
+        sets["kpis"].select(F.lit("kpis").alias("panel"), F.col("category").alias("a"), none.alias("b"), "n"),
+        long("series", sets["series"], "period", ("click", "error", "view")),
+        long("days", sets["table"], "date", ("click", "error", "purchase", "total")),
+        sets["heatmap"].select(F.lit("heatmap"), F.col("hour").cast("string"), F.col("dow").cast("string"), "count"),
+        sets["top_values"].select(F.lit("top_values"), "name", none, "value"),
+        sets["pages"].select(F.lit("pages"), F.col("days").cast("string"), none, "pages"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 @query(f"SELECT count(DISTINCT date) AS days, CAST(greatest(1, ceil(count(DISTINCT date) / 10.0)) AS BIGINT) AS pages FROM {EV}")
 def page_count(spark, folder):
     return E.page_count(events(spark, folder))
@@ -130,6 +176,19 @@ def table_counts(spark, folder):
     return K.table_counts({n: table(spark, folder, n) for n in ("orders", "events", "documents")})
 
 
+@query(
+    f"SELECT id, date, category, time, title, total FROM {EV} JOIN (SELECT date, count(*) AS total FROM {EV} GROUP BY date) USING (date) "
+    "WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"
+)
+def event_tables_range(spark, folder):
+    """Both event tables written and a range of days read back: only the folders
+    of the range are listed and read."""
+    path = f"{work_dir(spark)}/tables-{uuid.uuid4().hex}"
+    write_event_tables(events(spark, folder), daily_reports(spark, folder), path)
+    stored = [R.scan_date_range(spark.read.parquet(f"{path}/{name}"), JAN10, JAN20) for name in ("events", "reports")]
+    return stored[0].join(stored[1].select("date", "total"), "date").select("id", "date", "category", "time", "title", "total")
+
+
 @query(
     "SELECT greatest(DATE '1998-02-01', min(CAST(o_orderdate AS DATE))) AS range_start, "
     "least(DATE '1998-02-28', max(CAST(o_orderdate AS DATE))) AS range_end FROM orders"

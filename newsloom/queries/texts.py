@@ -97,6 +97,22 @@ def match_spans(spark, folder):
     )
 
 
+MARKED, PLAIN_WORD, SHORT = "أَلْمُقَاوَمَةُ", "المقاومه", "مَا"
+_AT = f"(SELECT *, CAST(length(p_name) + 1 AS INTEGER) AS a, CAST(length(p_name) + {len(MARKED) + 3} + length(CAST(p_partkey AS VARCHAR)) AS INTEGER) AS b FROM part)"
+
+
+@query(
+    f"SELECT p_partkey, a AS span_start, a + {len(MARKED)} AS span_end FROM {_AT} UNION ALL SELECT p_partkey, b, b + {len(PLAIN_WORD)} FROM {_AT} "
+    f"UNION ALL SELECT p_partkey, b + {len(PLAIN_WORD) + 1}, b + {len(PLAIN_WORD) + 1 + len(SHORT)} FROM {_AT}"
+)
+def mapped_spans(spark, folder):
+    """Matches on folded letters and dropped marks, at their original positions."""
+    text = F.concat("p_name", F.lit(f" {MARKED}/"), F.col("p_partkey").cast("string"), F.lit(f" {PLAIN_WORD} {SHORT}"))
+    rows = table(spark, folder, "part").select("p_partkey", text.alias("text"))
+    return rows.select("p_partkey", F.explode(X.mapped_spans(F.col("text"), ["المقاومة", "مَا", "x"])).alias("s")).select(
+        "p_partkey", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
 @query(
     "SELECT doc_id, CASE WHEN contains(lower(text), 'http') THEN 'link' WHEN regexp_matches(text, '[0-9]{4}') THEN 'number' "
     "WHEN contains(lower(text), 'the') OR contains(lower(text), 'and') THEN 'english' ELSE 'other' END AS label FROM documents"

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions.text import empty_to_null
 from newsloom.schemas import CATEGORIES, PARTS, REPORT, SHORT_COUNTERS
+from newsloom.session import stage_table
 
 POSITION_BITS = 40  # room for positions inside one (day, category): 10 ** 12
 
@@ -70,6 +71,29 @@ def read_reports_lenient(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("date", F.coalesce(empty_to_null(F.col("date")), F.substring("file_date", 1, 10)))
 
 
+def document_fault(named: Column) -> Column:
+    """A10, V1: what is wrong with a document: ``unreadable``, ``undated`` (neither it
+    nor its file name, ``named``, has a date) or ``misnamed`` (they have different ones); else null."""
+    own = F.col("date").try_cast("date")
+    return (
+        F.when(F.col("_corrupt_record").isNotNull(), "unreadable")
+        .when(F.coalesce(own, named).isNull(), "undated").when(named.isNotNull() & own.isNotNull() & (own != named), "misnamed")
+    )
+
+
+def quarantine(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(good, set_aside)`` of documents as the readers return them.
+    Files are read once and written to two sides. A good document has its date, if
+    need be from the file name; one set aside has ``fault``, and an unreadable one
+    its text in ``_corrupt_record``."""
+    dated = reports.withColumn("fault", document_fault(report_day("file_date")))
+    dated = dated.withColumns({"date": F.coalesce(empty_to_null(F.col("date")), F.substring("file_date", 1, 10)),
+                               "side": F.when(F.col("fault").isNull(), "good").otherwise("aside")})
+    sides = stage_table(dated, "documents", "side")
+    good, aside = (sides.where(F.col("side") == name).drop("side") for name in ("good", "aside"))
+    return good.drop("fault", "_corrupt_record"), aside
+
+
 def report_day(column: str = "file_date") -> Column:
     return F.to_date(F.try_to_timestamp(F.substring(column, 1, 10), F.lit("yyyy-MM-dd")))
 

@@ -110,3 +110,26 @@ def test_stream_reads_every_document_once(spark, tmp_path):
     assert message_stream(spark, raw).isStreaming
     batches = spark.read.parquet(target).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()
     assert sorted(r["n"] for r in batches) == [15, 25]
+
+
+def test_stream_drops_copies_of_earlier_batches(spark, tmp_path):
+    """A video that came before is dropped later, whatever its number; one batch per
+    file; a run without new files adds nothing."""
+    raw, target, state = (str(tmp_path / x) for x in ("raw", "target", "state"))
+    (tmp_path / "raw").mkdir()
+
+    def line(number, day, text):
+        return f"ID: {number} | channel | Date: 2024-01-{day:02} 05:07:00+00:00 | views:3 | Message: {text}"
+
+    video = "بالفيديو | مشهد {} جودة عالية #فيديو"
+    lots = [
+        [line(7, 2, video.format("a")), line(8, 2, video.format("a")), line(9, 2, "القناة 12 خبر")],
+        [line(1, 2, video.format("a")), line(2, 2, video.format("b")), line(3, 3, video.format("a")), line(4, 2, "القناة 12 خبر")],
+        [line(5, 2, "القناة 12 خبر")], [line(6, 2, video.format("b"))],
+    ]
+    for k, lot in enumerate(lots):
+        (tmp_path / "raw" / f"{k}.json").write_text(FORMS["json"](lot), encoding="utf-8")
+        for _ in range(2):
+            ingest_new_dumps(spark, raw, target, state, files_per_batch=1).awaitTermination()
+    got = spark.read.parquet(target).select("id", "batch").collect()
+    assert sorted((r["id"], r["batch"]) for r in got) == [(2, 1), (3, 1), (4, 1), (5, 2), (7, 0), (9, 0)]

@@ -15,7 +15,7 @@ from newsloom.schemas import CATEGORIES, REPORT
 from newsloom.sinks.dumps import format_record
 from newsloom.sinks.reports import write_day_documents, write_event_tables, write_repaired
 from newsloom.sources import dumps as source
-from newsloom.sources.reports import read_reports, read_reports_lenient, to_events, to_report_rows
+from newsloom.sources.reports import quarantine, read_reports, read_reports_lenient, scan_date_range, to_events, to_report_rows
 from newsloom.streaming.dumps import ingest_new_dumps
 
 DAY = dt.date(2024, 1, 2)
@@ -282,6 +282,52 @@ def test_dashboard_sets(spark):
     assert [r["total"] for r in table] == sorted((r["total"] for r in table), reverse=True)
 
 
+def test_dashboard_reads_events_once(spark, tmp_path):
+    """Every panel equals its own operator over the rows, and no plan of a panel has the events in it."""
+    rows = [(DAY + dt.timedelta(days=k % 9), CATEGORIES[k % 5], ("05:10", "23:59", "", None, "7:1")[k % 5], ("x", "", None, "y")[k % 4]) for k in range(200)]
+    spark.createDataFrame(rows, "date date, category string, time string, title string").write.parquet(str(tmp_path / "events"))
+    read = spark.read.parquet(str(tmp_path / "events"))
+    sets = dashboard.dashboard(read, grouping="monthly", page_size=4)
+    assert not [n for n, s in sets.items() if str(tmp_path) in " ".join(s.inputFiles())]
+    K = dashboard.K
+    plain = {
+        "kpis": K.kpi_counts(read), "series": K.time_series(read, "monthly"), "heatmap": K.hour_dow_heatmap(read), "heatmap_margins": K.heatmap_margins(read),
+        "top_values": K.top_values(read, "title", 10, "bayanat"), "pages": dashboard.page_count(read, 4),
+        "table": dashboard.page(K.daily_pivot(read, CATEGORIES[:5]), "total", True, 1, 4),
+    }
+    assert sorted(plain) == sorted(sets)
+    for name, expected in plain.items():
+        assert sorted(map(str, sets[name].select(*expected.columns).collect())) == sorted(map(str, expected.collect())), name
+    empty = dashboard.dashboard(read.where("false"))
+    assert [r["n"] for r in empty["kpis"].collect()] == [0] * len(CATEGORIES) and empty["pages"].first()["pages"] == 1
+
+
+def test_set_aside_documents(spark, tmp_path):
+    """Broken, undated, misnamed and good files: two sides, nothing lost."""
+    texts = {
+        "2024-01-02": '{"date": "2024-01-02", "sirens": [{"time": "05:00"}]}', "2024-01-03": '{"date": "2024-01-03", "sirens": [', "2024-01-04": '{"sirens": []}',
+        "2024-01-05": '{"date": "2024-01-06"}', "20240107": '{"hijri": "x"}', "2024-01-08": "", "2024-01-09": "[1, 2",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    good, aside = quarantine(read_reports_lenient(spark, str(tmp_path)))
+    assert sorted(r["date"] for r in good.collect()) == ["2024-01-02", "2024-01-04"]
+    faults = {r["file_date"]: r["fault"] for r in aside.collect()}
+    assert faults == {"2024-01-03": "unreadable", "2024-01-05": "misnamed", "20240107": "undated", "2024-01-09": "unreadable"}
+    assert {r["file_date"]: r["_corrupt_record"] for r in aside.collect()}["2024-01-03"] == texts["2024-01-03"]
+    assert to_events(good).count() == 1
+
+
+def test_only_folders_of_the_range_are_read(spark, tmp_path):
+    rows = events(spark, "/root/testdata/sf0.001")
+    write_event_tables(rows, rows.groupBy("date").count(), str(tmp_path))
+    range_ = scan_date_range(spark.read.parquet(str(tmp_path / "events")), DAY, DAY + dt.timedelta(days=2))
+    files = range_._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert range_.count() > 0
+    assert len({f.split("date=")[1][:10] for f in range_.select("id", F.input_file_name().alias("f")).toPandas()["f"]}) == 3
+    assert "PartitionFilters: [isnotnull(date" in files.toString()
+
+
 def test_empty_export_has_six_sets(spark, tmp_path):
     rows = to_events(spark.createDataFrame([], REPORT))
     dashboard.export_report(rows, str(tmp_path), DAY, DAY)

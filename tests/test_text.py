@@ -164,3 +164,25 @@ def test_cascade_takes_every_message_once(spark):
     got = [r[0] for r in frame.orderBy("i").select(X.classify_route(t, F.col("m"))).collect()]
     assert got == ["bayanat", "sirens", "bayanat", "allies/اليمن", "iran", "enemy", "videos", "other", "noise", "enemy"]
     assert values(spark, ["#عاجل صفّارات الإنذار تدوي في الوادي\nالآن"], X.alert_location(t)) == ["في الوادي الآن"]
+
+
+def test_spans_by_offset_map(spark):
+    """The offset map against a plain walk, and the widened pattern against the map."""
+    t = F.col("v")
+    texts = ["أَلْمُقَاوَمَةُ x", "ab", "", "ٌab أب", "İab İAB", "a.b A.B", None, "قاومُّة" * 200]
+    table = spark.createDataFrame([(x,) for x in texts], "v string")
+    got = table.select(T.offset_map(t), T.norm_highlight(t)).collect()
+    for text, (at, folded) in zip(texts, got):
+        if text is None:
+            assert at is None
+            continue
+        want = [i for i, ch in enumerate(text) for _ in range(len(ch.lower())) if ch not in T.MARKS_WIDE]
+        assert at == want and len(folded) == len(want)
+    spans = [r[0] for r in table.select(T.mapped_spans(t, ["ab", "المقاومة", "أب", "قاومة", "a.b", "q"])).collect()]
+    cut = [[x[s["start"]:s["end"]] for s in found] for x, found in zip(texts, spans)]
+    assert cut[:3] == [["أَلْمُقَاوَمَةُ"], ["ab"], []] and cut[3] == ["ab", "أب"] and cut[4] == ["ab", "AB"] and cut[5] == ["a.b", "A.B"]
+    assert cut[6] == [] and cut[7] == ["قاومُّة"] * 200
+    assert table.select(F.max(F.size(T.mapped_spans(t, ["q"])))).first()[0] == 0
+    plain = table.where("v not like '%İ%'")
+    terms = ["المقاومة", "ab", "قاومة"]
+    assert plain.where(~T.mapped_spans(t, terms).eqNullSafe(T.match_spans(t, terms))).count() == 0
