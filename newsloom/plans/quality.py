@@ -11,7 +11,7 @@ from newsloom.functions.dates import localised_date, localised_day_name
 from newsloom.functions.geo import round_exact
 from newsloom.functions.text import null_to_empty
 from newsloom.operators.places import alert_points, geocode
-from newsloom.operators.scale import BUCKET_WIDTH, PART_SIZE, collect_parts, id_bucket
+from newsloom.operators.scale import BUCKET_WIDTH, PART_SIZE, checked_broadcast, collect_parts, id_bucket
 from newsloom.operators.sequence import apply_cuts, apply_heads, carry_heads, per_group_cap, restart_cuts, sequence_gaps
 from newsloom.operators.sets import missing_days
 from newsloom.schemas import CATEGORIES, REPORT, REPORT_ARRAYS, SHORT_COUNTERS
@@ -287,14 +287,68 @@ def repair_archive(reports: DataFrame, gazetteer: DataFrame | None = None, part_
     document. Input and output may have days in parts (``schemas.PARTS``); the
     columns are those of ``schemas.REPORT`` and ``schemas.PARTS``. ``part_size``
     is that of the input, whose other arrays keep their parts."""
+    docs = _day_documents(reports)
+    return _rebuilt(docs, repair_boundaries(_statements(docs)), gazetteer, part_size)
+
+
+def _day_documents(reports: DataFrame) -> DataFrame:
     docs = readable(reports).withColumn("__day", report_day()).where(F.col("__day").isNotNull())
-    docs = docs.withColumns({"__part": part_number(reports), "__first": first_position(reports)})
+    return docs.withColumns({"__part": part_number(reports), "__first": first_position(reports)})
+
+
+def _statements(docs: DataFrame) -> DataFrame:
     flat = docs.select(F.col("__day").alias("date"), "__first", F.posexplode("bayanat").alias("position", "item"))
-    statements = flat.select(
+    return flat.select(
         "date", (F.col("position") + F.col("__first")).alias("position"), "item", F.coalesce("item.num", F.lit(0)).alias("num"),
         F.coalesce("item.postTime", F.lit("00:00")).alias("time"), F.col("item.badge").alias("badge"),
     )
-    moved = repair_boundaries(statements)
+
+
+def _differs_from(number: Column) -> Callable[[Column], Column]:
+    return lambda value: value != number
+
+
+def _faulty_days(docs: DataFrame, points: bool) -> DataFrame:
+    """``day`` of the days whose header R1 and R2 would change, or (``points``) with
+    alerts but without points: one narrow aggregate, no texts."""
+    day = F.col("__day")
+    wrong = ~(F.col("date").eqNullSafe(F.col("file_date")) & F.col("dayAr").eqNullSafe(localised_day_name(day)) & F.col("dateAr").eqNullSafe(localised_date(day)))
+    sums = [F.max(wrong).alias("wrong"), F.sum(array_length("sirenPoints")).alias("points")]
+    bad = F.col("wrong")
+    for c in CATEGORIES:
+        long, short = F.col(f"stats.{c}"), F.col(f"stats.{SHORT_COUNTERS[c]}")
+        sums += [F.sum(array_length(c)).alias(f"n_{c}"), F.max(long.isNull()).alias(f"no_{c}"),
+                 F.array(F.min(long), F.max(long), F.min(short), F.max(short)).alias(f"stored_{c}")]
+        others = F.filter(F.array_compact(f"stored_{c}"), _differs_from(F.col(f"n_{c}")))
+        bad = bad | F.col(f"no_{c}") | (F.size(others) > 0)
+    if points:
+        bad = bad | ((F.col("n_sirens") > 0) & (F.col("points") == 0))
+    return docs.groupBy(day.alias("day")).agg(*sums).where(bad).select("day")
+
+
+def repair_changed(reports: DataFrame, gazetteer: DataFrame | None = None, part_size: int = PART_SIZE) -> tuple[DataFrame, DataFrame]:
+    """``(documents, days)``: the repaired documents of the days that
+    ``repair_archive`` changes, and these days (``day``).
+
+    The changes come from narrow columns (number, time and position of the
+    statements, counters, names). Documents of all other days are filtered out in the
+    scan by the list of changed days, one row per calendar day, and meet no shuffle;
+    they stay as they are, also absent arrays in them."""
+    docs = _day_documents(reports)
+    narrow = _statements(docs).drop("item").withColumns({"source_date": F.col("date"), "source_position": F.col("position")})
+    moved = stage_table(repair_boundaries(narrow).select("source_date", "source_position", "date", "position"), "moved")
+    crossing = moved.where("date <> source_date").select(F.explode(F.array("source_date", "date")).alias("day"))
+    days = stage_table(crossing.unionByName(_faulty_days(docs, gazetteer is not None)).distinct(), "changed")
+    listed = checked_broadcast(days)
+    few = docs.join(listed, F.col("__day") == F.col("day"), "left_semi")
+    places = moved.join(listed, F.col("source_date") == F.col("day"), "left_semi")
+    items = _statements(few).select(F.col("date").alias("source_date"), F.col("position").alias("source_position"), "item")
+    placed = items.join(places, ["source_date", "source_position"]).select("date", "position", "item")
+    return _rebuilt(few, placed, gazetteer, part_size), days
+
+
+def _rebuilt(docs: DataFrame, moved: DataFrame, gazetteer: DataFrame | None, part_size: int) -> DataFrame:
+    """Documents with their statements from ``moved``, then R1-R3."""
     lists = collect_parts(moved, ["date"], ["position"], [id_bucket("position")], F.col("item"), "bayanat", part_size)
     grouped = lists.select(F.col("date").alias("__day"), F.col("part").alias("__part"), "bayanat")
     arrays = [c for c in (*REPORT_ARRAYS, "sirenPoints") if c != "bayanat"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import counts as K
@@ -12,7 +14,9 @@ from newsloom.plans import quality as Q
 from newsloom.queries.archive import documents
 from newsloom.queries.base import EV, events, query, table
 from newsloom.schemas import REPORT
-from newsloom.session import stage_table
+from newsloom.session import stage_table, work_dir
+from newsloom.sinks.reports import publish_days, write_run
+from newsloom.sources.reports import read_manifest, read_published
 
 _DAILY = f"(SELECT date, count(*) AS n FROM {EV} WHERE category = 'error' AND dayofmonth(date) NOT IN (5, 17) AND (dayofmonth(date) % 6 > 0 OR hour(ts) < 6) GROUP BY date)"
 
@@ -338,7 +342,33 @@ def repair_archive_parts(spark, folder):
     return _repaired_days(spark, folder, 5)
 
 
+_SOURCED = f"(SELECT date AS src, CAST(CASE WHEN moved THEN date + 1 ELSE date END AS DATE) AS date, num, time, moved, position FROM {_MOVED})"
+
+
+@query(
+    _REPAIRED_DAYS.replace(_REPAIRED, _SOURCED).replace("AS date, o.num FROM o", "AS date, o.num, o.src FROM o").replace(
+        "SELECT date, CAST(count(*)", "SELECT date, date IN (SELECT src FROM f WHERE src <> date UNION ALL SELECT date FROM f WHERE src <> date) AS rewritten, CAST(count(*)")
+)
+def repair_published(spark, folder):
+    """A published archive repaired: only days with changes are written anew and
+    swapped in; the remains of a run that was never published are not read."""
+    root = f"{work_dir(spark)}/published-{uuid.uuid4().hex}"
+    docs = Q.repair_documents(_statement_documents(spark, folder, 5))
+    publish_days(docs.drop("file_date"), root)
+    before = read_published(spark, root)
+    first = read_manifest(spark, root)[1].first()["run"]
+    write_run(before.drop("file_date", "run", "_corrupt_record").withColumn("bayanat", F.slice("bayanat", 1, 1)), root)
+    publish_days(Q.repair_changed(before, part_size=5)[0], root)
+    after = read_published(spark, root).where(F.size("bayanat") > 0)
+    return _day_sums(after, F.max(F.col("run") != first).alias("rewritten"))
+
+
 def _repaired_days(spark, folder, part_size):
+    docs = _statement_documents(spark, folder, part_size)
+    return _day_sums(Q.repair_archive(docs, part_size=part_size).where(F.size("bayanat") > 0))
+
+
+def _statement_documents(spark, folder, part_size):
     item = F.struct(
         "num", F.col("time").alias("postTime"), *[F.lit("").alias(n) for n in ("opTime", "target", "weapon")], "badge",
         F.array().cast("array<string>").alias("tags"), *[F.lit("x").alias(n) for n in ("bayan_type", "fullText")],
@@ -346,14 +376,14 @@ def _repaired_days(spark, folder, part_size):
     )
     numbered = stage_table(_numbered(spark, folder), "numbered")
     lists = collect_parts(numbered, ["date"], ["position"], [id_bucket("position")], item, "bayanat", part_size)
-    docs = lists.select(
+    return lists.select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), F.date_format("date", "yyyy-MM-dd").alias("file_date"), "bayanat", "part",
         (F.col("part").cast("long") * part_size).alias("first_position"),
         *[F.lit(None).cast(REPORT[c].dataType).alias(c) for c in REPORT.fieldNames() if c not in ("date", "bayanat")],
     )
-    fixed = Q.repair_archive(docs, part_size=part_size).where(F.size("bayanat") > 0)
-    return fixed.select(
-        F.to_date("date").alias("date"), F.col("stats.bayanat").alias("statements"),
-        F.aggregate("bayanat", F.lit(0).cast("long"), lambda acc, b: acc + b["num"]).alias("numbers"),
-    ).groupBy("date").agg(F.max("statements").alias("statements"), F.sum("numbers").alias("numbers"))
+
+
+def _day_sums(docs, *more):
+    numbers = F.aggregate("bayanat", F.lit(0).cast("long"), lambda acc, b: acc + b["num"])
+    return docs.groupBy(F.to_date("date").alias("date")).agg(F.max("stats.bayanat").alias("statements"), F.sum(numbers).alias("numbers"), *more)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import localised_date, localised_day_name
 from newsloom.operators.scale import PART_SIZE
 from newsloom.schemas import REPORT, REPORT_ARRAYS, SHORT_COUNTERS
+from newsloom.session import stage_table
+from newsloom.sources.reports import read_manifest
 
 # Members of a document item ← columns of the item table.
 MEMBERS = {
@@ -114,3 +118,30 @@ def write_repaired(documents: DataFrame, target: str, dry_run: bool = False) ->
     """Repaired documents go to a new path, never over their own input."""
     if not dry_run:
         documents.write.mode("errorifexists").json(target)
+
+
+def write_run(documents: DataFrame, root: str) -> str:
+    """Documents as a run of their own under ``root/data``, one folder per day. No
+    reader looks at a run before ``publish_run``. Returns its name."""
+    run = uuid.uuid4().hex
+    documents.withColumn("day", F.col("date")).write.mode("errorifexists").partitionBy("day").json(f"{root}/data/run={run}")
+    return run
+
+
+def publish_run(spark: SparkSession, root: str, run: str) -> None:
+    """A new manifest in which the days of ``run`` are taken from it and all
+    others from where they were. A manifest is one row per calendar day and counts
+    only when all its rows are there; until then readers keep the one before, and a
+    repeated call replaces a part that a crash left. One writer at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/data/run={run}").select("path")  # names only
+    new = files.select(F.regexp_extract("path", r"/day=([^/]+)/", 1).alias("day")).distinct().withColumn("run", F.lit(run))
+    number, old = read_manifest(spark, root)
+    rows = new if old is None else new.unionByName(old.join(new.select("day"), "day", "left_anti"))
+    rows = stage_table(rows, "manifest")
+    rows.withColumn("days", F.lit(rows.count())).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/number={number + 1}")
+
+
+def publish_days(documents: DataFrame, root: str) -> None:
+    """Replace the days of ``documents`` in the published state; other days keep
+    their files."""
+    publish_run(documents.sparkSession, root, write_run(documents, root))

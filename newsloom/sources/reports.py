@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,30 @@ def read_written_reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnRenamed("day", "file_date")
 
 
+def read_manifest(spark: SparkSession, root: str) -> tuple[int, DataFrame | None]:
+    """The latest complete manifest of ``root``: its number and ``day, run``; (0, None) without one."""
+    try:
+        rows = spark.read.schema("day string, run string, days bigint, number bigint").parquet(f"{root}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    whole = rows.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.max("days").alias("days")).where("n = days")
+    number = whole.agg(F.max("number")).first()[0]
+    return (0, None) if number is None else (number, rows.where(F.col("number") == number).select("day", "run"))
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of the published state, with ``file_date`` and ``run``; runs without a
+    manifest and replaced days are not read."""
+    _, manifest = read_manifest(spark, root)
+    if manifest is None:
+        raise ValueError(f"nothing is published under {root}")
+    schema = T.StructType(REPORT.fields + PARTS.fields + [T.StructField(c, T.StringType()) for c in ("_corrupt_record", "run", "day")])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(f"{root}/data")
+    return rows.join(F.broadcast(manifest), ["run", "day"], "left_semi").withColumnRenamed("day", "file_date")  # a row per calendar day
+
+
 def part_number(reports: DataFrame) -> Column:
     return F.coalesce("part", F.lit(0)) if "part" in reports.columns else F.lit(0)
 

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.operators import index as N
 from newsloom.operators import places as P
@@ -13,9 +14,9 @@ from newsloom.plans.statistics import range_statistics
 from newsloom.queries.base import KINDS, events
 from newsloom.schemas import CATEGORIES, REPORT
 from newsloom.sinks.dumps import format_record
-from newsloom.sinks.reports import write_day_documents, write_event_tables, write_repaired
+from newsloom.sinks.reports import publish_days, publish_run, write_day_documents, write_event_tables, write_repaired, write_run
 from newsloom.sources import dumps as source
-from newsloom.sources.reports import quarantine, read_reports, read_reports_lenient, scan_date_range, to_events, to_report_rows
+from newsloom.sources.reports import quarantine, read_manifest, read_published, read_reports, read_reports_lenient, scan_date_range, to_events, to_report_rows
 from newsloom.streaming.dumps import ingest_new_dumps
 
 DAY = dt.date(2024, 1, 2)
@@ -151,6 +152,50 @@ def test_known_places_make_missing_points_an_error(spark, folder):
     assert [i["message"] for i in issues.collect()] == ["Has 1 sirens but no sirenPoints (1 geocodable)"]
 
 
+def test_changed_days_are_published_alone(spark, tmp_path):
+    """Repair of a published archive: equal to the repair of all, other days keep their
+    run; a run without a manifest and half a manifest leave the old state."""
+    def day(k, numbers, **more):
+        named = dt.date(2024, 1, k).isoformat()
+        items = [{"num": n, "postTime": t, "fullText": "x" * 500, "badge": ""} for n, t in numbers]
+        return {"date": named, "file_date": named, "hijri": "", "bayanat": items, **{c: [] for c in REPORT.fieldNames() if c in (*CATEGORIES[1:], "sirenPoints", "summaries")}, **more}
+
+    days = [day(2, [(1, "08:00"), (2, "12:00"), (3, "21:00")]), day(3, [(6, "08:00"), (7, "12:00"), (8, "20:00"), (1, "22:50"), (2, "23:10")]), day(4, [(3, "09:00"), (4, "15:00")]),
+            day(5, [(1, "10:00")]), day(6, [(1, "10:00")], sirens=[{"time": "05:00", "location": "الوادي"}])]
+    schema = T.StructType([*REPORT.fields, T.StructField("file_date", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("first_position", T.LongType())])
+    docs = spark.createDataFrame([{"part": 0, "first_position": 0, **d} for d in days], schema)
+    root = str(tmp_path / "archive")
+    whole = quality.repair_documents(docs)
+    wrong = whole.withColumn("dayAr", F.when(F.col("date") == "2024-01-05", "x").otherwise(F.col("dayAr")))
+    with pytest.raises(ValueError):
+        read_published(spark, root)
+    publish_days(wrong.drop("file_date"), root)
+    first = read_manifest(spark, root)[1].first()["run"]
+
+    def state():
+        return sorted((r["date"], r["dayAr"], [b["num"] for b in r["bayanat"]], r["stats"]["bayanat"], r["run"] == first) for r in read_published(spark, root).collect())
+
+    old = state()
+    places = spark.createDataFrame([("الوادي", 33.0, 35.0, 0)], "name string, lat double, lng double, priority int")
+    fixed, changed = quality.repair_changed(read_published(spark, root), places)
+    assert sorted(r["day"].isoformat() for r in changed.collect()) == ["2024-01-03", "2024-01-04", "2024-01-05", "2024-01-06"]
+    run = write_run(fixed, root)
+    assert state() == old
+    spark.createDataFrame([("2024-01-02", run, 5)], "day string, run string, days bigint").write.parquet(f"{root}/manifest/number=2")
+    assert state() == old
+    publish_run(spark, root, run)
+    assert read_manifest(spark, root)[0] == 2
+    new = state()
+    assert [r[0] for r in new if r[4]] == ["2024-01-02"]
+    want = quality.repair_archive(docs, places)
+    assert [r[:4] for r in new] == sorted((r["date"], r["dayAr"], [b["num"] for b in r["bayanat"]], r["stats"]["bayanat"]) for r in want.collect())
+    assert [r[2] for r in new[1:3]] == [[6, 7, 8], [1, 2, 3, 4]]
+    again, none = quality.repair_changed(read_published(spark, root), places)
+    assert none.count() == 0 and again.count() == 0
+    publish_days(again, root)
+    assert state() == new
+
+
 def test_repair_then_validate(spark, folder, tmp_path):
     reports = read_reports(spark, folder).where("_corrupt_record is null")
     fixed = quality.repair_documents(reports)
