@@ -340,11 +340,11 @@ def repair_changed(reports: DataFrame, gazetteer: DataFrame | None = None, part_
     crossing = moved.where("date <> source_date").select(F.explode(F.array("source_date", "date")).alias("day"))
     days = stage_table(crossing.unionByName(_faulty_days(docs, gazetteer is not None)).distinct(), "changed")
     listed = checked_broadcast(days)
-    few = docs.join(listed, F.col("__day") == F.col("day"), "left_semi")
+    few = stage_table(docs.join(listed, F.col("__day") == F.col("day"), "left_semi"), "documents")  # read several times below
     places = moved.join(listed, F.col("source_date") == F.col("day"), "left_semi")
     items = _statements(few).select(F.col("date").alias("source_date"), F.col("position").alias("source_position"), "item")
     placed = items.join(places, ["source_date", "source_position"]).select("date", "position", "item")
-    return _rebuilt(few, placed, gazetteer, part_size), days
+    return _rebuilt(few, stage_table(placed, "statements"), gazetteer, part_size), days
 
 
 def _rebuilt(docs: DataFrame, moved: DataFrame, gazetteer: DataFrame | None, part_size: int) -> DataFrame:
