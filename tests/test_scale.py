@@ -86,3 +86,16 @@ def test_number_listing_of_a_million(spark):
     assert numbers == list(range(1, 1_000_000))
     assert sorted(r["message"] for r in rows if r["date"] == "2024-01-03") == [
         "Duplicate bayan numbers: [1]", "Extra bayan numbers outside expected range: [-2]", "Missing bayan numbers in sequence: [2]"]
+
+
+def test_spread_by_rows(spark, tmp_path, monkeypatch):
+    """A larger table is dealt into more tasks, not longer ones."""
+    from newsloom.operators import scale
+
+    monkeypatch.setattr(scale, "TASK_ROWS", 1_000)
+    for rows in (20_000, 40_000):
+        path = f"{tmp_path}/{rows}"
+        spark.range(rows).coalesce(1).write.parquet(path)
+        dealt = scale.spread(spark.read.parquet(path))
+        sizes = [n for (n,) in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == rows and len(sizes) == rows // 1_000 and max(sizes) <= 2_000

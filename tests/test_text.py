@@ -186,3 +186,35 @@ def test_spans_by_offset_map(spark):
     plain = table.where("v not like '%İ%'")
     terms = ["المقاومة", "ab", "قاومة"]
     assert plain.where(~T.mapped_spans(t, terms).eqNullSafe(T.match_spans(t, terms))).count() == 0
+
+
+def test_patterns_run_only_where_their_words_stand(spark, monkeypatch):
+    """Fields are the same whether patterns are held back or all run, and white
+    space is trimmed as by the pattern."""
+    import random
+    import re
+
+    from newsloom.functions import extract as E
+    from newsloom.functions.text import norm_match, strip
+    from newsloom.lexicon import extraction as L
+
+    rng = random.Random(5)
+    vocabulary = sorted(set(re.findall("[\u0600-\u06ff]+", " ".join([*L.TARGET_PATTERNS, *L.BODY_REMOVALS, *L.LOCATION_CLAUSES, *(p for p, _ in L.WEAPON_LABELS)]))))
+    odd = [" ", "\n", ". ", ":", "\u00a0", "(", ")", "، ", " في ", " على ", " عند ", " من ", "12:30 ", "على النحو الآتي:", "\n- 01:20 ", " .\n", "#وسم "]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice(odd) if rng.random() < 0.5 else rng.choice(vocabulary) + " " for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "id long, text string")
+
+    def fields():
+        body = E.clean_body(F.col("text"))
+        normal = norm_match(F.col("text"))
+        return rows.select(
+            "id", E.extract_target(body).alias("target"), E.extract_target(F.col("text")).alias("raw"), E.clean_location(F.col("text")).alias("place"),
+            E.extract_weapon(normal).alias("weapon"), E.parse_list_items(F.col("text"), F.lit("t"), normal).alias("items")).orderBy("id").collect()
+
+    held_back = fields()
+    assert set(L.PATTERN_WORDS) >= {*L.TARGET_PATTERNS, *L.BODY_REMOVALS, *L.LOCATION_CLAUSES, L.LIST_STOP}
+    monkeypatch.setattr(L, "PATTERN_WORDS", {})
+    monkeypatch.setattr(L, "WEAPON_WORDS", ("",))
+    assert held_back == fields() and sum(bool(r["target"]) for r in held_back) > 100
+    every = spark.range(1, 0xD800).select(F.concat(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), F.lit("a ")).alias("t"))
+    assert every.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).isEmpty()
