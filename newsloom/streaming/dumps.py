@@ -71,7 +71,9 @@ def ingest_new_dumps(spark: SparkSession, folder: str, target: str, checkpoint:
         if not files:
             return
         items = extract_items(classify_messages(source.read_messages(session, files)))
-        kept = stage_table(dedupe_media(items.where(~F.col("category").isin(X.NOISE, X.OTHER))), "batch")
+        # Staged before the videos go their own way: extraction runs once.
+        staged = stage_table(items.where(~F.col("category").isin(X.NOISE, X.OTHER)), "batch", partition_by="category")
+        kept = dedupe_media(staged.select(*items.columns))
         if number > 0:
             # An explicit schema: earlier batches may have written nothing.
             stored = session.read.schema(T.StructType(kept.schema.fields + [T.StructField("batch", T.LongType())])).parquet(target)

@@ -54,6 +54,21 @@ def small_splits(spark):
         spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("form", ["bare", "json"])
+def test_records_dealt_by_size(spark, tmp_path, monkeypatch, form):
+    """More bytes of dumps give more tasks of text work, not longer ones."""
+    from newsloom.operators import scale
+
+    monkeypatch.setattr(scale, "TASK_BYTES", 2_000)
+    for n in (300, 900):
+        path = tmp_path / f"{n}.json"
+        path.write_text(FORMS[form](records(n)), encoding="utf-8")
+        found = source.read_day_records(spark, str(path))
+        sizes = [k for (k,) in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        # At most a few times the records of 2,000 bytes in a task.
+        assert sum(sizes) >= 0.8 * n and len(sizes) >= path.stat().st_size // 4_000 and max(sizes) <= 40
+
+
 @pytest.mark.parametrize("form", sorted(FORMS))
 def test_one_file_in_many_tasks(spark, tmp_path, small_splits, form):
     rows = records(300)

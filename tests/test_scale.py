@@ -99,3 +99,14 @@ def test_spread_by_rows(spark, tmp_path, monkeypatch):
         dealt = scale.spread(spark.read.parquet(path))
         sizes = [n for (n,) in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert sum(sizes) == rows and len(sizes) == rows // 1_000 and max(sizes) <= 2_000
+
+
+def test_spread_is_steady(spark, tmp_path):
+    """Between a small and a large table the rows of a task grow little."""
+    from newsloom.operators import scale
+
+    path = f"{tmp_path}/rows"
+    spark.range(400_000).coalesce(1).write.parquet(path)
+    dealt = scale.spread(spark.read.parquet(path))
+    sizes = [n for (n,) in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 400_000 and max(sizes) <= 25_000
