@@ -53,7 +53,7 @@ _MARKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _MARKS, b"abcdefghijklmnopqrstuvwxyz" + BREAK * len(_MARKS))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
-STRIPES = "cell int, stripes array<struct<p1:bigint,p2:bigint,next:array<bigint>,n:array<bigint>>>"
+STRIPES = "cell int, p1 array<bigint>, p2 array<bigint>, next array<bigint>, n array<bigint>"
 WORD_STRIPES = "lang string, bucket int, next array<string>, n array<bigint>"
 
 
@@ -170,7 +170,7 @@ def word_stripes(docs: DataFrame) -> DataFrame:
 
 def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
     """Stripes of the phrases of ``k`` words, at least two, by cell; one or several
-    rows a task and cell."""
+    rows a task and cell, with the stripes' entries in the order of their prefixes."""
     cells = max(CELLS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +190,9 @@ def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
                 cut = np.uint64(1) << np.maximum(0, size.astype(np.int64) - 1 - STRIPE_BITS).astype(np.uint64)
                 cell = (mix64(p1 + _C * (mix64(after) % cut)) % np.uint64(cells)).astype(np.int32)
                 order = np.lexsort((p2, p1, cell))
-                cell, p1, p2 = cell[order], p1[order], p2[order]
-                starts = _runs(cell, p1, p2)
-                offsets = pa.array(np.append(starts, len(p1)).astype(np.int32))
-                inner = [pa.ListArray.from_arrays(offsets, pa.array(x[order].view(np.int64))) for x in (after, n)]
-                columns = [*(pa.array(x[starts].view(np.int64)) for x in (p1, p2)), *inner]
-                yield from _lists(_runs(cell[starts]), [cell[starts]], [pa.StructArray.from_arrays(columns, ["p1", "p2", "next", "n"])], ["cell", "stripes"], 512)
+                cell = cell[order]
+                columns = [pa.array(x[order].view(np.int64)) for x in (p1, p2, after, n)]
+                yield from _lists(_runs(cell), [cell], columns, ["cell", "p1", "p2", "next", "n"], 512)
 
         mask = np.uint64(len(sizes) - 1)
         for names, data in _texts(batches):
@@ -240,8 +237,7 @@ def merged_words(parts: DataFrame) -> DataFrame:
 
 def merged(parts: DataFrame) -> DataFrame:
     """Stripes added entry by entry: ``p1, p2, next, n``."""
-    apart = parts.repartition("cell").select("cell", F.inline("stripes"))
-    entries = apart.select("cell", "p1", "p2", F.inline(F.arrays_zip("next", "n")))
+    entries = parts.repartition("cell").select("cell", F.inline(F.arrays_zip("p1", "p2", "next", "n")))
     return entries.groupBy("cell", "p1", "p2", "next").agg(F.sum("n").alias("n")).drop("cell")
 
 

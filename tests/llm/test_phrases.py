@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from newsloom.llm import phrases as P
@@ -66,6 +67,19 @@ def test_ties_overlaps_and_marks(spark, monkeypatch):
     assert got(docs, least=5, slots=4) == want
 
 
+def test_no_row_per_stripe(spark):
+    """What the tasks send is made into one row per entry, at once: no rows are made
+    per task and prefix, whose number grows faster than the text."""
+    docs = spark.createDataFrame([("en", "a b a c a b"), ("en", "a b d a b")], "lang string, text string").repartition(2)
+    parts = P.stripes(docs, 2, np.full(4, 8, np.uint8))
+    plan = P.merged(parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+    for r in parts.collect():
+        assert len(r["p1"]) == len(r["p2"]) == len(r["next"]) == len(r["n"])
+        assert sorted(r["p1"], key=lambda x: x % 2**64) == r["p1"]
+    assert sorted(r["n"] for r in P.merged(parts).collect()) == [1, 1, 1, 1, 1, 4]  # ab four times
+
+
 def test_exact_beyond_64_bits(spark):
     """1000 * a * n passes 64 bits; a rounded product would give another score."""
     big = 9_007_199_254_740_993
