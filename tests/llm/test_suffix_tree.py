@@ -1,3 +1,4 @@
+import inspect
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -5,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import newsloom.llm.suffix_tree as module
 from newsloom.llm.suffix_tree import BITS, END, Tree, grow, positions, score
 
 
@@ -101,3 +103,26 @@ def test_distributions_sum_to_one():
     for a in range(8):
         for b in range(8):
             assert (10 ** tree.log10((a << 2 * BITS) + (b << BITS) + np.arange(8))).sum() == pytest.approx(1)
+
+
+def test_every_word_and_context_counts(small, monkeypatch):
+    """No share bounds the tree: rare words are symbols, contexts have four words,
+    and frequent ones, dealt to several cells, give what whole ones would."""
+    monkeypatch.setattr(module, "CUT", 50)
+    monkeypatch.setattr(module, "CHUNK_TOKENS", 4000)
+    texts = {r["doc_id"]: r["text"] for r in small.collect()}
+    defaults = {name: p.default for name, p in inspect.signature(score).parameters.items()}
+    assert defaults["depth"] >= 4 and defaults["share"] == defaults["least"] == 0
+    log10, states = slow_model([t for i, t in texts.items() if not held(i)], 4, 0, 0, 3, 0.02)
+    assert {1, 2, 3, 4} <= {len(c) for c in states}
+    for r in check(small.repartition(3), least_count=3):
+        if r["doc_id"] < 40:
+            assert r["score"] == pytest.approx(log10([*words(texts[r["doc_id"]]), END]), rel=1e-9)
+
+
+def test_a_phrase_between_rare_words(spark):
+    """A phrase of words far below any share of the corpus is predicted."""
+    rows = [(i, f"{' '.join(f'w{(i * 7 + j * j) % 997}' for j in range(200))} quint sext sept oct") for i in range(200)]
+    rows += [(i, "quint sext sept oct" if i % 2 else "oct sept sext quint") for i in range(1000, 1100)]
+    found = {r["doc_id"]: r["score"] - r["base_score"] for r in score(spark.createDataFrame(rows, "doc_id long, text string"), share=0.0).where("doc_id >= 1000").collect()}
+    assert min(v for i, v in found.items() if i % 2) > max(v for i, v in found.items() if i % 2 == 0)
