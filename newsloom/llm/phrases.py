@@ -64,8 +64,15 @@ class Words(dict):
     def __init__(self):
         super().__init__()
         self.list, self.hashes = [], []
+        self._known = np.empty(0, np.uint64)
         self[BREAK], self[TEXT]
 
+    def hashed(self) -> np.ndarray:
+        """Hashes by number; only new ones are converted."""
+        if len(self._known) < len(self.hashes):
+            self._known = np.append(self._known, np.array(self.hashes[len(self._known) :], np.uint64))
+        return self._known
+
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self.list)
         self.list.append(word)
@@ -142,7 +149,7 @@ def word_stripes(docs: DataFrame) -> DataFrame:
                 runs = _runs(code[order])
                 code, n = code[order][runs], np.add.reduceat(n[order], runs)
                 lang, word = code >> 40, code & ((1 << 40) - 1)
-                bucket = np.where(word == 0, -1, (np.array(words.hashes, np.uint64)[word] % np.uint64(WORD_BUCKETS)).astype(np.int64))
+                bucket = np.where(word == 0, -1, (words.hashed()[word] % np.uint64(WORD_BUCKETS)).astype(np.int64))
                 order = np.lexsort((bucket, lang))
                 lang, word, bucket, n = lang[order], word[order], bucket[order], n[order]
                 names = np.array(list(langs), object)
@@ -178,7 +185,7 @@ def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
 
         def merge() -> None:
             p1, p2, after, size, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((after, p2, p1))
+            order = np.argsort(_first(p1, after))  # equal entries meet; what else has this hash stays apart
             p1, p2, after = p1[order], p2[order], after[order]
             runs = _runs(p1, p2, after)
             parts[:] = [(p1[runs], p2[runs], after[runs], size[order][runs], np.add.reduceat(n[order], runs))]
@@ -189,7 +196,7 @@ def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
                 p1, p2, after, size, n = parts.pop()
                 cut = np.uint64(1) << np.maximum(0, size.astype(np.int64) - 1 - STRIPE_BITS).astype(np.uint64)
                 cell = (mix64(p1 + _C * (mix64(after) % cut)) % np.uint64(cells)).astype(np.int32)
-                order = np.lexsort((p2, p1, cell))
+                order = np.lexsort((p1, cell))
                 cell = cell[order]
                 columns = [pa.array(x[order].view(np.int64)) for x in (p1, p2, after, n)]
                 yield from _lists(_runs(cell), [cell], columns, ["cell", "p1", "p2", "next", "n"], 512)
@@ -199,7 +206,7 @@ def stripes(docs: DataFrame, k: int, sizes: np.ndarray) -> DataFrame:
             ids, text = _numbers(data, words)
             if len(ids) < k:
                 continue
-            h, lang = np.array(words.hashes, np.uint64)[ids], _lang_hash(names)[text]
+            h, lang = words.hashed()[ids], _lang_hash(names)[text]
             width = len(ids) - k + 2
             c = lang[:width]
             for j in range(k - 1):

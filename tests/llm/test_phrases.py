@@ -104,3 +104,13 @@ def test_sql(spark, small):
     folder = os.path.dirname(small.inputFiles()[0].removeprefix("file:")).replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert compare(duck(folder), P.collocations(docs), P.SQL) == []
+
+
+def test_hashes_are_converted_once():
+    words = P.Words()
+    for word in (b"a", b"b", b"a"):
+        words[word]
+    first = words.hashed()
+    assert words.hashed() is first and first.tolist() == words.hashes
+    words[b"c"]
+    assert words.hashed().tolist() == words.hashes and len(words.hashes) == 5
