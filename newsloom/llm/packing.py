@@ -14,6 +14,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,17 +38,23 @@ class Encoder(dict):
 
     Ids are those of ``tokenizers`` on the whole text without added special
     tokens. Parts seen before come from a bounded table; new ones are merged
-    from the rank file of the same vocabulary."""
+    from the rank file of the same vocabulary. The model file is only loaded
+    when a text has to be encoded whole."""
 
-    def __init__(self, model: str, ranks: str, pattern: str, limit: int = 200_000):
+    def __init__(self, model: str, ranks: str, pattern: str, limit: int = 100_000):
         super().__init__()
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self._whole, self._limit = Tokenizer.from_file(model), limit
+        self._model, self._limit = model, limit
+
+    @cached_property
+    def _whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._model)
 
     def __missing__(self, part: str) -> bytes:
         ids = array("I", self._merge(part)).tobytes()

@@ -56,3 +56,11 @@ def test_parts_give_the_ids_of_whole_texts(plain):
     texts = ["a  b", "  a", "a  ", "a\n\nb", "I'm we'll 'x", "1,234.5%  \t\n x", "é–ü “q”", "\r\n\r\na", "   a", "a\x1cb", "a \x85 b", "½²ª", "x<|endoftext|>y", "中 Жд"]
     for text in texts:
         assert list(array("I", encoder.ids(text))) == plain(text)[:-1], text
+
+
+def test_the_model_file_is_loaded_for_rare_texts_only(plain):
+    """A task holds one vocabulary, not two, until a text needs the other."""
+    encoder = Encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    ids = lambda text: [*array("I", encoder.ids(text)), 1]
+    assert ids("plain words, 12 of them") == plain("plain words, 12 of them") and "_whole" not in vars(encoder)
+    assert ids("rare \u4e2d\u6587") == plain("rare \u4e2d\u6587") and "_whole" in vars(encoder)
