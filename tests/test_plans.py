@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.operators import counts as K
 from newsloom.operators import index as N
 from newsloom.operators import places as P
 from newsloom.plans import dashboard, facets, months, quality, search
@@ -327,6 +328,14 @@ def test_dashboard_sets(spark):
     assert [r["total"] for r in table] == sorted((r["total"] for r in table), reverse=True)
 
 
+def test_label_counts_come_largest_first(spark):
+    labels = [f"{k:02}" for k in range(30) for _ in range(k % 4 + 1)] + [None] * 9
+    rows = spark.createDataFrame([(x,) for x in labels], "label string").repartition(4)
+    found = [tuple(r) for r in K.type_dashboard(rows, F.col("label")).collect()]
+    assert found == sorted(((f"{k:02}", k % 4 + 1) for k in range(30)), key=lambda r: (-r[1], r[0]))
+    assert [tuple(r) for r in K.type_dashboard(rows, F.col("label"), 2).collect()] == found[:2]
+
+
 def test_dashboard_reads_events_once(spark, tmp_path):
     """Every panel equals its own operator over the rows, and no plan of a panel has the events in it."""
     rows = [(DAY + dt.timedelta(days=k % 9), CATEGORIES[k % 5], ("05:10", "23:59", "", None, "7:1")[k % 5], ("x", "", None, "y")[k % 4]) for k in range(200)]
