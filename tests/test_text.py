@@ -213,6 +213,7 @@ def test_patterns_run_only_where_their_words_stand(spark, monkeypatch):
 
     held_back = fields()
     assert set(L.PATTERN_WORDS) >= {*L.TARGET_PATTERNS, *L.BODY_REMOVALS, *L.LOCATION_CLAUSES, L.LIST_STOP}
+    assert all(L.PATTERN_WORDS.get(p) for p in (*L.TARGET_PATTERNS, L.LIST_TAIL, L.LIST_MARKER))
     monkeypatch.setattr(L, "PATTERN_WORDS", {})
     monkeypatch.setattr(L, "WEAPON_WORDS", ("",))
     assert held_back == fields() and sum(bool(r["target"]) for r in held_back) > 100
